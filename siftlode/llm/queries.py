@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from siftlode.llm import tokenplanes
+from siftlode.llm import quality, tokenplanes, warc
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -24,3 +25,50 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document, written as byte planes and read back."""
     return tokenplanes.token_planes(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as WARC archives and read back."""
+    return warc.warc_round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLES["op6_warc"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+q AS (SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes, sha1(html) AS payload_digest FROM p),
+g AS (SELECT payload_digest, max(page_id) AS target FROM q WHERE payload_bytes >= 1000 GROUP BY 1)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN page_id <> target THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id <> target THEN target END AS refers_to
+FROM q LEFT JOIN g USING (payload_digest)
+"""
+
+
+@query
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features and verdict of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    known = tuple(quality.FEATURES)
+    order = [x[0] for x in quality.order_rules(docs, quality.BASE + quality.MORE)]
+    featured = quality.with_features(docs, known).drop("text")
+    base = quality.BASE[0].on(F.col) | quality.BASE[1].on(F.col)
+    return featured.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), quality.verdict(order, F.col).isNull().alias("kept"))
+
+
+ORACLES["op3_quality_rules"] = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w,
+             list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+f AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+             len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, len(regexp_extract_all(text, '[A-Z]')) AS n_upper,
+             len(l) AS n_lines, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, w FROM w),
+p AS (SELECT doc_id, w, unnest(range(len(w) - 2)) AS i FROM f WHERE len(w) > 2),
+g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i + 1], w[i + 2], w[i + 3]) AS n FROM p),
+r AS (SELECT doc_id, count(DISTINCT i + k)::BIGINT AS n FROM g, (SELECT unnest([0, 1, 2]) AS k) WHERE g.n > 1 GROUP BY 1),
+b AS (SELECT f.* EXCLUDE (w), coalesce(r.n, 0) AS n_repeat_words FROM f LEFT JOIN r USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR 5 * n_symbols > n_words
+            OR 3 * n_upper > word_chars OR 2 * n_dup_lines > n_lines) AS kept
+FROM b
+"""
