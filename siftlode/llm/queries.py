@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftlode.llm import quality, tokenplanes, warc
+from siftlode.llm import quality, substring, tokenplanes, warc
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -72,3 +72,22 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
             OR 3 * n_upper > word_chars OR 2 * n_dup_lines > n_lines) AS kept
 FROM b
 """
+
+
+@query
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the passages that stand earlier in the corpus."""
+    return substring.without_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+ORACLES["op7_substring_dedup"] = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, unnest(range(len(w) - 19)) AS i, w FROM d WHERE len(w) > 19),
+k AS (SELECT doc_id, i, array_to_string(w[i + 1 : i + 20], ' ') AS run FROM p),
+r AS (SELECT doc_id, i, row_number() OVER (PARTITION BY run ORDER BY doc_id, i) AS n FROM k),
+c AS (SELECT DISTINCT doc_id, i + o AS i FROM r, (SELECT unnest(range(20)) AS o) WHERE n > 1),
+u AS (SELECT doc_id, unnest(range(len(w))) AS i, unnest(w) AS word FROM d),
+s AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept, count(*) AS n FROM u ANTI JOIN c USING (doc_id, i) GROUP BY 1)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(s.n, 0))::BIGINT AS n_removed, sha256(coalesce(s.kept, '')) AS kept_sha256
+FROM d LEFT JOIN s USING (doc_id)
+"""
