@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftlode.llm import quality, substring, tokenplanes, warc
+from siftlode.llm import neardup, quality, substring, tokenplanes, warc
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -91,3 +91,9 @@ s AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept, count(*) AS n FRO
 SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(s.n, 0))::BIGINT AS n_removed, sha256(coalesce(s.kept, '')) AS kept_sha256
 FROM d LEFT JOIN s USING (doc_id)
 """
+
+
+@query
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents."""
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
