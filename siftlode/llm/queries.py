@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftlode.llm import neardup, quality, substring, tokenplanes, warc
+from siftlode.llm import decontam, neardup, quality, substring, tokenplanes, warc
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -97,3 +97,30 @@ FROM d LEFT JOIN s USING (doc_id)
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents."""
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
+@query
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that overlap with items of the benchmark."""
+    return decontam.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_READ = [", ".join(f"w[i + {p + 1}]" for p in mask) for mask in decontam.MASKS]
+_SEEDS = " UNION ALL ".join(f"SELECT id, i, {k} AS m, [{read}] AS seed FROM {{}}" for k, read in enumerate(_READ))
+ORACLES["op8_decontamination"] = rf"""
+WITH d AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS w FROM documents),
+b AS (SELECT item_id AS id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS w FROM benchmark),
+dp AS (SELECT id, w, unnest(range(0, len(w) - 10, 4)) AS i FROM d WHERE len(w) > 10),
+bp AS (SELECT id, w, unnest(range(0, len(w) - 10)) AS i FROM b WHERE len(w) > 10),
+ds AS ({_SEEDS.format("dp", "dp", "dp")}),
+bs AS ({_SEEDS.format("bp", "bp", "bp")}),
+h AS (SELECT DISTINCT ds.id AS doc_id, bs.id AS item_id, ds.i - bs.i AS shift FROM ds JOIN bs ON ds.m = bs.m AND ds.seed = bs.seed),
+k AS (SELECT doc_id, item_id, shift, d.w AS dw, b.w AS bw, least(13, len(b.w)) AS width, unnest(range(len(b.w))) AS k
+      FROM h JOIN d ON d.id = doc_id JOIN b ON b.id = item_id),
+s AS (SELECT doc_id, item_id, shift, width, k, len(bw) AS n,
+             CASE WHEN shift + k >= 0 AND dw[shift + k + 1] = bw[k + 1] THEN 1 ELSE 0 END AS same FROM k),
+t AS (SELECT doc_id, item_id, width, k, n,
+             sum(same) OVER (PARTITION BY doc_id, item_id, shift ORDER BY k ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) AS n_same FROM s)
+SELECT doc_id, item_id, max(n_same)::BIGINT AS n_same FROM t
+WHERE k + width <= n AND n_same * 100 >= width * 80 GROUP BY 1, 2
+"""
