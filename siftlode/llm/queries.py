@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftlode.llm import decontam, neardup, quality, substring, tokenplanes, warc
+from siftlode.llm import decontam, neardup, pii, quality, substring, tokenplanes, warc
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -124,3 +124,14 @@ t AS (SELECT doc_id, item_id, width, k, n,
 SELECT doc_id, item_id, max(n_same)::BIGINT AS n_same FROM t
 WHERE k + width <= n AND n_same * 100 >= width * 80 GROUP BY 1, 2
 """
+
+
+@query
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data in every document."""
+    found = pii.personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+    def count(kind: str):
+        return F.size(F.filter("base_spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *map(count, pii.KINDS), F.sha2(pii.listed("base_spans"), 256).alias("base_sha256"), pii.listed("spans").alias("spans"))
