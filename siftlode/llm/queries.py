@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftlode.llm import decontam, neardup, pii, quality, substring, tokenplanes, warc
+from siftlode.llm import decontam, neardup, packing, pii, quality, substring, tokenplanes, warc
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -135,3 +135,11 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.size(F.filter("base_spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
     return found.select("doc_id", *map(count, pii.KINDS), F.sha2(pii.listed("base_spans"), 256).alias("base_sha256"), pii.listed("spans").alias("spans"))
+
+
+@query
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents and their places in sequences of 4096 tokens."""
+    cut = packing.pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    placed = packing.packed(cut.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+    return placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
