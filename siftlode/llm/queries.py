@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftlode.llm import decontam, neardup, packing, pii, quality, substring, tokenplanes, warc
+from siftlode.llm import decontam, neardup, packing, pii, quality, substring, tokenplanes, urlrules, warc
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -143,3 +143,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = packing.pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     placed = packing.packed(cut.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
     return placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+@query
+def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page's URL."""
+    judged = urlrules.judged_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
