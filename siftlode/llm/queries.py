@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftlode.llm import decontam, neardup, packing, pii, quality, substring, tokenplanes, urlrules, warc
+from siftlode.llm import decontam, lmscore, neardup, packing, pii, quality, substring, tokenplanes, urlrules, warc
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -150,3 +150,28 @@ def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Host, path, rule and verdict of every page's URL."""
     judged = urlrules.judged_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
     return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+@query
+def op2_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stupid-backoff scores of all documents; scores to four places, as sums differ in their last ones."""
+    return lmscore.backoff_scores(table(spark, sf_dir, "documents")).withColumn("score", F.round("score", 4))
+
+
+ORACLES["op2_backoff_scores"] = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d),
+g AS (SELECT doc_id, i, w[i] AS a, CASE WHEN i > 1 THEN w[i - 1] END AS b, CASE WHEN i > 2 THEN w[i - 2] END AS c FROM p),
+n AS (SELECT doc_id, i, b IS NOT NULL AS has2, c IS NOT NULL AS has3, count(*) OVER (PARTITION BY a) AS n1,
+             count(*) OVER (PARTITION BY a, b) AS n2, count(*) OVER (PARTITION BY a, b, c) AS n3 FROM g),
+u AS (SELECT a, count(*) AS n FROM g GROUP BY 1), v AS (SELECT a, b, count(*) AS n FROM g WHERE b IS NOT NULL GROUP BY 1, 2),
+x AS (SELECT n.*, u.n AS before1, v.n AS before2, (SELECT count(*) FROM g) AS total,
+             CASE WHEN has3 AND n3 > 1 THEN 3 WHEN has2 AND n2 > 1 THEN 2 ELSE 1 END AS took
+      FROM n JOIN g USING (doc_id, i) LEFT JOIN u ON u.a = g.b LEFT JOIN v ON v.a = g.b AND v.b = g.c),
+s AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (took = 3) AS n_trigram, count(*) FILTER (took = 2) AS n_bigram, count(*) FILTER (took = 1) AS n_unigram,
+             sum(CASE took WHEN 3 THEN ln(n3 / before2) WHEN 2 THEN ln(n2 / before1) ELSE ln(n1 / total) END + (least(i, 3) - took) * ln(0.4)) AS score
+      FROM x GROUP BY 1)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_trigram, 0) AS n_trigram, coalesce(n_bigram, 0) AS n_bigram,
+       coalesce(n_unigram, 0) AS n_unigram, round(coalesce(score, 0), 4) AS score
+FROM d LEFT JOIN s USING (doc_id)
+"""
