@@ -1,4 +1,470 @@
-"""Registered queries and their DuckDB counterparts."""
+"""Registered queries and their DuckDB counterparts.
+
+The tables at hand stand in for measurements and candidates: formulas and raw
+values are put together from whole numbers of their columns.
+"""
+
+from __future__ import annotations
+
+from pyspark.ml import Pipeline
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from siftlode.functions import composition, parse, rules
+from siftlode.operators import attribution, audit, metrics, model, screen
 
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(function):
+        QUERIES[function.__name__] = function
+        if sql:
+            ORACLES[function.__name__] = sql
+        return function
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def r6(c: Column | str) -> Column:
+    return F.round(F.col(c) if isinstance(c, str) else c, 6)
+
+
+# ---- measurements and cells
+
+_RAW = "concat(CASE l_linenumber % 5 WHEN 0 THEN '<' WHEN 1 THEN '~ ' WHEN 2 THEN ' >' WHEN 3 THEN '' ELSE '=' END, CASE l_partkey % 9 WHEN 0 THEN '1E-10' WHEN 1 THEN '3 E-4' WHEN 2 THEN 'abc' WHEN 3 THEN '' WHEN 4 THEN '0' WHEN 5 THEN '-1' WHEN 6 THEN '2.5' WHEN 7 THEN '.5e2' ELSE '7' END)"
+
+
+@query(
+    f"""WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey, {_RAW} AS raw FROM lineitem),
+    s AS (SELECT *, regexp_replace(replace(raw, ' ', ''), '^[<>~=]+', '') AS t FROM r),
+    v AS (SELECT *, CASE WHEN regexp_matches(t, '^[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?$') THEN try_cast(t AS DOUBLE) END AS sigma,
+          CASE WHEN substr(trim(raw), 1, 1) IN ('<', '>') THEN 1 ELSE 0 END AS censored FROM s)
+    SELECT l_orderkey, l_linenumber, l_partkey, raw, sigma, censored, round(log10(sigma), 6) AS y FROM v WHERE sigma > 0"""
+)
+def parse_censored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.expr(_RAW).alias("raw"))
+    return parse.parse_measurements(raw, "raw").withColumn("y", r6("y"))
+
+
+@query(
+    """SELECT p_partkey, p_size * 5 AS spacegroup_no, CASE WHEN p_size * 5 <= 2 THEN 'triclinic' WHEN p_size * 5 <= 15 THEN 'monoclinic'
+    WHEN p_size * 5 <= 74 THEN 'orthorhombic' WHEN p_size * 5 <= 142 THEN 'tetragonal' WHEN p_size * 5 <= 167 THEN 'trigonal'
+    WHEN p_size * 5 <= 194 THEN 'hexagonal' WHEN p_size * 5 <= 230 THEN 'cubic' ELSE 'unknown' END AS crystal_system FROM part"""
+)
+def range_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
+    number = F.col("p_size") * 5
+    return table(spark, sf_dir, "part").select("p_partkey", number.alias("spacegroup_no"), parse.crystal_system(number).alias("crystal_system"))
+
+
+_CELL = "SELECT p_partkey, p_size + 1.0 AS a, p_size + 2.0 AS b, p_size + 3.0 AS c, 80.0 + p_partkey % 20 AS alpha, 85.0 + p_partkey % 15 AS beta, 90.0 + p_partkey % 10 AS gamma, CAST(p_size AS INT) AS spacegroup_no FROM part"
+
+
+@query(
+    f"""SELECT p_partkey, round(a * b * c * sqrt(1 - pow(cos(radians(alpha)), 2) - pow(cos(radians(beta)), 2) - pow(cos(radians(gamma)), 2)
+    + 2 * cos(radians(alpha)) * cos(radians(beta)) * cos(radians(gamma))), 4) AS cell_volume FROM ({_CELL})"""
+)
+def cell_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = ("a", "b", "c", "alpha", "beta", "gamma")
+    part = table(spark, sf_dir, "part").selectExpr("p_partkey", "p_size + 1.0D AS a", "p_size + 2.0D AS b", "p_size + 3.0D AS c", "80.0D + p_partkey % 20 AS alpha", "85.0D + p_partkey % 15 AS beta", "90.0D + p_partkey % 10 AS gamma", "p_size AS spacegroup_no")
+    assert set(names) < set(part.columns)
+    return parse.crystal_features(part).select("p_partkey", F.round("cell_volume", 4).alias("cell_volume"))
+
+
+# ---- formulas
+
+_A, _B, _C = "(1 + p_partkey % 7)", "(1 + p_size % 5)", "(1 + p_partkey % 3)"
+_FORMULA = f"concat('Li', CAST({_A} AS STRING), 'Ge(PS', CAST({_B} AS STRING), ')', CAST({_C} AS STRING))"
+
+
+def _formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", F.expr(_FORMULA).alias("formula"))
+
+
+@query(
+    f"""SELECT p_partkey, u.element AS element, CAST(u.amount AS DOUBLE) AS amount FROM part,
+    LATERAL (VALUES ('Li', {_A}), ('Ge', 1), ('P', {_C}), ('S', {_B} * {_C})) AS u(element, amount)"""
+)
+def formula_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good, _ = composition.parse_formulas(_formulas(spark, sf_dir))
+    return good.select("p_partkey", F.explode("amounts").alias("element", "amount"))
+
+
+_PROPS = "(VALUES ('Li', 3.0, 1.5), ('Ge', 32.0, NULL), ('P', 15.0, 1.0), ('S', 16.0, 1.1)) AS t(element, Z, radius)"
+
+
+@query(
+    f"""WITH e AS (SELECT p_partkey, u.element AS element, CAST(u.amount AS DOUBLE) AS n FROM part,
+         LATERAL (VALUES ('Li', {_A}), ('Ge', 1), ('P', {_C}), ('S', {_B} * {_C})) AS u(element, amount)),
+    w AS (SELECT *, n / sum(n) OVER (PARTITION BY p_partkey) AS w FROM e JOIN (SELECT element, CAST(Z AS DOUBLE) AS Z, CAST(radius AS DOUBLE) AS radius FROM {_PROPS}) USING (element)),
+    m AS (SELECT *, sum(w * Z) OVER p AS zm, sum(w * radius) OVER p / sum(CASE WHEN radius IS NOT NULL THEN w END) OVER p AS rm FROM w WINDOW p AS (PARTITION BY p_partkey))
+    SELECT p_partkey, count(*) AS n_elements, round(max(CASE WHEN element = 'Li' THEN w END), 6) AS Li_frac,
+      round(max(zm), 6) AS Z_mean, round(sqrt(sum(w * (Z - zm) * (Z - zm))), 6) AS Z_std, round(min(Z), 6) AS Z_min, round(max(Z), 6) AS Z_max, round(max(Z) - min(Z), 6) AS Z_range,
+      round(max(rm), 6) AS radius_mean, round(sqrt(sum(w * (radius - rm) * (radius - rm)) / sum(CASE WHEN radius IS NOT NULL THEN w END)), 6) AS radius_std,
+      round(min(radius), 6) AS radius_min, round(max(radius), 6) AS radius_max, round(max(radius) - min(radius), 6) AS radius_range
+    FROM m GROUP BY p_partkey"""
+)
+def composition_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good, _ = composition.parse_formulas(_formulas(spark, sf_dir))
+    props = spark.sql(f"SELECT element, CAST(Z AS DOUBLE) AS Z, CAST(radius AS DOUBLE) AS radius FROM {_PROPS}")
+    out = composition.composition_features(good, props, "p_partkey", ("Z", "radius"))
+    return out.select("p_partkey", "n_elements", *[r6(c).alias(c) for c in out.columns[2:]])
+
+
+_FAMILIES = (("Li6PS5Cl", "argyrodites"), ("Li10Ge(PS6)2", "LGPS"), ("Li4SnS4", "thio-LISICON"), ("Li3PS4", "sulfides"), ("Na3PS4", "unknown"), ("LiCoO2", "unknown"))
+
+
+def _six(n: int) -> str:
+    return f"CASE p_partkey % 6 {' '.join(f'WHEN {k} THEN {chr(39)}{x[n]}{chr(39)}' for k, x in enumerate(_FAMILIES))} END"
+
+
+def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as candidates: a formula, and hull energy and gap from whole numbers."""
+    part = table(spark, sf_dir, "part")
+    raw = part.select(F.col("p_partkey").alias("material_id"), F.expr(_six(0)).alias("formula"), (F.col("p_size") / 500).alias("e_above_hull"), (F.col("p_partkey") % 40 / 10).alias("band_gap"))
+    good, _ = composition.parse_formulas(raw)
+    return good
+
+
+@query(f"SELECT p_partkey AS material_id, {_six(0)} AS formula, {_six(1)} AS Family FROM part")
+def family_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.assign_family(_candidates(spark, sf_dir)).select("material_id", "formula", "Family")
+
+
+_POOL = f"(SELECT p_partkey AS id, {_six(0)} AS f, p_partkey % 6 AS k, p_size / 500.0 AS hull, p_partkey % 40 / 10.0 AS gap FROM part)"
+
+
+@query(
+    f"""SELECT u.step AS step, u.stage AS stage, u.n AS n_candidates, u.d AS dropped FROM
+    (SELECT count(*) AS a, count(*) FILTER (k < 4) AS b, count(*) FILTER (k < 4 AND hull <= 0.05) AS c, count(*) FILTER (k < 4 AND hull <= 0.05 AND gap >= 1.5) AS e FROM {_POOL}),
+    LATERAL (VALUES (0, 'all', a, 0), (1, 'include', b, a - b), (2, 'exclude', b, 0), (3, 'n_elements', b, 0), (4, 'hull', c, b - c), (5, 'gap', e, c - e), (6, 'flagged', e, 0)) AS u(step, stage, n, d)"""
+)
+def redox_flag_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return screen.ScreenFilter().funnel(_candidates(spark, sf_dir))
+
+
+@query(
+    f"""WITH c AS (SELECT {_six(1)} AS Family FROM {_POOL} JOIN part ON p_partkey = id WHERE k < 4 AND hull <= 0.05 AND gap >= 1.5)
+    SELECT Family, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 6) AS pct FROM c GROUP BY 1"""
+)
+def screen_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = screen.ScreenFilter().apply(_candidates(spark, sf_dir))
+    return audit.coverage(rules.assign_family(kept), "Family").withColumn("pct", r6("pct"))
+
+
+@query(
+    """WITH t AS (SELECT p_partkey, 12 * (1 + p_partkey % 4) AS a, 6 * (1 + p_size % 6) AS b, 4 * (1 + p_partkey % 9) AS c FROM part)
+    SELECT p_partkey, gcd(gcd(a, b), c)::BIGINT AS factor, a / gcd(gcd(a, b), c) AS li FROM t"""
+)
+def formula_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = "map('Li', CAST(12 * (1 + p_partkey % 4) AS DOUBLE), 'P', CAST(6 * (1 + p_size % 6) AS DOUBLE), 'S', CAST(4 * (1 + p_partkey % 9) AS DOUBLE))"
+    part = table(spark, sf_dir, "part").select("p_partkey", F.expr(made).alias("amounts"))
+    li = F.filter(composition.reduced(F.col("amounts")), lambda x: x["key"] == "Li")[0]["value"]
+    return part.select("p_partkey", composition.common_factor(F.col("amounts")).alias("factor"), li.alias("li"))
+
+
+# ---- screening and ranking
+
+_SCORED = "SELECT l_partkey AS material_id, count(*) AS n, round(sum(l_quantity), 2) AS pred FROM lineitem GROUP BY 1"
+
+
+@query(
+    f"""SELECT material_id, p_size, pred FROM ({_SCORED}) JOIN part ON p_partkey = material_id
+    WHERE p_size BETWEEN 5 AND 25 AND p_retailprice >= 1000 ORDER BY pred DESC, material_id LIMIT 50"""
+)
+def candidate_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("material_id"), "p_size", "p_retailprice").where("p_size BETWEEN 5 AND 25 AND p_retailprice >= 1000")
+    scored = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("material_id")).agg(F.round(F.sum("l_quantity"), 2).alias("pred"))
+    return screen.top_list(scored.join(part, "material_id"), 50, dedupe=None).select("material_id", "p_size", "pred")
+
+
+_BEST = "SELECT p_partkey AS material_id, p_brand AS formula, p_retailprice AS pred FROM part"
+
+
+def _priced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("material_id"), F.col("p_brand").alias("formula"), F.col("p_retailprice").alias("pred"))
+
+
+_FIRST = "QUALIFY row_number() OVER (PARTITION BY formula ORDER BY pred DESC, material_id) = 1"
+
+
+@query(f"SELECT * FROM ({_BEST}) {_FIRST}")
+def dedupe_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return screen.best_of_each(_priced(spark, sf_dir), "formula", "pred", "material_id")
+
+
+@query(f"SELECT * FROM (SELECT * FROM ({_BEST}) ORDER BY pred DESC, material_id LIMIT 20) {_FIRST}")
+def limit_then_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return screen.top_list(_priced(spark, sf_dir), 20, dedupe="after")
+
+
+@query(f"SELECT * FROM (SELECT * FROM ({_BEST}) {_FIRST}) ORDER BY pred DESC, material_id LIMIT 20")
+def dedupe_then_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return screen.top_list(_priced(spark, sf_dir), 20, dedupe="before")
+
+
+@query(f"SELECT material_id, pred, row_number() OVER (ORDER BY pred DESC, material_id) - 1 AS rank FROM ({_BEST})")
+def full_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return screen.with_rank(_priced(spark, sf_dir), "pred", "material_id").select("material_id", "pred", "rank")
+
+
+# ---- evaluation
+
+_PAIR = "SELECT l_orderkey, l_partkey, l_returnflag, l_extendedprice AS y, l_quantity * 1500.0 AS pred FROM lineitem"
+_METRICS = "count(*) AS n, round(avg(abs(pred - y)), 4) AS mae, round(sqrt(avg((pred - y) * (pred - y))), 4) AS rmse, round(1 - sum((pred - y) * (pred - y)) / (count(*) * var_pop(y)), 6) AS r2"
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_returnflag", F.col("l_extendedprice").alias("y"), (F.col("l_quantity") * 1500.0).alias("pred"))
+
+
+def _rounded(df: DataFrame, names: tuple[str, ...], digits: dict[str, int] | None = None) -> DataFrame:
+    return df.withColumns({c: F.round(c, (digits or {}).get(c, 6 if c.startswith("r2") else 4)) for c in names})
+
+
+@query(f"SELECT {_METRICS} FROM ({_PAIR})")
+def regression_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(metrics.regression_metrics(_pairs(spark, sf_dir), "y", "pred"), ("mae", "rmse", "r2"))
+
+
+@query(f"SELECT l_returnflag, {_METRICS} FROM ({_PAIR}) GROUP BY 1")
+def metrics_by_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(metrics.regression_metrics(_pairs(spark, sf_dir), "y", "pred", ["l_returnflag"]), ("mae", "rmse", "r2"))
+
+
+@query(
+    f"""WITH f AS (SELECT l_orderkey % 5 AS fold, avg(abs(pred - y)) AS mae, sqrt(avg((pred - y) * (pred - y))) AS rmse, 1 - sum((pred - y) * (pred - y)) / (count(*) * var_pop(y)) AS r2 FROM ({_PAIR}) GROUP BY 1)
+    SELECT round(avg(mae), 4) AS mae_mean, round(stddev_samp(mae), 4) AS mae_std_samp, round(avg(rmse), 4) AS rmse_mean, round(stddev_samp(rmse), 4) AS rmse_std_samp,
+      round(avg(r2), 6) AS r2_mean, round(stddev_samp(r2), 6) AS r2_std_samp FROM f"""
+)
+def fold_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folds = _pairs(spark, sf_dir).withColumn("fold", F.col("l_orderkey") % 5)
+    out = metrics.fold_summary(metrics.regression_metrics(folds, "y", "pred", ["fold"]))
+    return _rounded(out, tuple(out.columns))
+
+
+@query("SELECT p_brand, round(median(p_retailprice), 6) AS median FROM part GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
+def group_median_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.group_median(table(spark, sf_dir, "part"), "p_brand", "p_retailprice", 10).withColumn("median", r6("median"))
+
+
+@query("SELECT l_partkey, round(avg(l_quantity), 6) AS ens_mean, round(stddev_pop(l_quantity), 6) AS ens_std FROM lineitem GROUP BY 1")
+def ensemble_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = metrics.ensemble_spread(table(spark, sf_dir, "lineitem"), "l_partkey", "l_quantity")
+    return out.select("l_partkey", r6("ens_mean").alias("ens_mean"), r6("ens_std").alias("ens_std"))
+
+
+@query(
+    """WITH e AS (SELECT list_sort(list_distinct(quantile_cont(l_quantity, [0, 0.2, 0.4, 0.6, 0.8, 1.0]))) AS edges FROM lineitem),
+    b AS (SELECT greatest(len(list_filter(edges, lambda x: x < l_quantity)) - 1, 0)::INT AS bin, l_quantity AS sd, l_discount AS err FROM lineitem, e)
+    SELECT bin, round(avg(sd), 6) AS mean_std, round(sqrt(avg(err * err)), 6) AS rmse, count(*) AS n FROM b GROUP BY 1"""
+)
+def quantile_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = metrics.calibration(table(spark, sf_dir, "lineitem"), "l_quantity", "l_discount")
+    return out.select("bin", r6("mean_std").alias("mean_std"), r6("rmse").alias("rmse"), "n")
+
+
+@query("SELECT s_suppkey, round(100.0 * (SELECT count(*) FROM customer WHERE c_acctbal < s_acctbal) / (SELECT count(*) FROM customer), 6) AS percentile FROM supplier")
+def pool_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    leads = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_acctbal").alias("v"))
+    pool = table(spark, sf_dir, "customer").select(F.col("c_acctbal").alias("v"))
+    return metrics.pool_percentile(leads, pool, "v").select("s_suppkey", r6("percentile").alias("percentile"))
+
+
+@query(
+    """WITH r AS (SELECT rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2.0 AS a,
+      rank() OVER (ORDER BY l_discount) + (count(*) OVER (PARTITION BY l_discount) - 1) / 2.0 AS b FROM lineitem) SELECT round(corr(a, b), 6) AS rho FROM r"""
+)
+def spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_quantity").alias("a"), F.col("l_discount").alias("b"))
+    ranked = metrics.average_rank(metrics.average_rank(rows, "a", "ra"), "b", "rb")
+    return ranked.agg(r6(F.corr("ra", "rb")).alias("rho"))
+
+
+@query(
+    """WITH e AS (SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders)
+    SELECT least(floor((o_totalprice - lo) / (hi - lo) * 30)::INT + 1, 30) AS bucket, count(*) AS n FROM orders, e GROUP BY 1"""
+)
+def histogram_30(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.histogram(table(spark, sf_dir, "orders"), "o_totalprice")
+
+
+@query(
+    """WITH e AS (SELECT event_type, min(value) AS lo, max(value) AS hi FROM events GROUP BY 1),
+    b AS (SELECT event_id, event_type, value, CASE WHEN hi > lo THEN least(floor((value - lo) / (hi - lo) * 100), 99) ELSE 0 END AS bin FROM events JOIN e USING (event_type)),
+    k AS (SELECT *, row_number() OVER (PARTITION BY event_type, bin ORDER BY value, event_id) - 1 AS k, count(*) OVER (PARTITION BY event_type, bin) AS n FROM b)
+    SELECT event_id, round((CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END) * 0.42 * least(1.0, ceil(k / 2.0) / (0.03 * n + 1)), 6) + 0.0 AS "offset" FROM k"""
+)
+def density_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = metrics.density_offsets(table(spark, sf_dir, "events"), "event_type", "value", "event_id")
+    return out.select("event_id", (r6("offset") + 0.0).alias("offset"))
+
+
+@query(
+    """WITH e AS (SELECT event_type, quantile_cont(value, 0.05) AS lo, quantile_cont(value, 0.95) AS hi FROM events GROUP BY 1)
+    SELECT event_id, round(CASE WHEN hi > lo THEN greatest(0.0, least(1.0, (value - lo) / (hi - lo))) ELSE 0.5 END, 6) AS scaled FROM events JOIN e USING (event_type)"""
+)
+def clip_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.clip_normalised(table(spark, sf_dir, "events"), "event_type", "value").select("event_id", r6("scaled").alias("scaled"))
+
+
+@query("SELECT floor((min(o_totalprice) - 0.4) * 2) / 2 AS label_floor, min(o_totalprice) - 0.5 AS axis_low, max(o_totalprice) + 0.5 AS axis_high FROM orders")
+def axis_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.axis_stats(table(spark, sf_dir, "orders"), "o_totalprice")
+
+
+# ---- reports
+
+
+@query("SELECT o_orderpriority, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 6) AS pct FROM orders GROUP BY 1")
+def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.coverage(table(spark, sf_dir, "orders"), "o_orderpriority").withColumn("pct", r6("pct"))
+
+
+_CATEGORIES = "(VALUES ('view', 'seen', 0), ('click', 'clicked', 1), ('purchase_kept', 'bought', 2), ('refund', 'returned', 3)) AS t(category, label, position)"
+
+
+@query(
+    f"""SELECT category, label, position, coalesce(n, 0) AS n, ends_with(category, '_kept') AS kept FROM {_CATEGORIES}
+    LEFT JOIN (SELECT CASE WHEN event_type = 'purchase' THEN 'purchase_kept' ELSE event_type END AS category, count(*) AS n FROM events GROUP BY 1) USING (category)"""
+)
+def audit_zero_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = table(spark, sf_dir, "events").select(F.when(F.col("event_type") == "purchase", "purchase_kept").otherwise(F.col("event_type")).alias("category"))
+    return audit.verdict_counts(named, spark.sql(f"SELECT * FROM {_CATEGORIES}"))
+
+
+@query(
+    """WITH m AS (SELECT user_id AS label, max(CAST(json_extract(props, '$.k') AS DOUBLE)) AS sigma FROM events GROUP BY 1)
+    SELECT c_custkey, sigma AS sigma300_mS_cm, coalesce(sigma >= 1.0, false) AS good FROM customer LEFT JOIN m ON label = c_custkey"""
+)
+def lead_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.get_json_object("props", "$.k").cast("double")
+    found = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("c_custkey")).agg(F.max(k).alias("sigma300_mS_cm"))
+    leads = table(spark, sf_dir, "customer").select("c_custkey")
+    return audit.with_metrics(leads, found, "c_custkey").select("c_custkey", "sigma300_mS_cm", "good")
+
+
+@query("SELECT c_custkey AS id, c_acctbal AS ens_mean, 'mp' AS kind, NULL::VARCHAR AS label FROM customer UNION ALL SELECT s_suppkey, s_acctbal, 'lead', s_name FROM supplier")
+def risk_map_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pool = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("ens_mean"))
+    leads = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("ens_mean"), F.col("s_name").alias("label"))
+    return audit.risk_map(pool, leads)
+
+
+_NAMES = "CASE p_partkey % 5 WHEN 0 THEN 'X_mean' WHEN 1 THEN 'spacegroup_no' WHEN 2 THEN 'radius_range' WHEN 3 THEN 'other' ELSE 'Z' END"
+
+
+@query(
+    f"""SELECT p_partkey, CASE {_NAMES} WHEN 'X_mean' THEN 'Electronegativity (mean)' WHEN 'spacegroup_no' THEN 'Space-group no.' WHEN 'radius_range' THEN 'Atomic radius (range)'
+    WHEN 'Z' THEN 'Formula units per cell' ELSE 'other' END AS label FROM part"""
+)
+def feature_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", parse.feature_label(F.expr(_NAMES)).alias("label"))
+
+
+@query(f"SELECT p_partkey, regexp_replace({_FORMULA}, '([0-9]+)', '$_{{\\1}}$', 'g') AS shown FROM part")
+def subscript(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _formulas(spark, sf_dir).select("p_partkey", parse.subscripts(F.col("formula")).alias("shown"))
+
+
+@query("SELECT p_partkey, printf('%.1e', p_size * 1.0) AS shown FROM part")
+def report_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", parse.scientific(F.col("p_size").cast("double")).alias("shown"))
+
+
+@query(
+    """WITH p AS (SELECT unnest(range(len(embedding))) AS k, unnest(embedding) AS phi FROM embeddings)
+    SELECT concat('f', k) AS feature, round(avg(abs(phi)), 6) AS mean_abs FROM p GROUP BY 1 ORDER BY avg(abs(phi)) DESC, 1 LIMIT 15"""
+)
+def mean_abs_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    phi = table(spark, sf_dir, "embeddings").select(F.posexplode("embedding").alias("k", "phi")).select(F.concat(F.lit("f"), F.col("k").cast("string")).alias("feature"), F.col("phi").cast("double").alias("phi"))
+    return metrics.top_features(phi).select("feature", r6("mean_abs").alias("mean_abs"))
+
+
+@query("SELECT round(max(abs(l_extendedprice - l_quantity * 1500.0)), 4) AS max_abs_diff FROM lineitem")
+def model_disagreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.disagreement(_pairs(spark, sf_dir), "y", "pred").select(F.round("max_abs_diff", 4).alias("max_abs_diff"))
+
+
+# ---- models: rows only, as SQL cannot train
+
+_FEATURES = model.Features(("p_size", "p_retailprice", "n", "discount"), ("p_brand",))
+
+
+def _training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each part: what it sold for, from its own columns and its orders."""
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.avg("l_extendedprice").alias("y"), F.count(F.lit(1)).cast("double").alias("n"), F.avg("l_discount").alias("discount"))
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("double").alias("p_size"), "p_retailprice", "p_brand")
+    rows = part.join(lines, part["id"] == lines["l_partkey"]).withColumn("y", F.log10("y"))
+    return model.align_features(rows, _FEATURES, ("id", "y")).withColumn("fold", metrics.hashed_fold(F.col("id"))).cache()
+
+
+def _split(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return rows.where("fold <> 0"), rows.where("fold = 0")
+
+
+@query()
+def forest_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train, test = _split(_training(spark, sf_dir))
+    return model.holdout_metrics(model.forest(_FEATURES, trees=20, depth=5).fit(train), test)
+
+
+@query()
+def boosted_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train, test = _split(_training(spark, sf_dir))
+    return model.holdout_metrics(model.boosted(_FEATURES, trees=8, depth=4, rate=0.3).fit(train), test)
+
+
+@query()
+def cv_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _training(spark, sf_dir)
+    return model.cross_validate(rows.withColumn("fold", F.col("fold") % 3), lambda: model.forest(_FEATURES, trees=10, depth=4), k=3)[1]
+
+
+def _boosted(rows: DataFrame, seed: int = 1, share: float = 1.0) -> Pipeline:
+    return model.boosted(_FEATURES, trees=6, depth=4, rate=0.3, seed=seed, share=share)
+
+
+@query()
+def seed_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train, test = _split(_training(spark, sf_dir))
+    models = model.fit_ensemble(train, lambda s: _boosted(train, s, 0.8), seeds=(0, 1, 2))
+    return model.score_ensemble(models, test, ("id", "y")).select("id", "y", "ens_mean", "ens_std")
+
+
+@query()
+def score_and_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train, test = _split(_training(spark, sf_dir))
+    scored = model.score(_boosted(train).fit(train), test)
+    return screen.with_rank(scored.select("id", "pred", "pred_sigma"), "pred", "id")
+
+
+def _explained(spark: SparkSession, sf_dir: str):
+    import uuid
+
+    train, test = _split(_training(spark, sf_dir))
+    fitted = _boosted(train).fit(train)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    place = f"{base}/tree-model-{uuid.uuid4().hex}"
+    fitted.stages[-1].write().overwrite().save(place)
+    paths, weights = attribution.tree_paths(spark, place)
+    names = fitted.stages[-2].getInputCols()
+    prepared = fitted.transform(test)
+    return prepared, paths, weights, names
+
+
+@query()
+def tree_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepared, paths, weights, names = _explained(spark, sf_dir)
+    return attribution.attribute(prepared, paths, weights, names)
+
+
+@query()
+def virtual_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepared, paths, weights, _ = _explained(spark, sf_dir)
+    return attribution.virtual_ensemble(prepared, paths, weights, 4)
