@@ -47,9 +47,11 @@ def _packed(hashes: np.ndarray, docs: np.ndarray, at: np.ndarray, buckets: int)
     if later.any():
         #: Known to repeat here: sent on only to be gathered by document.
         yield int(docs[0] % buckets), b"", b"", docs[later].tobytes(), at[later].tobytes()
-    hashes, docs, at, twice = hashes[first], docs[first], at[first], twice[first]
+    #: Back in the order of documents and places, in which both compress well.
+    back = np.argsort(order[first])
+    hashes, docs, at, twice = (x[first][back] for x in (hashes, docs, at, twice))
     bucket = (hashes % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(bucket * np.int64(1), kind="stable")
+    order = np.argsort(bucket, kind="stable")
     ends = np.searchsorted(bucket[order], np.arange(buckets), "right")
     start = 0
     for k, end in enumerate(ends.tolist()):
@@ -61,21 +63,23 @@ def _packed(hashes: np.ndarray, docs: np.ndarray, at: np.ndarray, buckets: int)
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
     kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["bucket", "hashes", "twice", "docs", "at"])
+    columns = zip(*rows, strict=True) if rows else [()] * 5
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], ["bucket", "hashes", "twice", "docs", "at"])
+
+
+def _packed_batches(got: list[tuple[int, np.ndarray, np.ndarray]], buckets: int) -> Iterator[pa.RecordBatch]:
+    if got:
+        got = sorted(got, key=lambda x: x[0])
+        docs = np.repeat(np.array([x[0] for x in got], np.int64), [x[1].size for x in got])
+        rows = list(_packed(np.concatenate([x[1] for x in got]), docs, np.concatenate([x[2] for x in got]), buckets))
+        for k in range(0, len(rows), 32):
+            yield _rows(rows[k : k + 32])
 
 
 def _in_batches(batches: Iterator[pa.RecordBatch], entries, buckets: int) -> Iterator[pa.RecordBatch]:
     """``entries(row)`` gives a document's hashes and their places; batches of documents are packed."""
     waiting: list[tuple[int, np.ndarray, np.ndarray]] = []
     n = 0
-
-    def packed() -> Iterator[pa.RecordBatch]:
-        waiting.sort(key=lambda x: x[0])
-        docs = np.repeat(np.array([x[0] for x in waiting], np.int64), [x[1].size for x in waiting])
-        rows = list(_packed(np.concatenate([x[1] for x in waiting]), docs, np.concatenate([x[2] for x in waiting]), buckets))
-        for k in range(0, len(rows), 32):
-            yield _rows(rows[k : k + 32])
-
     for batch in batches:
         for row in zip(*(x.to_pylist() for x in batch.columns), strict=True):
             hashes, at = entries(row)
@@ -83,14 +87,13 @@ def _in_batches(batches: Iterator[pa.RecordBatch], entries, buckets: int) -> Ite
                 waiting.append((row[0], hashes, at.astype(np.int32)))
                 n += hashes.size
                 if n >= BATCH:
-                    yield from packed()
+                    yield from _packed_batches(waiting, buckets)
                     waiting, n = [], 0
-    if waiting:
-        yield from packed()
+    yield from _packed_batches(waiting, buckets)
 
 
-def _repeated(batches: Iterator[pa.RecordBatch], keep_first: bool) -> Iterator[pa.RecordBatch]:
-    """Of a task's buckets: each document's places whose hash repeats; all but the first of each hash if ``keep_first``."""
+def _repeated(batches: Iterator[pa.RecordBatch], keep_first: bool, groups: int) -> Iterator[pa.RecordBatch]:
+    """Of a task's buckets: the places whose hash repeats, by groups of documents; all but the first of each hash if ``keep_first``."""
     got: list[list[np.ndarray]] = [[], [], [], []]
     known: list[tuple[np.ndarray, np.ndarray]] = []
     for batch in batches:
@@ -117,30 +120,51 @@ def _repeated(batches: Iterator[pa.RecordBatch], keep_first: bool) -> Iterator[p
     if not known:
         return
     docs, at = (np.concatenate(x) for x in zip(*known, strict=True))
-    order = np.argsort(docs, kind="stable")
-    docs, at = docs[order], at[order]
-    starts = np.flatnonzero(np.append(True, docs[1:] != docs[:-1])) if docs.size else np.empty(0, np.int64)
-    for k in range(0, starts.size, 5_000):
-        some = starts[k : k + 5_000]
-        end = starts[k + 5_000] if k + 5_000 < starts.size else docs.size
-        lists = pa.ListArray.from_arrays(pa.array(np.append(some, end) - some[0], pa.int32()), pa.array(at[some[0] : end]))
-        yield pa.RecordBatch.from_arrays([pa.array(docs[some]), lists], ["key", "at"])
+    group = _group(docs, groups)
+    order = np.argsort(group, kind="stable")
+    ends = np.searchsorted(group[order], np.arange(groups), "right")
+    rows, start = [], 0
+    for g, end in enumerate(ends.tolist()):
+        if end > start:
+            part = order[start:end]
+            rows.append((g, docs[part].tobytes(), at[part].tobytes()))
+        start = end
+    for k in range(0, len(rows), 64):
+        columns = zip(*rows[k : k + 64], strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, [pa.int32(), pa.binary(), pa.binary()], strict=True)], ["g", "docs", "at"])
+
+
+def _group(keys: np.ndarray, groups: int) -> np.ndarray:
+    return (keys ^ (keys >> 7) ^ (keys >> 17)) % groups
 
 
 def _places(packed: DataFrame, n: int, keep_first: bool) -> DataFrame:
-    found = packed.repartition(n, "bucket").mapInArrow(lambda batches: _repeated(batches, keep_first), "key long, at array<int>")
-    return found.groupBy("key").agg(F.flatten(F.collect_list("at")).alias("at"))
+    """``g, docs, at``: the places found, one row for each task and group of documents."""
+    return packed.repartition(n, "bucket").mapInArrow(lambda batches: _repeated(batches, keep_first, n), "g int, docs binary, at binary")
+
+
+def _by_doc(found: pa.Table) -> dict[int, np.ndarray]:
+    """A group's places by document."""
+    if not found.num_rows:
+        return {}
+    docs, at = (np.concatenate([np.frombuffer(x, t) for x in found[c].to_pylist()]) for c, t in (("docs", np.int64), ("at", np.int32)))
+    order = np.argsort(docs, kind="stable")
+    docs, at = docs[order], at[order]
+    starts = np.flatnonzero(np.append(True, docs[1:] != docs[:-1]))
+    return dict(zip(docs[starts].tolist(), np.split(at, starts[1:]), strict=True))
 
 
 def repeated_windows(docs: DataFrame, window: int = 20) -> tuple[DataFrame, DataFrame]:
-    """The documents (``key, doc_id, text``), dealt by key, and for those that
-    have any, the starts ``at`` of their windows that occur earlier too."""
+    """The documents (``g, key, text``), dealt by groups ``g`` of keys, and by
+    group the documents and starts of windows that occur earlier too."""
     if window < PERIOD + RUN - 1:
         raise ValueError(f"windows of fewer than {PERIOD + RUN - 1} words can miss the anchors")
     spark = docs.sparkSession
     importable(spark)
     n = max(parts(spark), docs.rdd.getNumPartitions())
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+    rows = docs.select(key.alias("key"), F.col("text").cast("string").alias("text"))
+    group = F.pmod(F.col("key").bitwiseXOR(F.shiftright("key", 7)).bitwiseXOR(F.shiftright("key", 17)), F.lit(n)).cast("int")
 
     def anchors(row: tuple) -> tuple[np.ndarray, np.ndarray]:
         words = split(row[1])
@@ -151,20 +175,27 @@ def repeated_windows(docs: DataFrame, window: int = 20) -> tuple[DataFrame, Data
         at = at[np.isin(at % PERIOD, COVER)]
         return hashes[at], at
 
-    def windows(row: tuple) -> tuple[np.ndarray, np.ndarray]:
-        hashes = run_hashes(word_hashes(split(row[1])), window)
+    def windows(text: str | None, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        hashes = run_hashes(word_hashes(split(text)), window)
         near = np.zeros(hashes.size + window + 1, np.int32)
-        at = np.asarray(row[2])
         np.add.at(near, np.maximum(at - (window - RUN), 0), 1)
         np.add.at(near, at + 1, -1)
         starts = np.flatnonzero(np.cumsum(near)[: hashes.size] > 0)
         return hashes[starts], starts
 
-    some = rows.select("key", "text").mapInArrow(lambda batches: _in_batches(batches, anchors, n), PACKED)
-    dealt = rows.repartition(n, "key")
-    near = dealt.join(_places(some, n, False), "key").select("key", "text", "at")
-    whole = near.mapInArrow(lambda batches: _in_batches(batches, windows, n), PACKED)
-    return dealt, _places(whole, n, True)
+    def whole(table: pa.Table, found: pa.Table) -> pa.Table:
+        places, got = _by_doc(found), []
+        for k, text in zip(table["key"].to_pylist(), table["text"].to_pylist(), strict=True):
+            if k in places:
+                hashes, at = windows(text, places[k])
+                if hashes.size:
+                    got.append((k, hashes, at.astype(np.int32)))
+        return pa.Table.from_batches(list(_packed_batches(got, n)), _rows([]).schema)
+
+    some = rows.mapInArrow(lambda batches: _in_batches(batches, anchors, n), PACKED)
+    dealt = rows.select(group.alias("g"), "key", "text").repartition(n, "g")
+    near = dealt.groupBy("g").cogroup(_places(some, n, False).groupBy("g")).applyInArrow(whole, PACKED)
+    return dealt, _places(near, n, True)
 
 
 def without_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
@@ -177,21 +208,21 @@ def without_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
     """
     dealt, found = repeated_windows(docs, window)
 
-    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[list] = [[], [], [], []]
-            for doc_id, text, at in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                words = split(text)
-                n = len(words)
-                if at:
-                    change = np.zeros(n + 1, np.int32)
-                    np.add.at(change, at, 1)
-                    np.add.at(change, np.asarray(at) + window, -1)
-                    words = [words[k] for k in np.flatnonzero(np.cumsum(change)[:n] == 0).tolist()]
-                for column, x in zip(out, (doc_id, n, n - len(words), b" ".join(words)), strict=True):
-                    column.append(x)
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-            arrays = [pa.array(x, t) for x, t in zip(out, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([*arrays[:3], arrays[3].cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept_text"])
-
-    return dealt.join(found, "key", "left").select("doc_id", "text", "at").mapInArrow(kept, "doc_id long, n_words long, n_removed long, kept_text string")
+    def kept(table: pa.Table, found: pa.Table) -> pa.Table:
+        places, out = _by_doc(found), [[], [], [], []]
+        for key, text in zip(table["key"].to_pylist(), table["text"].to_pylist(), strict=True):
+            words = split(text)
+            n = len(words)
+            if key in places:
+                change = np.zeros(n + 1, np.int32)
+                at = places[key]
+                at = at[at + window <= n]
+                np.add.at(change, at, 1)
+                np.add.at(change, at + window, -1)
+                words = [words[k] for k in np.flatnonzero(np.cumsum(change)[:n] == 0).tolist()]
+            for column, x in zip(out, (None if key == NO_ID else key, n, n - len(words), b" ".join(words)), strict=True):
+                column.append(x)
+        arrays = [pa.array(x, t) for x, t in zip(out, [pa.int64(), pa.int64(), pa.int64(), pa.binary()], strict=True)]
+        return pa.table([*arrays[:3], arrays[3].cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept_text"])
+
+    return dealt.groupBy("g").cogroup(found.groupBy("g")).applyInArrow(kept, "doc_id long, n_words long, n_removed long, kept_text string")
