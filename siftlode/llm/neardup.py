@@ -39,7 +39,7 @@ from siftlode.llm.shared import importable, stored, work_dir
 
 TOKENS = 64
 #: Nodes of a place that are compared exhaustively.
-LEAF = 256
+LEAF = 4_096
 DEPTH = 5
 NO_ID = -(1 << 63)
 _SEEDS = np.random.default_rng(5_081_993).integers(0, 1 << 32, (3, TOKENS), np.uint32)
@@ -90,28 +90,43 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def _close(sketches: list[bytes], least: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each member the later ones that agree in ``least`` bytes or more, and in how many."""
-    all_of = np.frombuffer(b"".join(sketches), np.uint8).reshape(len(sketches), -1)
-    for i in range(len(sketches) - 1):
-        same = (all_of[i + 1 :] == all_of[i]).sum(1, dtype=np.int32)
-        at = np.flatnonzero(same >= least)
-        if at.size:
-            yield i, at + i + 1, same[at]
+def _agreement(sketches: np.ndarray, i: int) -> np.ndarray:
+    """In how many bytes row ``i`` agrees with each later row: equal bytes are ones, added up eight at a time."""
+    ones = (sketches[i + 1 :] == sketches[i]).view(np.uint64).sum(1)
+    return (ones * np.uint64(0x0101010101010101)) >> np.uint64(56)
 
 
-class _Joined:
-    """Union-find over the members of one place."""
+def _matrix(sketches: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(sketches), np.uint8).reshape(len(sketches), -1)
 
-    def __init__(self, labels: list):
-        first: dict = {}
-        self.up = [first.setdefault(x, i) for i, x in enumerate(labels)]
 
-    def find(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
-        return i
+def _numbered(labels: list[bytes]) -> np.ndarray:
+    first: dict[bytes, int] = {}
+    return np.array([first.setdefault(x, len(first)) for x in labels], np.int64)
+
+
+class _Shared:
+    """Sizes of the intersections of a place's sets, by bits for the elements that two or more have."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sets, self.sizes = sets, np.array([x.size for x in sets], np.int64)
+        every = np.concatenate(sets)
+        values, which, n = np.unique(every, return_inverse=True, return_counts=True)
+        bit = np.cumsum(n > 1) - 1
+        width = (int(bit[-1]) + 64) // 64 if values.size else 0
+        self.bits = None
+        if len(sets) * width <= 25_000_000:
+            keep = (n > 1)[which]
+            row, column = np.repeat(np.arange(len(sets)), self.sizes)[keep], bit[which][keep]
+            self.bits = np.zeros((len(sets), max(width, 1)), np.uint64)
+            np.bitwise_or.at(self.bits, (row, column >> 6), np.uint64(1) << (column & 63).astype(np.uint64))
+
+    def linked(self, i: int, at: np.ndarray, percent: int) -> np.ndarray:
+        """Which of the sets ``at`` are linked with set ``i``."""
+        if self.bits is None:
+            return at[[linked(self.sets[i], self.sets[j], percent) for j in at.tolist()]]
+        both = np.bitwise_count(self.bits[at] & self.bits[i]).sum(1, dtype=np.int64)
+        return at[100 * both >= percent * (self.sizes[i] + self.sizes[at] - both)]
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -137,14 +152,16 @@ def _candidates(places: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             paths, nodes = [], []
             for path, members in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                labels = [x["label"] for x in members]
-                near: set[int] = set()
-                for i, others, _ in _close([x["sketch"] for x in members], least):
-                    for j in others.tolist():
-                        if labels[i] != labels[j]:
-                            near |= {i, j}
-                paths += [path] * len(near)
-                nodes += [members[i]["node"] for i in sorted(near)]
+                label, sketches = _numbered([x["label"] for x in members]), _matrix([x["sketch"] for x in members])
+                near = np.zeros(label.size, bool)
+                for i in range(label.size - 1):
+                    may = (_agreement(sketches, i) >= least) & (label[i + 1 :] != label[i])
+                    if may.any():
+                        near[i] = True
+                        near[i + 1 :] |= may
+                found = np.flatnonzero(near).tolist()
+                paths += [path] * len(found)
+                nodes += [members[i]["node"] for i in found]
             yield pa.RecordBatch.from_arrays([pa.array(paths, pa.int64()), pa.array(nodes, pa.binary())], ["path", "node"])
 
     grouped = places.groupBy("path").agg(F.collect_list(F.struct("node", "sketch", "label")).alias("members"))
@@ -159,13 +176,15 @@ def _verified(places: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             links: list[tuple[bytes, bytes]] = []
             for members in batch.column(1).to_pylist():
-                joined, sets = _Joined([x["label"] for x in members]), [np.frombuffer(x["shingles"], np.uint64) for x in members]
-                pairs = [(-n, i, j) for i, others, same in _close([x["sketch"] for x in members], least) for j, n in zip(others.tolist(), same.tolist(), strict=True)]
-                for _, i, j in sorted(pairs):
-                    p, q = joined.find(i), joined.find(j)
-                    if p != q and linked(sets[i], sets[j], percent):
-                        joined.up[p] = q
-                        links.append((members[i]["node"], members[j]["node"]))
+                label, sketches = _numbered([x["label"] for x in members]), _matrix([x["sketch"] for x in members])
+                shared = _Shared([np.frombuffer(x["shingles"], np.uint64) for x in members])
+                for i in range(label.size - 1):
+                    at = np.flatnonzero((_agreement(sketches, i) >= least) & (label[i + 1 :] != label[i])) + i + 1
+                    at = shared.linked(i, at, percent) if at.size else at
+                    if at.size:
+                        joined, first = np.unique(label[at], return_index=True)
+                        links += [(members[i]["node"], members[j]["node"]) for j in at[first].tolist()]
+                        label[np.isin(label, joined)] = label[i]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in (zip(*links, strict=True) if links else ((), ()))], ["a", "b"])
 
     grouped = places.groupBy("path").agg(F.collect_list(F.struct("node", "sketch", "label", "shingles")).alias("members"))
@@ -173,18 +192,18 @@ def _verified(places: DataFrame, percent: int) -> DataFrame:
 
 
 def _leaders(large: DataFrame) -> DataFrame:
-    """``path, leader``: the member that agrees best with the most frequent value of 32 of the bytes."""
-    byte = F.posexplode(F.transform(F.sequence(F.lit(1), F.lit(TOKENS), F.lit(2)), lambda i: F.substring("sketch", i, F.lit(1))))
-    values = large.select("path", "node", byte.alias("pos", "value"))
-    counts = values.groupBy("path", "pos", "value").agg(F.count(F.lit(1)).alias("n"))
-    usual = counts.groupBy("path", "pos").agg(F.max_by("value", F.struct("n", "value")).alias("value"))
-    agree = values.join(usual, ["path", "pos", "value"]).groupBy("path", "node").agg(F.count(F.lit(1)).alias("n"))
-    return agree.groupBy("path").agg(F.max_by("node", F.struct("n", "node")).alias("leader"))
+    """``path, leader, leader_label``: the member that agrees best with the most frequent values of 32 of the bytes."""
+    places = range(1, TOKENS + 1, 2)
+    byte = lambda i: F.substring("sketch", i, 1)
+    usual = large.groupBy("path").agg(*[F.mode(byte(i)).alias(f"u{i}") for i in places])
+    agree = sum((byte(i) == F.col(f"u{i}")).cast("int") for i in places)
+    best = large.join(usual, "path").groupBy("path").agg(F.max_by(F.struct("node", "label"), F.struct(agree.alias("n"), F.col("node"))).alias("best"))
+    return best.select("path", F.col("best.node").alias("leader"), F.col("best.label").alias("leader_label"))
 
 
 def _stars(large: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links ``a, b`` of the members of large places with one member each."""
-    pairs = large.select("path", "node").join(_leaders(large), "path").where("node <> leader").select("node", "leader").distinct()
+    """Links ``a, b`` of the members of large places with one member each, where they are not in one component yet."""
+    pairs = large.select("path", "node", "label").join(_leaders(large), "path").where("label <> leader_label").select("node", "leader").distinct()
     pairs = pairs.join(sets, "node").join(sets.select(F.col("node").alias("leader"), F.col("shingles").alias("others")), "leader")
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,8 +286,10 @@ def near_duplicates(docs: DataFrame, percent: int = 80, trees: int = 5, folder:
         return stored(components(every_link, folder, f"c-{name}"), folder, f"labels-{name}")
 
     labels = linked_now(compared(small.where("tree = 0").select("path", "node", "sketch").withColumn("label", F.col("node")), near), "first")
-    rest = _sized(_labelled(small.where("tree > 0").select("path", "node", "sketch"), labels)).drop("n")
-    labels = linked_now(compared(rest, near), "rest")
+    #: Only members that may be linked with another component: their sets travel, the others' stay.
+    rest = _sized(_labelled(small.where("tree > 0").select("path", "node", "sketch").join(near, ["path", "node"]), labels)).drop("n")
+    rest = stored(rest, folder, "places-rest")
+    labels = linked_now(compared(rest), "rest")
 
     depth = 0
     while not large.isEmpty():
