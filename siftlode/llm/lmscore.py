@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +31,19 @@ BACKOFF = 0.4
 _ODD = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
+def _squeezed(values: np.ndarray, rising: bool = False) -> bytes:
+    """Whole numbers as compressed byte planes; rising ones by their differences."""
+    values = np.diff(values, prepend=values.dtype.type(0)) if rising else values
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T)
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def _loose(data: bytes, kind: type, rising: bool = False) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    values = np.ascontiguousarray(planes.T).view(kind).ravel()
+    return np.cumsum(values, dtype=kind) if rising else values
+
+
 class _Group:
     """The words of a group's documents and the hashes of their n-grams, by the place of the last word."""
 
@@ -79,12 +93,12 @@ class _Distinct:
         """The corpus' count of each n-gram asked about, by place."""
         counts = np.zeros(self.hashes.size, np.uint32)
         for k, part in self.parts():
-            counts[part] = np.frombuffer(answers[k], np.uint32)
+            counts[part] = _loose(answers[k], np.uint32)
         return counts[self.which].astype(np.int64)
 
 
 def _asked(g: int, orders: list[tuple[int, _Distinct]]) -> pa.Table:
-    rows = [(k, g, n, x.hashes[part].tobytes(), x.own[part].tobytes()) for n, x in orders for k, part in x.parts()]
+    rows = [(k, g, n, _squeezed(x.hashes[part], rising=True), _squeezed(x.own[part])) for n, x in orders for k, part in x.parts()]
     kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
     columns = zip(*rows, strict=True) if rows else [()] * 5
     return pa.table([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], ["bucket", "g", "n", "hashes", "counts"])
@@ -95,8 +109,9 @@ def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     asks = [x for batch in batches for x in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
     if not asks:
         return
-    hashes = np.concatenate([np.frombuffer(x[3], np.uint64) for x in asks])
-    counts = np.concatenate([np.frombuffer(x[4], np.uint32) for x in asks]).astype(np.int64)
+    each = [_loose(x[3], np.uint64, rising=True) for x in asks]
+    hashes = np.concatenate(each)
+    counts = np.concatenate([_loose(x[4], np.uint32) for x in asks]).astype(np.int64)
     order = np.argsort(hashes)
     first = np.ones(hashes.size, bool)
     first[1:] = hashes[order[1:]] != hashes[order[:-1]]
@@ -104,9 +119,9 @@ def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.empty(hashes.size, np.uint32)
     total[order] = np.minimum(sums, 0xFFFFFFFF)[np.cumsum(first) - 1]
     start, rows = 0, []
-    for bucket, g, n, asked, _ in asks:
-        end = start + len(asked) // 8
-        rows.append((g, n, bucket, total[start:end].tobytes()))
+    for (bucket, g, n, _, _), asked in zip(asks, each, strict=True):
+        end = start + asked.size
+        rows.append((g, n, bucket, _squeezed(total[start:end])))
         start = end
     kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary()]
     for k in range(0, len(rows), 64):
