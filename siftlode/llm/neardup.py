@@ -33,6 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftlode.llm.decontam import bounded
 from siftlode.llm.graph import components
 from siftlode.llm.hashing import mixed, run_hashes, word_hashes
 from siftlode.llm.shared import importable, stored, work_dir
@@ -41,6 +42,8 @@ TOKENS = 64
 #: Nodes of a place that are compared exhaustively.
 LEAF = 4_096
 DEPTH = 5
+#: Rows of members that are broadcast to the table of sets at most; more are shuffled, and the sets with them.
+FEW = 300_000
 NO_ID = -(1 << 63)
 _SEEDS = np.random.default_rng(5_081_993).integers(0, 1 << 32, (3, TOKENS), np.uint32)
 
@@ -201,10 +204,11 @@ def _leaders(large: DataFrame) -> DataFrame:
     return best.select("path", F.col("best.node").alias("leader"), F.col("best.label").alias("leader_label"))
 
 
-def _stars(large: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _stars(large: DataFrame, sets: DataFrame, percent: int, folder: str, name: str) -> DataFrame:
     """Links ``a, b`` of the members of large places with one member each, where they are not in one component yet."""
     pairs = large.select("path", "node", "label").join(_leaders(large), "path").where("label <> leader_label").select("node", "leader").distinct()
-    pairs = pairs.join(sets, "node").join(sets.select(F.col("node").alias("leader"), F.col("shingles").alias("others")), "leader")
+    pairs = bounded(stored(pairs, folder, name), FEW).join(sets, "node")
+    pairs = pairs.join(sets.select(F.col("node").alias("leader"), F.col("shingles").alias("others")), "leader")
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -274,7 +278,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, trees: int = 5, folder:
     def compared(places: DataFrame, known: DataFrame | None = None) -> DataFrame:
         """Links of places with few members; ``known``: those that may have a partner."""
         known = _candidates(places, percent) if known is None else known
-        return _verified(places.join(known, ["path", "node"]).join(sets, "node"), percent)
+        found = stored(places.join(known, ["path", "node"]), folder, f"found-{len(links)}")
+        return _verified(bounded(found, FEW).join(sets, "node"), percent)
 
     links, labels = [], None
 
@@ -296,7 +301,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, trees: int = 5, folder:
         large = stored(_sized(_labelled(large, labels)), folder, f"large-{depth}")
         if large.isEmpty():
             break
-        labels = linked_now(_stars(large, sets, percent), f"stars-{depth}")
+        labels = linked_now(_stars(large, sets, percent, folder, f"pairs-{depth}"), f"stars-{depth}")
         left = stored(_sized(_labelled(large.select("path", "node", "sketch"), labels)), folder, f"left-{depth}")
         if depth == DEPTH:
             labels = linked_now(compared(_blocks(left)), "blocks")
