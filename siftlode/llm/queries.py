@@ -105,7 +105,9 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-_READ = [", ".join(f"w[i + {p + 1}]" for p in mask) for mask in decontam.MASKS]
+#: The SQL meets a document and an item by seeds of its own at every fourth position, so it finds a part of the overlaps.
+_MASKS = ((0, 1, 2, 5, 7, 8, 10), (0, 2, 3, 4, 6, 9, 10), (0, 1, 4, 6, 7, 9, 10))
+_READ = [", ".join(f"w[i + {p + 1}]" for p in mask) for mask in _MASKS]
 _SEEDS = " UNION ALL ".join(f"SELECT id, i, {k} AS m, [{read}] AS seed FROM {{}}" for k, read in enumerate(_READ))
 ORACLES["op8_decontamination"] = rf"""
 WITH d AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS w FROM documents),
