@@ -22,8 +22,6 @@ from siftlode.llm.words import let, total, upto
 
 #: Fixed values, found by search: for stretches of 13 words of which two may differ, the places that each mask reads.
 MASKS_13 = ((0, 1, 2, 4, 6, 7), (0, 1, 3, 6, 7, 8))
-#: Items of fewer words are left out.
-SHORTEST = 11
 #: Rows that are broadcast at most; more are shuffled.
 BROADCAST_ROWS = 1_000_000
 
@@ -84,11 +82,12 @@ def agreement(doc: Column, item: Column, shift: Column, least_words: int) -> tup
     return let(let(doc, same), best), width
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, least_words: int = 13, percent: int = 80, folder: str | None = None) -> DataFrame:
+def overlaps(docs: DataFrame, benchmark: DataFrame, least_words: int = 13, percent: int = 80, shortest: int = 11, folder: str | None = None) -> DataFrame:
     """``doc_id, item_id, n_same`` of each document and item that overlap; ``n_same`` is the best count of equal words in a stretch.
 
-    Null and empty texts overlap with nothing, nor do texts and items of fewer
-    than 11 words. Rows without a ``doc_id`` or ``item_id`` are not judged;
+    Null and empty texts overlap with nothing. Items of fewer than ``shortest``
+    words are left out; with 1 none is, and each is met by masks of its own
+    length. Rows without a ``doc_id`` or ``item_id`` are not judged;
     rows that repeat one are judged as one. Other columns are not read. Empty
     tables give an empty result. ``percent`` is above 0. Neither side is ever paired row by row: the
     benchmark's seeds and the hits are broadcast if they are few, and shuffled
@@ -98,7 +97,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least_words: int = 13, perce
     folder = folder or work_dir(spark, "decontam")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), tokens(F.col("text").cast("string")).alias("item")).where("item_id is not null")
-    items = stored(items.where(F.size("item") >= SHORTEST), folder, "items")
+    items = stored(items.where(F.size("item") >= max(shortest, 1)), folder, "items")
     read: dict[tuple[int, ...], list[int]] = {}
     for (width,) in items.select(F.least(F.size("item"), F.lit(least_words)).alias("width")).distinct().orderBy("width").collect():
         for mask in masks(width, percent):

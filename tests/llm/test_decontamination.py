@@ -7,7 +7,9 @@ from pathlib import Path
 
 import pytest
 
-from siftlode.llm import decontam
+import corpus_pipeline
+from siftlode.llm import decontam, queries
+from siftlode.llm.shared import work_dir
 
 sys.path.insert(0, str(Path(__file__).parent))
 from test_documents import VOCABULARY, frame  # noqa: E402
@@ -44,3 +46,20 @@ def test_exact_and_substituted_passages_at_every_offset(spark):
     got = found(spark, item, [changed(passage, places) for places in sets])
     assert got == want
     assert found(spark, item, [changed(passage, (2, 6, 10))]) == {}
+
+
+@pytest.mark.parametrize("n", [1, 2, 4, 5, 8, 10, 11, 12])
+def test_short_items_at_every_offset(spark, n):
+    item = random.Random(n).sample(VOCABULARY, n)
+    sets = [x for k in range(n // 5 + 1) for x in combinations(range(n), k)]
+    want = {4 * k + before: n - len(places) for k, places in enumerate(sets) for before in range(4)}
+    assert found(spark, item, [changed(item, places) for places in sets], shortest=1) == want
+
+
+def test_query_and_stage_meet_short_items(spark):
+    folder = work_dir(spark, "tables")
+    frame(spark, ["who wrote the second letter", "Well: who wrote this second letter?", "who wrote to them"], [1, 2, 3]).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(7, "Who wrote the second letter?")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    assert sorted(tuple(r) for r in queries.op8_decontamination(spark, folder).collect()) == [(1, 7, 5), (2, 7, 4)]
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    assert [r["doc_id"] for r in corpus_pipeline.without_benchmark(spark, docs, folder).collect()] == [3]
