@@ -439,32 +439,35 @@ def seed_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def score_and_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train, test = _split(_training(spark, sf_dir))
-    scored = model.score(_boosted(train).fit(train), test)
+    rows = _training(spark, sf_dir)
+    train, _ = _split(rows)
+    scored = model.score(_boosted(train).fit(train), rows)
     return screen.with_rank(scored.select("id", "pred", "pred_sigma"), "pred", "id")
 
 
-def _explained(spark: SparkSession, sf_dir: str):
+def _explained(spark: SparkSession, sf_dir: str, held_out: bool):
+    """The rows that were held out, or all rows, with their feature vectors, and the paths of a model of the training rows."""
     import uuid
 
-    train, test = _split(_training(spark, sf_dir))
+    rows = _training(spark, sf_dir)
+    train, test = _split(rows)
     fitted = _boosted(train).fit(train)
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     place = f"{base}/tree-model-{uuid.uuid4().hex}"
     fitted.stages[-1].write().overwrite().save(place)
     paths, weights = attribution.tree_paths(spark, place)
     names = fitted.stages[-2].getInputCols()
-    prepared = fitted.transform(test)
+    prepared = fitted.transform(test if held_out else rows)
     return prepared, paths, weights, names
 
 
 @query()
 def tree_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prepared, paths, weights, names = _explained(spark, sf_dir)
+    prepared, paths, weights, names = _explained(spark, sf_dir, held_out=False)
     return attribution.attribute(prepared, paths, weights, names)
 
 
 @query()
 def virtual_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prepared, paths, weights, _ = _explained(spark, sf_dir)
+    prepared, paths, weights, _ = _explained(spark, sf_dir, held_out=True)
     return attribution.virtual_ensemble(prepared, paths, weights, 4)
