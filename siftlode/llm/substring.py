@@ -31,25 +31,26 @@ from siftlode.llm.shared import importable, parts
 PERIOD, COVER, RUN = 13, (0, 1, 3, 9), 8
 #: Words hashed at a time in a task.
 BATCH = 1_500_000
-PACKED = "bucket int, hashes binary, twice binary, docs binary, at binary"
+PACKED = "bucket int, hashes binary, twice binary, docs binary, rows binary, at binary"
 NO_ID = -(1 << 63)
 
 
-def _packed(hashes: np.ndarray, docs: np.ndarray, at: np.ndarray, buckets: int) -> Iterator[tuple]:
+def _packed(hashes: np.ndarray, docs: np.ndarray, rows: np.ndarray, at: np.ndarray, buckets: int) -> Iterator[tuple]:
     """Rows for the buckets; entries come in the order of documents and places."""
     order = np.argsort(hashes, kind="stable")
-    hashes, docs, at = hashes[order], docs[order], at[order]
+    hashes, docs, rows, at = hashes[order], docs[order], rows[order], at[order]
     first = np.ones(hashes.size, bool)
     first[1:] = hashes[1:] != hashes[:-1]
     twice = np.zeros(hashes.size, bool)
     twice[:-1] = ~first[1:]
-    later = ~first
+    start = np.flatnonzero(first)[np.cumsum(first) - 1]
+    later = (docs != docs[start]) | (at != at[start])
     if later.any():
         #: Known to repeat here: sent on only to be gathered by document.
-        yield int(docs[0] % buckets), b"", b"", docs[later].tobytes(), at[later].tobytes()
+        yield int(docs[0] % buckets), b"", b"", docs[later].tobytes(), rows[later].tobytes(), at[later].tobytes()
     #: Back in the order of documents and places, in which both compress well.
-    back = np.argsort(order[first])
-    hashes, docs, at, twice = (x[first][back] for x in (hashes, docs, at, twice))
+    back = np.argsort(order[~later])
+    hashes, docs, rows, at, twice = (x[~later][back] for x in (hashes, docs, rows, at, twice))
     bucket = (hashes % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     ends = np.searchsorted(bucket[order], np.arange(buckets), "right")
@@ -57,34 +58,40 @@ def _packed(hashes: np.ndarray, docs: np.ndarray, at: np.ndarray, buckets: int)
     for k, end in enumerate(ends.tolist()):
         if end > start:
             part = order[start:end]
-            yield k, hashes[part].tobytes(), twice[part].tobytes(), docs[part].tobytes(), at[part].tobytes()
+            yield k, hashes[part].tobytes(), twice[part].tobytes(), docs[part].tobytes(), rows[part].tobytes(), at[part].tobytes()
         start = end
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
-    columns = zip(*rows, strict=True) if rows else [()] * 5
-    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], ["bucket", "hashes", "twice", "docs", "at"])
+    kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+    columns = zip(*rows, strict=True) if rows else [()] * 6
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], ["bucket", "hashes", "twice", "docs", "rows", "at"])
 
 
-def _packed_batches(got: list[tuple[int, np.ndarray, np.ndarray]], buckets: int) -> Iterator[pa.RecordBatch]:
+def _packed_batches(got: list[tuple[int, int, np.ndarray, np.ndarray]], buckets: int) -> Iterator[pa.RecordBatch]:
+    """``got``: key, number of the row among those of its key, hashes and places."""
     if got:
         got = sorted(got, key=lambda x: x[0])
-        docs = np.repeat(np.array([x[0] for x in got], np.int64), [x[1].size for x in got])
-        rows = list(_packed(np.concatenate([x[1] for x in got]), docs, np.concatenate([x[2] for x in got]), buckets))
+        keys, sizes = np.array([x[0] for x in got], np.int64), [x[2].size for x in got]
+        docs, numbers = np.repeat(keys, sizes), np.repeat(np.array([x[1] for x in got], np.int32), sizes)
+        hashes, at = (np.concatenate([x[k] for x in got]) for k in (2, 3))
+        if (keys[1:] == keys[:-1]).any():
+            order = np.lexsort((at, docs))
+            hashes, docs, numbers, at = hashes[order], docs[order], numbers[order], at[order]
+        rows = list(_packed(hashes, docs, numbers, at, buckets))
         for k in range(0, len(rows), 32):
             yield _rows(rows[k : k + 32])
 
 
 def _in_batches(batches: Iterator[pa.RecordBatch], entries, buckets: int) -> Iterator[pa.RecordBatch]:
     """``entries(row)`` gives a document's hashes and their places; batches of documents are packed."""
-    waiting: list[tuple[int, np.ndarray, np.ndarray]] = []
+    waiting: list[tuple[int, int, np.ndarray, np.ndarray]] = []
     n = 0
     for batch in batches:
         for row in zip(*(x.to_pylist() for x in batch.columns), strict=True):
             hashes, at = entries(row)
             if hashes.size:
-                waiting.append((row[0], hashes, at.astype(np.int32)))
+                waiting.append((row[0], 0, hashes, at.astype(np.int32)))
                 n += hashes.size
                 if n >= BATCH:
                     yield from _packed_batches(waiting, buckets)
@@ -94,20 +101,20 @@ def _in_batches(batches: Iterator[pa.RecordBatch], entries, buckets: int) -> Ite
 
 def _repeated(batches: Iterator[pa.RecordBatch], keep_first: bool, groups: int) -> Iterator[pa.RecordBatch]:
     """Of a task's buckets: the places whose hash repeats, by groups of documents; all but the first of each hash if ``keep_first``."""
-    got: list[list[np.ndarray]] = [[], [], [], []]
-    known: list[tuple[np.ndarray, np.ndarray]] = []
+    got: list[list[np.ndarray]] = [[], [], [], [], []]
+    known: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for batch in batches:
-        for _, hashes, twice, docs, at in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-            docs, at = np.frombuffer(docs, np.int64), np.frombuffer(at, np.int32)
+        for _, hashes, twice, docs, numbers, at in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            docs, numbers, at = np.frombuffer(docs, np.int64), np.frombuffer(numbers, np.int32), np.frombuffer(at, np.int32)
             if hashes:
-                for out, x in zip(got, (np.frombuffer(hashes, np.uint64), np.frombuffer(twice, bool), docs, at), strict=True):
+                for out, x in zip(got, (np.frombuffer(hashes, np.uint64), np.frombuffer(twice, bool), docs, numbers, at), strict=True):
                     out.append(x)
             else:
-                known.append((docs, at))
+                known.append((docs, numbers, at))
     if got[0]:
-        hashes, twice, docs, at = map(np.concatenate, got)
+        hashes, twice, docs, numbers, at = map(np.concatenate, got)
         order = np.lexsort((at, docs, hashes))
-        hashes, twice, docs, at = hashes[order], twice[order], docs[order], at[order]
+        hashes, twice, docs, numbers, at = hashes[order], twice[order], docs[order], numbers[order], at[order]
         first = np.ones(hashes.size, bool)
         first[1:] = hashes[1:] != hashes[:-1]
         group = np.cumsum(first) - 1
@@ -116,10 +123,10 @@ def _repeated(batches: Iterator[pa.RecordBatch], keep_first: bool, groups: int)
             hit = (docs != docs[starts][group]) | (at != at[starts][group])
         else:
             hit = (twice | (np.diff(np.append(starts, hashes.size))[group] > 1)).astype(bool)
-        known.append((docs[hit], at[hit]))
+        known.append((docs[hit], numbers[hit], at[hit]))
     if not known:
         return
-    docs, at = (np.concatenate(x) for x in zip(*known, strict=True))
+    docs, numbers, at = (np.concatenate(x) for x in zip(*known, strict=True))
     group = _group(docs, groups)
     order = np.argsort(group, kind="stable")
     ends = np.searchsorted(group[order], np.arange(groups), "right")
@@ -127,11 +134,11 @@ def _repeated(batches: Iterator[pa.RecordBatch], keep_first: bool, groups: int)
     for g, end in enumerate(ends.tolist()):
         if end > start:
             part = order[start:end]
-            rows.append((g, docs[part].tobytes(), at[part].tobytes()))
+            rows.append((g, docs[part].tobytes(), numbers[part].tobytes(), at[part].tobytes()))
         start = end
     for k in range(0, len(rows), 64):
         columns = zip(*rows[k : k + 64], strict=True)
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, [pa.int32(), pa.binary(), pa.binary()], strict=True)], ["g", "docs", "at"])
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, [pa.int32(), pa.binary(), pa.binary(), pa.binary()], strict=True)], ["g", "docs", "rows", "at"])
 
 
 def _group(keys: np.ndarray, groups: int) -> np.ndarray:
@@ -139,19 +146,30 @@ def _group(keys: np.ndarray, groups: int) -> np.ndarray:
 
 
 def _places(packed: DataFrame, n: int, keep_first: bool) -> DataFrame:
-    """``g, docs, at``: the places found, one row for each task and group of documents."""
-    return packed.repartition(n, "bucket").mapInArrow(lambda batches: _repeated(batches, keep_first, n), "g int, docs binary, at binary")
+    """``g, docs, rows, at``: the places found, one row for each task and group of documents."""
+    return packed.repartition(n, "bucket").mapInArrow(lambda batches: _repeated(batches, keep_first, n), "g int, docs binary, rows binary, at binary")
 
 
-def _by_doc(found: pa.Table) -> dict[int, np.ndarray]:
-    """A group's places by document."""
+def _by_row(found: pa.Table) -> dict[tuple[int, int], np.ndarray]:
+    """A group's places by key and number of the row."""
     if not found.num_rows:
         return {}
-    docs, at = (np.concatenate([np.frombuffer(x, t) for x in found[c].to_pylist()]) for c, t in (("docs", np.int64), ("at", np.int32)))
-    order = np.argsort(docs, kind="stable")
-    docs, at = docs[order], at[order]
-    starts = np.flatnonzero(np.append(True, docs[1:] != docs[:-1]))
-    return dict(zip(docs[starts].tolist(), np.split(at, starts[1:]), strict=True))
+    docs, rows, at = (np.concatenate([np.frombuffer(x, t) for x in found[c].to_pylist()]) for c, t in (("docs", np.int64), ("rows", np.int32), ("at", np.int32)))
+    order = np.lexsort((rows, docs)) if rows.any() else np.argsort(docs, kind="stable")
+    docs, rows, at = docs[order], rows[order], at[order]
+    starts = np.flatnonzero(np.append(True, (docs[1:] != docs[:-1]) | (rows[1:] != rows[:-1])))
+    return dict(zip(zip(docs[starts].tolist(), rows[starts].tolist(), strict=True), np.split(at, starts[1:]), strict=True))
+
+
+def _numbers(keys: list[int], texts: list[str | None]) -> list[int]:
+    """The number of each row's text among the different texts of its key, the same however the rows come."""
+    if len(set(keys)) == len(keys):
+        return [0] * len(keys)
+    of: dict[int, set[str]] = {}
+    for k, text in zip(keys, texts, strict=True):
+        of.setdefault(k, set()).add(text or "")
+    number = {k: {text: n for n, text in enumerate(sorted(found))} for k, found in of.items()}
+    return [number[k][text or ""] for k, text in zip(keys, texts, strict=True)]
 
 
 def repeated_windows(docs: DataFrame, window: int = 20) -> tuple[DataFrame, DataFrame]:
@@ -177,6 +195,8 @@ def repeated_windows(docs: DataFrame, window: int = 20) -> tuple[DataFrame, Data
 
     def windows(text: str | None, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         hashes = run_hashes(word_hashes(split(text)), window)
+        #: Rows of one key share their anchors, also those beyond the end of a shorter text.
+        at = at[at < hashes.size + window]
         near = np.zeros(hashes.size + window + 1, np.int32)
         np.add.at(near, np.maximum(at - (window - RUN), 0), 1)
         np.add.at(near, at + 1, -1)
@@ -184,12 +204,14 @@ def repeated_windows(docs: DataFrame, window: int = 20) -> tuple[DataFrame, Data
         return hashes[starts], starts
 
     def whole(table: pa.Table, found: pa.Table) -> pa.Table:
-        places, got = _by_doc(found), []
-        for k, text in zip(table["key"].to_pylist(), table["text"].to_pylist(), strict=True):
-            if k in places:
-                hashes, at = windows(text, places[k])
+        places, got, done = _by_row(found), [], set()
+        keys, texts = table["key"].to_pylist(), table["text"].to_pylist()
+        for k, number, text in zip(keys, _numbers(keys, texts), texts, strict=True):
+            if (k, 0) in places and (k, number) not in done:
+                done.add((k, number))
+                hashes, at = windows(text, places[k, 0])
                 if hashes.size:
-                    got.append((k, hashes, at.astype(np.int32)))
+                    got.append((k, number, hashes, at.astype(np.int32)))
         return pa.Table.from_batches(list(_packed_batches(got, n)), _rows([]).schema)
 
     some = rows.mapInArrow(lambda batches: _in_batches(batches, anchors, n), PACKED)
@@ -209,13 +231,14 @@ def without_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
     dealt, found = repeated_windows(docs, window)
 
     def kept(table: pa.Table, found: pa.Table) -> pa.Table:
-        places, out = _by_doc(found), [[], [], [], []]
-        for key, text in zip(table["key"].to_pylist(), table["text"].to_pylist(), strict=True):
+        places, out = _by_row(found), [[], [], [], []]
+        keys, texts = table["key"].to_pylist(), table["text"].to_pylist()
+        for key, number, text in zip(keys, _numbers(keys, texts), texts, strict=True):
             words = split(text)
             n = len(words)
-            if key in places:
+            if (key, number) in places:
                 change = np.zeros(n + 1, np.int32)
-                at = places[key]
+                at = places[key, number]
                 at = at[at + window <= n]
                 np.add.at(change, at, 1)
                 np.add.at(change, at + window, -1)
