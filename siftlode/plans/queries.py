@@ -423,7 +423,7 @@ def boosted_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def cv_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _training(spark, sf_dir)
-    return model.cross_validate(rows.withColumn("fold", F.col("fold") % 3), lambda: model.forest(_FEATURES, trees=10, depth=4), k=3)[1]
+    return model.cross_validate(rows, lambda: model.forest(_FEATURES, trees=10, depth=4), k=5)[1]
 
 
 def _boosted(rows: DataFrame, seed: int = 1, share: float = 1.0) -> Pipeline:
