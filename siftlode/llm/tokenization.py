@@ -26,9 +26,9 @@ class _Known(dict):
 
     def __init__(self):
         super().__init__()
-        self.waiting: list[str] = []
+        self.waiting: list[str | tuple[str]] = []
 
-    def __missing__(self, chunk: str) -> int:
+    def __missing__(self, chunk: str | tuple[str]) -> int:
         self[chunk] = number = len(self)
         self.waiting.append(chunk)
         return number
@@ -60,23 +60,22 @@ class ChunkEncoder:
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
-    def cut(self, text: str | None) -> list[str]:
-        """Chunks of a text; blanks before a chunk are left out, and a first chunk is marked by NUL where they matter."""
+    def cut(self, text: str | None) -> list[str | tuple[str]]:
+        """Chunks of a text; blanks before a chunk are left out, and where they matter a text's first chunk, which has none, stands in a tuple."""
         if not text:
             return []
         if self.drops:
             return text.replace("\n", " ").split(" ")
         if text[0] in " \n" or text[-1] in " \n" or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or any(c in text for c in OTHER_SPACE):
             head, *tail = CUT.split(text)
-            return ["\0" + head, *(x[1:] if x[0] == " " else x for x in tail)]
-        chunks = text.replace("\n", " \n").split(" ")
-        chunks[0] = "\0" + chunks[0]
-        return chunks
+            return [(head,), *(x[1:] if x[0] == " " else x for x in tail)]
+        head, *tail = text.replace("\n", " \n").split(" ")
+        return [(head,), *tail]
 
-    def _whole(self, chunk: str) -> str:
-        if self.drops or chunk[:1] == "\n":
-            return chunk
-        return chunk[1:] if chunk[:1] == "\0" else " " + chunk
+    def _whole(self, chunk: str | tuple[str]) -> str:
+        if isinstance(chunk, tuple):
+            return chunk[0]
+        return chunk if self.drops or chunk[:1] == "\n" else " " + chunk
 
     def _learn(self) -> None:
         waiting, self.known.waiting = self.known.waiting, []
@@ -85,7 +84,7 @@ class ChunkEncoder:
             self.start, self.length = (np.concatenate([x, np.empty_like(x)]) for x in (self.start, self.length))
         blank, bare, lone = [], [], []
         for i, x in enumerate(waiting):
-            y = x[1:] if x[:1] in ("\n", "\0") else x
+            y = x[0] if isinstance(x, tuple) else x[1:] if x[:1] == "\n" else x
             if not y.isprintable() or " " in y or "<|" in y:
                 lone.append(i)
             else:

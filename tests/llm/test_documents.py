@@ -72,6 +72,17 @@ def test_chunks_give_the_ids_of_whole_texts(texts, file):
         assert [x.tolist() for x in tokens.encode(every)] == whole
 
 
+@pytest.mark.parametrize("file", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_chunks_of_random_texts_with_blanks_and_marks(file):
+    path, rng = public_tokenizers.path(file), random.Random(13)
+    alphabet = [*" \n\0\t\x01ab1é'", " \0", "\0 ", "\n\0", "  ", "<|endoftext|>", "\u3000", "don't", "12 345", "\ufeff", "\u0301"]
+    texts = ["".join(rng.choices(alphabet, k=rng.randint(1, 12))) for _ in range(6_000)]
+    whole = [x.ids for x in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    tokens = tokenization.ChunkEncoder(path)
+    got = [x.tolist() for k in range(0, len(texts), 500) for x in tokens.encode(texts[k : k + 500])]
+    assert [t for t, a, b in zip(texts, got, whole, strict=True) if a != b] == []
+
+
 @pytest.mark.parametrize("kind", ["byte", "bit"])
 def test_planes_round_trip(kind):
     for ids in (np.array([], "<u4"), np.array([0], "<u4"), np.array([1, 2**31, 2**32 - 1, 65_536, 7], "<u4"), np.arange(1_001, dtype="<u4")):
