@@ -48,11 +48,10 @@ FROM q LEFT JOIN g USING (payload_digest)
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Features and verdict of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    known = tuple(quality.FEATURES)
-    order = [x[0] for x in quality.order_rules(docs, quality.BASE + quality.MORE)]
-    featured = quality.with_features(docs, known).drop("text")
+    known = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    judged = quality.judged(quality.with_features(docs, known), known=known)
     base = quality.BASE[0].on(F.col) | quality.BASE[1].on(F.col)
-    return featured.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), quality.verdict(order, F.col).isNull().alias("kept"))
+    return judged.select("doc_id", *known, base.alias("base_failed"), F.col("rejected_by").isNull().alias("kept"))
 
 
 ORACLES["op3_quality_rules"] = r"""
