@@ -17,13 +17,11 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftlode.llm.shared import stored, work_dir
+from siftlode.llm.shared import bounded, stored, work_dir
 from siftlode.llm.words import let, total, upto
 
 #: Fixed values, found by search: for stretches of 13 words of which two may differ, the places that each mask reads.
 MASKS_13 = ((0, 1, 2, 4, 6, 7), (0, 1, 3, 6, 7, 8))
-#: Rows that are broadcast at most; more are shuffled.
-BROADCAST_ROWS = 1_000_000
 
 
 def masks(width: int, percent: int) -> tuple[tuple[int, ...], ...]:
@@ -64,11 +62,6 @@ def seeds(words: Column, read: dict[tuple[int, ...], list[int]], least_words: in
     return let(words, of)
 
 
-def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` to be broadcast if it has few rows; counting stops at the bound."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def agreement(doc: Column, item: Column, shift: Column, least_words: int) -> tuple[Column, Column]:
     """The best count of equal words in a stretch of ``least_words`` (or the whole item), and the stretch's length."""
     width = F.least(F.size(item), F.lit(least_words))
@@ -89,9 +82,9 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least_words: int = 13, perce
     words are left out; with 1 none is, and each is met by masks of its own
     length. Rows without a ``doc_id`` or ``item_id`` are not judged;
     rows that repeat one are judged as one. Other columns are not read. Empty
-    tables give an empty result. ``percent`` is above 0. Neither side is ever paired row by row: the
-    benchmark's seeds and the hits are broadcast if they are few, and shuffled
-    by hash or ``doc_id`` if not.
+    tables give an empty result. ``percent`` is above 0. Neither side is ever
+    paired row by row: the benchmark's seeds, the items and the hits are
+    broadcast if they take few bytes, and shuffled by hash or id if not.
     """
     spark = docs.sparkSession
     folder = folder or work_dir(spark, "decontam")
@@ -106,11 +99,14 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least_words: int = 13, perce
     met = rows.select("doc_id", F.inline(seeds(tokens(F.col("text")), read))).join(bounded(held), "hash")
     hits = met.select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
     hits = stored(hits, folder, "hits")
-    there = rows.join(bounded(hits), "doc_id").join(bounded(items, 50_000), "item_id")
+    met = rows.join(bounded(hits.select("doc_id").distinct()), "doc_id", "left_semi")
+    #: Each text that is met is split once, whatever the number of its hits.
+    met = stored(met.select("doc_id", tokens(F.col("text")).alias("doc")), folder, "met")
+    there = bounded(hits).join(met, "doc_id").join(bounded(items), "item_id")
     same, width = agreement(F.col("doc"), F.col("item"), F.col("shift"), least_words)
-    judged = there.select("doc_id", "item_id", "shift", "item", tokens(F.col("text")).alias("doc")).select("doc_id", "item_id", same.alias("n_same"), width.alias("width"))
-    found = judged.where(F.col("n_same") * 100 >= F.col("width") * percent)
-    return found.groupBy("doc_id", "item_id").agg(F.max("n_same").cast("long").alias("n_same"))
+    #: The best of all alignments first: a condition on each would be computed once more within the join.
+    best = there.groupBy("doc_id", "item_id").agg(F.max(same).cast("long").alias("n_same"), F.max(width).alias("width"))
+    return best.where(F.col("n_same") * 100 >= F.col("width") * percent).select("doc_id", "item_id", "n_same")
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

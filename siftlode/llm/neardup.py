@@ -33,10 +33,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftlode.llm.decontam import bounded
 from siftlode.llm.graph import components
 from siftlode.llm.hashing import mixed, run_hashes, word_hashes
-from siftlode.llm.shared import importable, stored, work_dir
+from siftlode.llm.shared import bounded, importable, stored, work_dir
 
 TOKENS = 64
 #: Nodes of a place that are compared exhaustively.

@@ -8,6 +8,7 @@ import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
@@ -18,6 +19,8 @@ def work_dir(spark: SparkSession, name: str) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='spark-siftlode-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -39,6 +42,25 @@ def dropped(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
+#: Bytes that a table may take to be broadcast.
+BROADCAST_BYTES = 64 << 20
+
+
+def bounded(df: DataFrame, most: int | None = None) -> DataFrame:
+    """``df`` (numbers, texts, bytes, arrays of texts), to be broadcast if all its rows take ``most`` bytes at most, else as it is."""
+
+    def taken(name: str, kind: str):
+        if kind in ("string", "binary"):
+            return F.octet_length(name)
+        if kind.startswith("array"):
+            return F.octet_length(F.array_join(name, "")) + 24 * F.size(name)
+        return F.lit(0)
+
+    size = sum((F.coalesce(taken(c, kind), F.lit(0)) for c, kind in df.dtypes), F.lit(24 + 16 * len(df.columns)))
+    total = df.agg(F.sum(size.cast("long"))).first()[0] or 0
+    return F.broadcast(df) if total <= (BROADCAST_BYTES if most is None else most) else df
+
+
 def parts(spark: SparkSession, least: int = 1) -> int:
     """Partitions of a shuffle, as the session sets them."""
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))

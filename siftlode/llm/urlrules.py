@@ -18,8 +18,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftlode.llm.decontam import bounded
-from siftlode.llm.shared import stored, work_dir
+from siftlode.llm.shared import bounded, stored, work_dir
 
 BAD = "=bad"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -106,7 +105,7 @@ def matched(token_sets: DataFrame, rules: DataFrame) -> DataFrame:
     """``tokens, confidence`` of each distinct token set that some rule lies within; the surest rule's confidence."""
     sets = token_sets.select("tokens").distinct()
     index = rules.select(F.col("rarest").alias("token"), F.col("tokens").alias("rule_tokens"), "confidence")
-    met = sets.select("tokens", F.explode("tokens").alias("token")).join(bounded(index, 100_000), "token")
+    met = sets.select("tokens", F.explode("tokens").alias("token")).join(bounded(index), "token")
     return met.where(F.size(F.array_except("rule_tokens", "tokens")) == 0).groupBy("tokens").agg(F.max("confidence").alias("confidence"))
 
 
