@@ -30,19 +30,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftlode.llm.graph import components
 from siftlode.llm.hashing import mixed, run_hashes, word_hashes
-from siftlode.llm.shared import bounded, importable, stored, work_dir
+from siftlode.llm.shared import dropped, importable, released, stored, work_dir
 
 TOKENS = 64
 #: Nodes of a place that are compared exhaustively.
 LEAF = 4_096
 DEPTH = 5
-#: Rows of members that are broadcast to the table of sets at most; more are shuffled, and the sets with them.
-FEW = 300_000
+#: Bytes of the sets that are compared in one task; places with more are compared block by block.
+CELL = 64 << 20
 NO_ID = -(1 << 63)
 _SEEDS = np.random.default_rng(5_081_993).integers(0, 1 << 32, (3, TOKENS), np.uint32)
 
@@ -206,7 +206,7 @@ def _leaders(large: DataFrame) -> DataFrame:
 def _stars(large: DataFrame, sets: DataFrame, percent: int, folder: str, name: str) -> DataFrame:
     """Links ``a, b`` of the members of large places with one member each, where they are not in one component yet."""
     pairs = large.select("path", "node", "label").join(_leaders(large), "path").where("label <> leader_label").select("node", "leader").distinct()
-    pairs = bounded(stored(pairs, folder, name), FEW).join(sets, "node")
+    pairs = stored(pairs, folder, name).join(sets, "node")
     pairs = pairs.join(sets.select(F.col("node").alias("leader"), F.col("shingles").alias("others")), "leader")
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,7 +225,7 @@ def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 
 def _sized(rows: DataFrame) -> DataFrame:
-    """Rows (``path, node, sketch, label``) of places with more than one component, and ``n``, the place's members."""
+    """Rows (``path, node, size, sketch, label``) of places with more than one component, and ``n``, the place's members."""
     sizes = rows.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("first"), F.max("label").alias("last")).where("first <> last").select("path", "n")
     return rows.join(sizes, "path")
 
@@ -235,7 +235,16 @@ def _branched(rows: DataFrame) -> DataFrame:
     one = F.pmod(F.xxhash64("path", F.lit(1)), F.lit(TOKENS))
     two = F.pmod(one + 1 + F.pmod(F.xxhash64("path", F.lit(2)), F.lit(TOKENS - 1)), F.lit(TOKENS))
     child = [F.xxhash64("path", x, F.substring("sketch", (x + 1).cast("int"), F.lit(1))) for x in (one, two)]
-    return rows.select(F.explode(F.array(*child)).alias("path"), "node", "sketch").distinct()
+    return rows.select(F.explode(F.array(*child)).alias("path"), "node", "size", "sketch").distinct()
+
+
+def _cells(rows: DataFrame) -> DataFrame:
+    """Rows of places with few members, those whose sets take more than ``CELL`` bytes dealt into cells of two blocks each, so that every pair of members meets in one."""
+    n = F.greatest(F.ceil(2 * 8 * F.sum("size").over(Window.partitionBy("path")) / F.lit(CELL)).cast("int"), F.lit(2))
+    block = F.pmod(F.xxhash64("node", F.lit(5)), F.col("n")).cast("int")
+    mates = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda k: F.xxhash64("path", F.least(k, block), F.greatest(k, block)))
+    cells = F.when(F.col("n") > 2, F.array_distinct(mates)).otherwise(F.array("path"))
+    return rows.withColumn("n", n).select(F.explode(cells).alias("path"), "node", "sketch", "label")
 
 
 def _blocks(rows: DataFrame) -> DataFrame:
@@ -243,7 +252,7 @@ def _blocks(rows: DataFrame) -> DataFrame:
     n = F.ceil(F.col("n") / LEAF).cast("int")
     block = F.pmod(F.xxhash64("node", F.lit(3)), n).cast("int")
     mates = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.xxhash64("path", F.least(k, block), F.greatest(k, block)))
-    return rows.select(F.explode(mates).alias("path"), "node", "sketch", "label").distinct()
+    return rows.select(F.explode(mates).alias("path"), "node", "size", "sketch", "label").distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, trees: int = 5, folder: str | None = None) -> DataFrame:
@@ -260,54 +269,63 @@ def near_duplicates(docs: DataFrame, percent: int = 80, trees: int = 5, folder:
     importable(spark)
     folder = folder or work_dir(spark, "neardup")
     every = stored(profiles(docs, trees), folder, "profiles")
-    nodes = every.where("n_shingles > 0").groupBy("node").agg(F.min("key").alias("key"), F.first("sketch").alias("sketch"), F.first("paths").alias("paths"))
+    nodes = every.where("n_shingles > 0").groupBy("node").agg(F.min("key").alias("key"), F.first("n_shingles").alias("size"), F.first("sketch").alias("sketch"), F.first("paths").alias("paths"))
     nodes = stored(nodes, folder, "nodes")
 
     rows = nodes.select(F.posexplode("paths").alias("tree", "path"), "node")
     sizes = rows.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    rows = rows.join(sizes, "path").join(nodes.select("node", "sketch"), "node").select("path", F.expr("tree div 2").alias("tree"), "node", "sketch", "n")
+    rows = rows.join(sizes, "path").join(nodes.select("node", "size", "sketch"), "node").select("path", F.expr("tree div 2").alias("tree"), "node", "size", "sketch", "n")
     rows = stored(rows, folder, "rows")
     small, large = rows.where(F.col("n") <= LEAF), rows.where(F.col("n") > LEAF).drop("n", "tree")
 
     near = stored(_candidates(small.withColumn("label", F.col("node")), percent), folder, "near")
     wanted = near.select("node").union(large.select("node")).distinct()
-    keys = wanted.join(nodes.select("node", "key"), "node").select("node", "key")
+    keys = stored(wanted.join(nodes.select("node", "key"), "node").select("node", "key"), folder, "keys")
+    released(spark)
     sets = stored(_sets(docs, keys), folder, "sets")
-
-    def compared(places: DataFrame, known: DataFrame | None = None) -> DataFrame:
-        """Links of places with few members; ``known``: those that may have a partner."""
-        known = _candidates(places, percent) if known is None else known
-        found = stored(places.join(known, ["path", "node"]), folder, f"found-{len(links)}")
-        return _verified(bounded(found, FEW).join(sets, "node"), percent)
+    released(spark)
 
     links, labels = [], None
 
-    def linked_now(found: DataFrame, name: str) -> DataFrame | None:
-        links.append(stored(found, folder, f"links-{name}"))
+    def compared(places: DataFrame, name: str, known: DataFrame | None = None) -> DataFrame:
+        """Links of places with few members; ``known``: those that may have a partner. Only their sets travel, the others' stay."""
+        known = _candidates(places, percent) if known is None else known
+        found = stored(_cells(places.join(known, ["path", "node"])), folder, f"found-{name}")
+        out = stored(_verified(found.join(sets, "node"), percent), folder, f"links-{name}")
+        dropped(spark, f"{folder}/found-{name}")
+        released(spark)
+        return out
+
+    def linked_now(found: DataFrame, name: str) -> DataFrame:
+        links.append(found)
         every_link = links[0]
         for x in links[1:]:
             every_link = every_link.union(x)
         return stored(components(every_link, folder, f"c-{name}"), folder, f"labels-{name}")
 
-    labels = linked_now(compared(small.where("tree = 0").select("path", "node", "sketch").withColumn("label", F.col("node")), near), "first")
-    #: Only members that may be linked with another component: their sets travel, the others' stay.
-    rest = _sized(_labelled(small.where("tree > 0").select("path", "node", "sketch").join(near, ["path", "node"]), labels)).drop("n")
+    labels = linked_now(compared(small.where("tree = 0").select("path", "node", "size", "sketch").withColumn("label", F.col("node")), "first", near), "first")
+    #: Only members that may be linked with another component.
+    rest = _sized(_labelled(small.where("tree > 0").select("path", "node", "size", "sketch").join(near, ["path", "node"]), labels)).drop("n")
     rest = stored(rest, folder, "places-rest")
-    labels = linked_now(compared(rest), "rest")
+    labels = linked_now(compared(rest, "rest"), "rest")
+    dropped(spark, f"{folder}/places-rest")
 
     depth = 0
     while not large.isEmpty():
         large = stored(_sized(_labelled(large, labels)), folder, f"large-{depth}")
         if large.isEmpty():
             break
-        labels = linked_now(_stars(large, sets, percent, folder, f"pairs-{depth}"), f"stars-{depth}")
-        left = stored(_sized(_labelled(large.select("path", "node", "sketch"), labels)), folder, f"left-{depth}")
+        stars = stored(_stars(large, sets, percent, folder, f"pairs-{depth}"), folder, f"links-stars-{depth}")
+        labels = linked_now(stars, f"stars-{depth}")
+        left = stored(_sized(_labelled(large.select("path", "node", "size", "sketch"), labels)), folder, f"left-{depth}")
+        released(spark)
         if depth == DEPTH:
-            labels = linked_now(compared(_blocks(left)), "blocks")
+            labels = linked_now(compared(_blocks(left), "blocks"), "blocks")
             break
         below = stored(_sized(_labelled(_branched(left), labels)), folder, f"below-{depth}")
-        labels = linked_now(compared(below.where(F.col("n") <= LEAF).drop("n")), f"below-{depth}")
-        large, depth = below.where(F.col("n") > LEAF).select("path", "node", "sketch"), depth + 1
+        dropped(spark, f"{folder}/left-{depth}", f"{folder}/pairs-{depth}")
+        labels = linked_now(compared(below.where(F.col("n") <= LEAF).drop("n"), f"below-{depth}"), f"below-{depth}")
+        large, depth = below.where(F.col("n") > LEAF).select("path", "node", "size", "sketch"), depth + 1
 
     of_node = nodes.select("node", "key").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = of_node.groupBy("label").agg(F.min("key").alias("component"))

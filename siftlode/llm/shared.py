@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -35,11 +36,18 @@ def stored(df: DataFrame, folder: str, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def dropped(spark: SparkSession, path: str) -> None:
-    """Delete a table that no later step reads."""
+def dropped(spark: SparkSession, *paths: str) -> None:
+    """Delete tables that no later step reads."""
     jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    for path in paths:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def released(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished plans now: it does so when the driver collects its garbage, which a driver with memory to spare seldom does."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 #: Bytes that a table may take to be broadcast.

@@ -200,10 +200,12 @@ def chain_texts(n=60, seed=7):
     return out
 
 
-@pytest.mark.parametrize("leaf", [4_096, 8])
+@pytest.mark.parametrize(("leaf", "cell", "one_task"), [(4_096, 64 << 20, 200_000), (8, 64 << 20, 200_000), (4_096, 5_000, 0)])
 @pytest.mark.parametrize("percent", [85, 80])
-def test_near_duplicates(spark, texts, monkeypatch, leaf, percent):
+def test_near_duplicates(spark, texts, monkeypatch, leaf, cell, one_task, percent):
     monkeypatch.setattr(neardup, "LEAF", leaf)
+    monkeypatch.setattr(neardup, "CELL", cell)
+    monkeypatch.setattr(graph, "ONE_TASK", one_task)
     monkeypatch.setattr(neardup, "DEPTH", 1)
     every = texts + chain_texts()
     got = by_id(neardup.near_duplicates(frame(spark, every), percent))
