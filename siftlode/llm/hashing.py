@@ -10,16 +10,20 @@ BOUND = 500_000
 
 
 class _Words(dict):
+    def __init__(self, seed: int):
+        super().__init__()
+        self.seed = seed
+
     def __missing__(self, word: bytes) -> int:
-        value = xxhash.xxh3_64_intdigest(word)
+        value = xxhash.xxh3_64_intdigest(word, self.seed)
         if len(self) >= BOUND:
             self.clear()
         self[word] = value
         return value
 
 
-_KNOWN = _Words()
-_ODD = (np.random.default_rng(20240229).integers(0, 1 << 63, 64, np.uint64) << np.uint64(1)) | np.uint64(1)
+_KNOWN, _KNOWN_MORE = _Words(0), _Words(1)
+_ODD, _ODD_MORE = (np.random.default_rng(20240229).integers(0, 1 << 63, (2, 64), np.uint64) << np.uint64(1)) | np.uint64(1)
 
 
 def split(text: str | None) -> list[bytes]:
@@ -39,12 +43,18 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def run_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
+def run_hashes(hashes: np.ndarray, width: int, odd: np.ndarray = _ODD) -> np.ndarray:
     """A hash of each run of ``width`` consecutive words, by its start."""
     n = hashes.size - width + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    out = hashes[:n] * _ODD[0]
+    out = hashes[:n] * odd[0]
     for k in range(1, width):
-        out += hashes[k : k + n] * _ODD[k]
+        out += hashes[k : k + n] * odd[k]
     return mixed(out + np.uint64(width))
+
+
+def run_checks(words: list[bytes], width: int) -> np.ndarray:
+    """32 bits more of each run, from other hashes of its words."""
+    more = np.fromiter((_KNOWN_MORE[w] for w in words), np.uint64, len(words))
+    return (run_hashes(more, width, _ODD_MORE) >> np.uint64(32)).astype(np.uint32)

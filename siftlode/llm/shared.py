@@ -74,6 +74,12 @@ def parts(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def groups(docs: DataFrame, text: str = "text", size: int = 20_000_000) -> int:
+    """Into how many groups documents are dealt, so that one has about ``size`` bytes of text at most; at least the partitions of a shuffle."""
+    total = docs.agg(F.sum(F.octet_length(F.col(f"`{text}`").cast("string")).cast("long"))).first()[0] or 0
+    return parts(docs.sparkSession, -(-total // size))
+
+
 def importable(spark: SparkSession) -> None:
     """Let Python workers that share this file system import the package; on a
     cluster it is shipped with ``--py-files``."""

@@ -7,8 +7,9 @@ smaller ``doc_id``, or in the same document before it).
 Positions are taken modulo 13, and runs of 8 words are hashed only where that
 gives 0, 1, 3 or 9. These four have every difference modulo 13, so two equal
 windows of at least 20 words, wherever they start, have a hashed run at the
-same place in both. Only windows around a run that occurs twice can repeat;
-just those are hashed whole and compared.
+same place in both. A run that occurs twice is extended: every window that holds it
+is read whole, and windows of the same words meet under 96 bits of two hashes,
+so that even among 10 ** 12 windows none goes by chance.
 
 Hashes travel packed: each task sends one row to a bucket of the hash space
 with the runs it met for the first time, and keeps what repeats within its own
@@ -25,32 +26,34 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftlode.llm.hashing import run_hashes, split, word_hashes
-from siftlode.llm.shared import importable, parts
+from siftlode.llm.hashing import run_checks, run_hashes, split, word_hashes
+from siftlode.llm.shared import groups, importable
 
 PERIOD, COVER, RUN = 13, (0, 1, 3, 9), 8
 #: Words hashed at a time in a task.
 BATCH = 1_500_000
-PACKED = "bucket int, hashes binary, twice binary, docs binary, rows binary, at binary"
+PACKED = "bucket int, hashes binary, checks binary, twice binary, docs binary, rows binary, at binary"
 NO_ID = -(1 << 63)
 
 
-def _packed(hashes: np.ndarray, docs: np.ndarray, rows: np.ndarray, at: np.ndarray, buckets: int) -> Iterator[tuple]:
+def _packed(hashes: np.ndarray, checks: np.ndarray, docs: np.ndarray, rows: np.ndarray, at: np.ndarray, buckets: int) -> Iterator[tuple]:
     """Rows for the buckets; entries come in the order of documents and places."""
     order = np.argsort(hashes, kind="stable")
-    hashes, docs, rows, at = hashes[order], docs[order], rows[order], at[order]
+    if ((hashes[order][1:] == hashes[order][:-1]) & (checks[order][1:] != checks[order][:-1])).any():
+        order = np.lexsort((checks, hashes))
+    hashes, checks, docs, rows, at = (x[order] for x in (hashes, checks, docs, rows, at))
     first = np.ones(hashes.size, bool)
-    first[1:] = hashes[1:] != hashes[:-1]
+    first[1:] = (hashes[1:] != hashes[:-1]) | (checks[1:] != checks[:-1])
     twice = np.zeros(hashes.size, bool)
     twice[:-1] = ~first[1:]
     start = np.flatnonzero(first)[np.cumsum(first) - 1]
     later = (docs != docs[start]) | (at != at[start])
     if later.any():
         #: Known to repeat here: sent on only to be gathered by document.
-        yield int(docs[0] % buckets), b"", b"", docs[later].tobytes(), rows[later].tobytes(), at[later].tobytes()
+        yield int(docs[0] % buckets), b"", b"", b"", docs[later].tobytes(), rows[later].tobytes(), at[later].tobytes()
     #: Back in the order of documents and places, in which both compress well.
     back = np.argsort(order[~later])
-    hashes, docs, rows, at, twice = (x[~later][back] for x in (hashes, docs, rows, at, twice))
+    hashes, checks, docs, rows, at, twice = (x[~later][back] for x in (hashes, checks, docs, rows, at, twice))
     bucket = (hashes % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     ends = np.searchsorted(bucket[order], np.arange(buckets), "right")
@@ -58,40 +61,40 @@ def _packed(hashes: np.ndarray, docs: np.ndarray, rows: np.ndarray, at: np.ndarr
     for k, end in enumerate(ends.tolist()):
         if end > start:
             part = order[start:end]
-            yield k, hashes[part].tobytes(), twice[part].tobytes(), docs[part].tobytes(), rows[part].tobytes(), at[part].tobytes()
+            yield k, *(x[part].tobytes() for x in (hashes, checks, twice, docs, rows, at))
         start = end
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
-    columns = zip(*rows, strict=True) if rows else [()] * 6
-    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], ["bucket", "hashes", "twice", "docs", "rows", "at"])
+    kinds = [pa.int32(), *[pa.binary()] * 6]
+    columns = zip(*rows, strict=True) if rows else [()] * 7
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], ["bucket", "hashes", "checks", "twice", "docs", "rows", "at"])
 
 
-def _packed_batches(got: list[tuple[int, int, np.ndarray, np.ndarray]], buckets: int) -> Iterator[pa.RecordBatch]:
-    """``got``: key, number of the row among those of its key, hashes and places."""
+def _packed_batches(got: list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]], buckets: int) -> Iterator[pa.RecordBatch]:
+    """``got``: key, number of the row among those of its key, hashes, checks and places."""
     if got:
         got = sorted(got, key=lambda x: x[0])
         keys, sizes = np.array([x[0] for x in got], np.int64), [x[2].size for x in got]
         docs, numbers = np.repeat(keys, sizes), np.repeat(np.array([x[1] for x in got], np.int32), sizes)
-        hashes, at = (np.concatenate([x[k] for x in got]) for k in (2, 3))
+        hashes, checks, at = (np.concatenate([x[k] for x in got]) for k in (2, 3, 4))
         if (keys[1:] == keys[:-1]).any():
             order = np.lexsort((at, docs))
-            hashes, docs, numbers, at = hashes[order], docs[order], numbers[order], at[order]
-        rows = list(_packed(hashes, docs, numbers, at, buckets))
+            hashes, checks, docs, numbers, at = (x[order] for x in (hashes, checks, docs, numbers, at))
+        rows = list(_packed(hashes, checks, docs, numbers, at, buckets))
         for k in range(0, len(rows), 32):
             yield _rows(rows[k : k + 32])
 
 
 def _in_batches(batches: Iterator[pa.RecordBatch], entries, buckets: int) -> Iterator[pa.RecordBatch]:
     """``entries(row)`` gives a document's hashes and their places; batches of documents are packed."""
-    waiting: list[tuple[int, int, np.ndarray, np.ndarray]] = []
+    waiting: list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]] = []
     n = 0
     for batch in batches:
         for row in zip(*(x.to_pylist() for x in batch.columns), strict=True):
             hashes, at = entries(row)
             if hashes.size:
-                waiting.append((row[0], 0, hashes, at.astype(np.int32)))
+                waiting.append((row[0], 0, hashes, np.zeros(hashes.size, np.uint32), at.astype(np.int32)))
                 n += hashes.size
                 if n >= BATCH:
                     yield from _packed_batches(waiting, buckets)
@@ -101,22 +104,22 @@ def _in_batches(batches: Iterator[pa.RecordBatch], entries, buckets: int) -> Ite
 
 def _repeated(batches: Iterator[pa.RecordBatch], keep_first: bool, groups: int) -> Iterator[pa.RecordBatch]:
     """Of a task's buckets: the places whose hash repeats, by groups of documents; all but the first of each hash if ``keep_first``."""
-    got: list[list[np.ndarray]] = [[], [], [], [], []]
+    got: list[list[np.ndarray]] = [[], [], [], [], [], []]
     known: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for batch in batches:
-        for _, hashes, twice, docs, numbers, at in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+        for _, hashes, checks, twice, docs, numbers, at in zip(*(x.to_pylist() for x in batch.columns), strict=True):
             docs, numbers, at = np.frombuffer(docs, np.int64), np.frombuffer(numbers, np.int32), np.frombuffer(at, np.int32)
             if hashes:
-                for out, x in zip(got, (np.frombuffer(hashes, np.uint64), np.frombuffer(twice, bool), docs, numbers, at), strict=True):
+                for out, x in zip(got, (np.frombuffer(hashes, np.uint64), np.frombuffer(checks, np.uint32), np.frombuffer(twice, bool), docs, numbers, at), strict=True):
                     out.append(x)
             else:
                 known.append((docs, numbers, at))
     if got[0]:
-        hashes, twice, docs, numbers, at = map(np.concatenate, got)
-        order = np.lexsort((at, docs, hashes))
-        hashes, twice, docs, numbers, at = hashes[order], twice[order], docs[order], numbers[order], at[order]
+        hashes, checks, twice, docs, numbers, at = map(np.concatenate, got)
+        order = np.lexsort((at, docs, checks, hashes) if checks.any() else (at, docs, hashes))
+        hashes, checks, twice, docs, numbers, at = (x[order] for x in (hashes, checks, twice, docs, numbers, at))
         first = np.ones(hashes.size, bool)
-        first[1:] = hashes[1:] != hashes[:-1]
+        first[1:] = (hashes[1:] != hashes[:-1]) | (checks[1:] != checks[:-1])
         group = np.cumsum(first) - 1
         starts = np.flatnonzero(first)
         if keep_first:
@@ -179,7 +182,7 @@ def repeated_windows(docs: DataFrame, window: int = 20) -> tuple[DataFrame, Data
         raise ValueError(f"windows of fewer than {PERIOD + RUN - 1} words can miss the anchors")
     spark = docs.sparkSession
     importable(spark)
-    n = max(parts(spark), docs.rdd.getNumPartitions())
+    n = groups(docs)
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
     rows = docs.select(key.alias("key"), F.col("text").cast("string").alias("text"))
     group = F.pmod(F.col("key").bitwiseXOR(F.shiftright("key", 7)).bitwiseXOR(F.shiftright("key", 17)), F.lit(n)).cast("int")
@@ -193,15 +196,16 @@ def repeated_windows(docs: DataFrame, window: int = 20) -> tuple[DataFrame, Data
         at = at[np.isin(at % PERIOD, COVER)]
         return hashes[at], at
 
-    def windows(text: str | None, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        hashes = run_hashes(word_hashes(split(text)), window)
+    def windows(text: str | None, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        words = split(text)
+        hashes, checks = run_hashes(word_hashes(words), window), run_checks(words, window)
         #: Rows of one key share their anchors, also those beyond the end of a shorter text.
         at = at[at < hashes.size + window]
         near = np.zeros(hashes.size + window + 1, np.int32)
         np.add.at(near, np.maximum(at - (window - RUN), 0), 1)
         np.add.at(near, at + 1, -1)
         starts = np.flatnonzero(np.cumsum(near)[: hashes.size] > 0)
-        return hashes[starts], starts
+        return hashes[starts], checks[starts], starts.astype(np.int32)
 
     def whole(table: pa.Table, found: pa.Table) -> pa.Table:
         places, got, done = _by_row(found), [], set()
@@ -209,9 +213,9 @@ def repeated_windows(docs: DataFrame, window: int = 20) -> tuple[DataFrame, Data
         for k, number, text in zip(keys, _numbers(keys, texts), texts, strict=True):
             if (k, 0) in places and (k, number) not in done:
                 done.add((k, number))
-                hashes, at = windows(text, places[k, 0])
+                hashes, checks, at = windows(text, places[k, 0])
                 if hashes.size:
-                    got.append((k, number, hashes, at.astype(np.int32)))
+                    got.append((k, number, hashes, checks, at))
         return pa.Table.from_batches(list(_packed_batches(got, n)), _rows([]).schema)
 
     some = rows.mapInArrow(lambda batches: _in_batches(batches, anchors, n), PACKED)
