@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftlode.llm.hashing import mixed, split, word_hashes
-from siftlode.llm.shared import importable, parts, stored, work_dir
+from siftlode.llm.shared import groups, importable, stored, work_dir
 
 ASK = "bucket int, g int, n int, hashes binary, counts binary"
 ANSWER = "g int, n int, bucket int, counts binary"
@@ -74,7 +74,7 @@ class _Distinct:
         first = np.ones(hashes.size, bool)
         first[1:] = hashes[order[1:]] != hashes[order[:-1]]
         starts = np.flatnonzero(first)
-        self.own = np.diff(np.append(starts, hashes.size)).astype(np.uint32)
+        self.own = np.diff(np.append(starts, hashes.size)).astype(np.int64)
         self.hashes = hashes[order][starts]
         self.which = np.empty(hashes.size, np.int64)
         self.which[order] = np.cumsum(first) - 1
@@ -91,10 +91,10 @@ class _Distinct:
 
     def answered(self, answers: dict[int, bytes]) -> np.ndarray:
         """The corpus' count of each n-gram asked about, by place."""
-        counts = np.zeros(self.hashes.size, np.uint32)
+        counts = np.zeros(self.hashes.size, np.int64)
         for k, part in self.parts():
-            counts[part] = _loose(answers[k], np.uint32)
-        return counts[self.which].astype(np.int64)
+            counts[part] = _loose(answers[k], np.int64)
+        return counts[self.which]
 
 
 def _asked(g: int, orders: list[tuple[int, _Distinct]]) -> pa.Table:
@@ -111,13 +111,13 @@ def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return
     each = [_loose(x[3], np.uint64, rising=True) for x in asks]
     hashes = np.concatenate(each)
-    counts = np.concatenate([_loose(x[4], np.uint32) for x in asks]).astype(np.int64)
+    counts = np.concatenate([_loose(x[4], np.int64) for x in asks])
     order = np.argsort(hashes)
     first = np.ones(hashes.size, bool)
     first[1:] = hashes[order[1:]] != hashes[order[:-1]]
     sums = np.add.reduceat(counts[order], np.flatnonzero(first))
-    total = np.empty(hashes.size, np.uint32)
-    total[order] = np.minimum(sums, 0xFFFFFFFF)[np.cumsum(first) - 1]
+    total = np.empty(hashes.size, np.int64)
+    total[order] = sums[np.cumsum(first) - 1]
     start, rows = 0, []
     for (bucket, g, n, _, _), asked in zip(asks, each, strict=True):
         end = start + asked.size
@@ -149,7 +149,7 @@ def backoff_scores(docs: DataFrame, min_count: int = 2, backoff: float = BACKOFF
     spark = docs.sparkSession
     importable(spark)
     folder = folder or work_dir(spark, "lmscore")
-    buckets = max(parts(spark), docs.rdd.getNumPartitions())
+    buckets = groups(docs)
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
     rows = docs.select(F.pmod(F.xxhash64(key, F.lit(11)), F.lit(buckets)).cast("int").alias("g"), key.alias("key"), F.col("text").cast("string").alias("text"))
     dealt = rows.repartition(buckets, "g")
