@@ -3,7 +3,7 @@
 A URL is a set of tokens: its scheme, the parts of its host, the segments of
 its path and the names of its query's fields, digits made alike. FP-growth over
 the labelled URLs finds the token combinations that are frequent on their own
-and together with a bad label. A combination is a rule if it is frequent enough
+and together with a bad label; tokens that always stand together are one item. A combination is a rule if it is frequent enough
 and the lower bound of its confidence (Wilson's, at 95 %) is high enough, and
 if no smaller combination within it is as sure. Rules match by an inverted
 index: each is listed under its rarest token, so a URL only meets rules whose
@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from siftlode.llm.shared import bounded, stored, work_dir
 
 BAD = "=bad"
+#: Tasks that pages with the same tokens are dealt to.
+SALTS = 64
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -71,6 +73,31 @@ def url_tokens(url: Column) -> Column:
     return F.array_sort(F.array_distinct(F.concat(marked("s:", scheme), marked("h:", F.split(host_of(url), r"\.")), marked("p:", F.split(path_of(url), "/")), marked("q:", fields))))
 
 
+def alike_tokens(labelled: DataFrame, min_support: float = 0.005, min_rows: int = 10) -> dict[str, str]:
+    """Frequent tokens that always stand together in the labelled rows (``tokens``), each but the first of them with the first.
+
+    As one item they give the same rules; as many, every combination of the
+    tokens of one template would be frequent on its own. Tokens are compared by
+    the number and the hashes of the token sets they lie in. There are fewer
+    frequent tokens than a row has tokens in the mean, divided by
+    ``min_support``, whatever the number of rows.
+    """
+    rows = labelled.where("size(tokens) > 0 AND bad IS NOT NULL")
+    support = max(min_support * rows.count(), min_rows)
+    each = rows.select(F.explode("tokens").alias("token"), F.xxhash64("tokens").alias("h"))
+    marks = each.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("h").cast("decimal(38,0)")).alias("s"), F.bit_xor("h").alias("x")).where(F.col("n") >= support)
+    sets = marks.groupBy("n", "s", "x").agg(F.array_sort(F.collect_list("token")).alias("tokens")).where("size(tokens) > 1")
+    return {t: r["tokens"][0] for r in sets.collect() for t in r["tokens"][1:]}
+
+
+def with_first_of_alike(rows: DataFrame, first: dict[str, str]) -> DataFrame:
+    """``rows`` with each of ``tokens`` that is like another replaced by the first of them."""
+    if not first:
+        return rows
+    known = F.create_map(*[F.lit(x) for pair in first.items() for x in pair])
+    return rows.withColumn("tokens", F.array_sort(F.array_distinct(F.transform("tokens", lambda t: F.coalesce(F.try_element_at(known, t), t)))))
+
+
 def mined_rules(labelled: DataFrame, min_support: float = 0.005, min_rows: int = 10, min_confidence: float = 0.7) -> DataFrame:
     """``tokens, confidence, support_rows, rarest`` of each rule that says bad, from ``labelled`` (``tokens``, ``bad``).
 
@@ -124,9 +151,16 @@ def judged_urls(pages: DataFrame, labels: DataFrame, listed: tuple[ListRule, ...
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), url.alias("url"), host_of(url).alias("host"), path_of(url).alias("path"), url_tokens(url).alias("tokens"))
     bad = (F.coalesce(F.col("quality"), F.lit(1)) == 0) | (F.coalesce(F.col("toxic"), F.lit(0)) == 1)
     marks = labels.where("quality IS NOT NULL OR toxic IS NOT NULL").select(F.col("doc_id").alias("page_id"), bad.alias("bad"))
-    rules = stored(mined_rules(rows.join(marks, "page_id"), **mining), work_dir(pages.sparkSession, "urlrules"), "rules")
+    folder = work_dir(pages.sparkSession, "urlrules")
+    labelled = stored(rows.join(marks, "page_id").select("tokens", "bad"), folder, "labelled")
+    first = alike_tokens(labelled, **{k: v for k, v in mining.items() if k != "min_confidence"})
+    rows = with_first_of_alike(rows, first)
+    rules = stored(mined_rules(with_first_of_alike(labelled, first), **mining), folder, "rules")
     found = matched(rows, rules)
     fits = list_rule(F.col("host"), F.col("path"), listed)
-    judged = rows.join(found, "tokens", "left").withColumn("_fits", fits)
+    #: Pages with the same tokens, a third of all perhaps, are dealt to several tasks; the few sets that were found go to each.
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
+    found = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    judged = salted.join(found, ["tokens", "salt"], "left").withColumn("_fits", fits)
     verdict = F.coalesce("_fits.verdict", F.when(F.col("confidence").isNotNull(), "block").otherwise("allow"))
     return judged.select("page_id", "url", "host", "path", F.col("_fits.rule").alias("rule"), verdict.alias("verdict"), "confidence")

@@ -5,6 +5,7 @@ import io
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from siftlode.llm import urlrules, warc
 from siftlode.llm.shared import work_dir
@@ -79,3 +80,17 @@ def test_mined_rules_find_bad_combinations(spark):
     judged = urlrules.judged_urls(pages, spark.createDataFrame(marks, "doc_id long, quality int, toxic int")).collect()
     for r in judged:
         assert (r["verdict"] == "block") == ("pills" in r["url"] and "/buy/" in r["url"])
+
+
+def test_templates_of_many_tokens_are_one_item(spark):
+    fields = "&".join(f"{c}{d}=1" for c in "abcde" for d in "vwxyz")
+    rows = [(i, f"http://shop.example.com/deal/?{fields}" if i % 3 else f"http://news.example.com/{'abc'[i % 2]}/") for i in range(300)]
+    rows += [(300, "http://other.example.org/?av=1"), (301, "http://other.example.org/?zz=1"), (None, None), (302, rows[1][1]), (302, rows[3][1])]
+    pages = spark.createDataFrame(rows, "page_id long, url string").withColumn("salt", F.lit("own")).withColumn("confidence", F.lit("own"))
+    marks = [(i, 0 if i % 3 else 1, None) for i in range(300)] + [(None, 0, 1), (1, 0, None), (1, None, None)]
+    labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int").withColumn("tokens", F.lit("own"))
+    first = urlrules.alike_tokens(pages.limit(300).select(urlrules.url_tokens(F.col("url")).alias("tokens"), F.lit(True).alias("bad")))
+    assert set(first.values()) == {"h:shop", "h:com"} and len(first) == 28
+    judged = urlrules.judged_urls(pages, labels).collect()
+    assert len(judged) == len(rows)
+    assert all((r["verdict"] == "block") == (r["url"] is not None and ("shop" in r["url"] or "av=1" in r["url"])) for r in judged)
