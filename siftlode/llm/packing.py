@@ -8,8 +8,8 @@ into a knapsack, solved by dynamic programming, whose best filling is the next
 column. Patterns are used as often as their rounded-down values say; pieces
 left over, a few for each class, are placed by first fit. Only the histogram
 and the patterns, which have at most 512 classes whatever the input, reach the
-driver; pieces are ranked within their class by Spark and find their sequence
-by rank.
+driver; pieces are numbered within their class and find their sequence by
+number. Each sequence is then built from its pieces' ids and padded.
 """
 
 from __future__ import annotations
@@ -18,10 +18,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftlode.llm.shared import importable, parts, stored, work_dir
+from siftlode.llm.shared import bounded, importable, stored, work_dir
 from siftlode.llm.tokenization import encoder
 
 UNIT = 8
@@ -32,24 +33,27 @@ BATCH = 6_000_000
 def pieces(docs: DataFrame, vocabulary: str, end_id: int = 2, length: int = 4096) -> DataFrame:
     """``doc_id, start, length, doc_tokens, ids`` of each piece of each row of ``docs`` (``doc_id, text``); ``ids`` as little-endian unsigned 32-bit integers.
 
-    A null or empty text is the end token alone. Rows that repeat a ``doc_id``
+    ``_task`` and ``_own`` number the pieces of each class within the task that cut them. A null or empty text is the end token alone. Rows that repeat a ``doc_id``
     and rows without one are cut like any other. Other columns are not read.
     """
     importable(docs.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, end = encoder(vocabulary), np.array([end_id], "<u4")
+        task, met = TaskContext.get().partitionId(), np.zeros(-(-length // UNIT) + 1, np.int64)
 
         def of(ids: list, texts: list) -> pa.RecordBatch:
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[], [], [], [], [], [], []]
             for doc_id, x in zip(ids, tokens.encode(texts), strict=True):
                 whole = np.concatenate([x, end])
                 for start in range(0, whole.size, length):
                     piece = whole[start : start + length]
-                    for column, value in zip(out, (doc_id, start, piece.size, whole.size, piece.tobytes()), strict=True):
+                    size = -(-piece.size // UNIT)
+                    for column, value in zip(out, (doc_id, start, piece.size, whole.size, piece.tobytes(), task, int(met[size])), strict=True):
                         column.append(value)
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], ["doc_id", "start", "length", "doc_tokens", "ids"])
+                    met[size] += 1
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64()]
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], ["doc_id", "start", "length", "doc_tokens", "ids", "_task", "_own"])
 
         ids, texts, chars = [], [], 0
         for batch in batches:
@@ -64,7 +68,7 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int = 2, length: int = 4096
             yield of(ids, texts)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(cut, "doc_id long, start long, length long, doc_tokens long, ids binary")
+    return rows.mapInArrow(cut, "doc_id long, start long, length long, doc_tokens long, ids binary, _task int, _own long")
 
 
 def knapsack(prices: np.ndarray, sizes: np.ndarray, room: int) -> tuple[float, np.ndarray]:
@@ -154,48 +158,61 @@ def plan(histogram: dict[int, int], room: int) -> list[tuple[int, int, int, int,
 
 
 def packed(cut: DataFrame, length: int = 4096, folder: str | None = None) -> DataFrame:
-    """``cut`` (one row for each piece: ``doc_id, start, length``) with ``sequence_id`` and ``offset``.
+    """``cut`` (one row for each piece, as :func:`pieces` gives them) with ``sequence_id`` and ``offset``.
 
-    Pieces of one class are ranked in two steps, within hashed parts of the
-    class and by the parts' counts, so a class that a third of the pieces have
-    is never one task's. Rows that repeat each other are placed apart. Columns
-    of ``cut`` stay, but those two names are replaced. An empty table stays
-    empty.
+    Pieces of one class are numbered in two steps, within the tasks that cut
+    them and by the tasks' counts, so a class that a third of the pieces have
+    is never one task's, and the ids travel once, to their sequence. Rows that
+    repeat each other are placed apart. Columns of ``cut`` stay, but those two
+    names are replaced. An empty table stays empty.
     """
     spark = cut.sparkSession
     folder = folder or work_dir(spark, "packing")
     rows = stored(cut.drop("sequence_id", "offset").withColumn("_size", F.ceil(F.col("length") / UNIT).cast("int")), folder, "pieces")
-    histogram = {r["_size"]: r["n"] for r in rows.groupBy("_size").agg(F.count(F.lit(1)).alias("n")).collect()}  # length / 8 rows at most
+    counts = stored(rows.groupBy("_size", "_task").agg(F.count(F.lit(1)).alias("_n")), folder, "counts")
+    histogram = {r["_size"]: r["n"] for r in counts.groupBy("_size").agg(F.sum("_n").alias("n")).collect()}  # length / 8 rows at most
     slots = plan(histogram, length // UNIT)
     values = ", ".join(f"({a}, {b}L, {c}L, {d}L, {e}L)" for a, b, c, d, e in slots) or "(0, 0L, 0L, 0L, 1L)"
     table = spark.sql(f"SELECT * FROM VALUES {values} AS t(_size, _from, _to, _first, _per)")
 
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(parts(spark, 8))))
-    counts = salted.groupBy("_size", "_salt").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy("_size").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1))
-    counts = counts.select("_size", "_salt", F.coalesce(before, F.lit(0)).alias("_before"))
-    own = F.row_number().over(Window.partitionBy("_size", "_salt").orderBy("doc_id", "start"))
-    ranked = salted.withColumn("_own", own).join(counts, ["_size", "_salt"]).withColumn("_rank", F.col("_before") + F.col("_own") - 1)
+    before = F.sum("_n").over(Window.partitionBy("_size").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select("_size", "_task", F.coalesce(before, F.lit(0)).alias("_before"))
+    ranked = rows.join(bounded(counts), ["_size", "_task"]).withColumn("_rank", F.col("_before") + F.col("_own"))
     #: At most a few thousand ranges, set by the number of classes.
     placed = ranked.join(F.broadcast(table), "_size").where("_rank >= _from AND _rank < _to").withColumn("sequence_id", F.expr("_first + (_rank - _from) div _per"))
     upto = Window.partitionBy("sequence_id").orderBy(F.desc("length"), "doc_id", "start", "_rank").rowsBetween(Window.unboundedPreceding, -1)
     offset = F.coalesce(F.sum("length").over(upto), F.lit(0))
-    return placed.withColumn("offset", offset).drop("_size", "_salt", "_own", "_before", "_rank", "_from", "_to", "_first", "_per")
+    return placed.withColumn("offset", offset).drop("_size", "_task", "_own", "_before", "_rank", "_from", "_to", "_first", "_per")
 
 
-def sequences(pieces_placed: DataFrame, length: int = 4096, pad_id: int = 0) -> DataFrame:
-    """``sequence_id, n_tokens, tokens``: the ids of each sequence, padded to ``length`` unless their number is a power of two."""
-    importable(pieces_placed.sparkSession)
+def built(placed: DataFrame, length: int = 4096, pad_id: int = 0) -> DataFrame:
+    """``sequence_id, n_tokens, tokens, pieces`` of each sequence: its ids as little-endian unsigned 32-bit integers, padded to ``length`` unless their number is a power of two, and its pieces' places."""
+    names = ("offset", "doc_id", "start", "length", "doc_tokens")
+    grouped = placed.groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct(*names, "ids"))).alias("all"), F.sum("length").alias("n_tokens"))
+    ids = F.aggregate("all", F.lit(b""), lambda a, x: F.concat(a, x["ids"]))
+    padded = F.rpad(ids, F.lit(4 * length), F.lit(pad_id.to_bytes(4, "little")))
+    return grouped.select("sequence_id", "n_tokens", F.when(F.bit_count("n_tokens") == 1, ids).otherwise(padded).alias("tokens"), F.transform("all", lambda x: F.struct(*[x[n].alias(n) for n in names])).alias("pieces"))
 
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def written(placed: DataFrame, length: int = 4096, pad_id: int = 0, folder: str | None = None) -> DataFrame:
+    """The sequences of :func:`built`, as a table in a shared folder."""
+    return stored(built(placed, length, pad_id), folder or work_dir(placed.sparkSession, "sequences"), "sequences")
+
+
+def pieces_of(sequences: DataFrame) -> DataFrame:
+    """``doc_id, start, length, doc_tokens, sequence_id, offset, ids`` of each piece, read from the sequences that hold them."""
+    each = sequences.select("sequence_id", "tokens", F.explode("pieces").alias("p"))
+    ids = F.substring("tokens", (4 * F.col("p.offset") + 1).cast("int"), (4 * F.col("p.length")).cast("int"))
+    return each.select("p.doc_id", "p.start", "p.length", "p.doc_tokens", "sequence_id", "p.offset", ids.alias("ids"))
+
+
+def sequences(placed: DataFrame, length: int = 4096, pad_id: int = 0) -> DataFrame:
+    """``sequence_id, n_tokens, tokens`` of each sequence, its ids as an array of integers."""
+    importable(placed.sparkSession)
+
+    def loose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, arrays = [], []
-            for members in batch.column(1).to_pylist():
-                ids = np.concatenate([np.frombuffer(x["ids"], "<u4") for x in sorted(members, key=lambda x: x["offset"])])
-                sizes.append(ids.size)
-                wide = ids.size if ids.size & (ids.size - 1) == 0 else length
-                arrays.append(np.concatenate([ids, np.full(wide - ids.size, pad_id, "<u4")]).astype(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(arrays, pa.list_(pa.int64()))], ["sequence_id", "n_tokens", "tokens"])
-
-    grouped = pieces_placed.groupBy("sequence_id").agg(F.collect_list(F.struct("offset", "ids")).alias("members"))
-    return grouped.mapInArrow(join, "sequence_id long, n_tokens long, tokens array<long>")
+            tokens = [np.frombuffer(x, "<u4").astype(np.int64) for x in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(tokens, pa.list_(pa.int64()))], ["sequence_id", "n_tokens", "tokens"])
+
+    return built(placed, length, pad_id).select("sequence_id", "n_tokens", "tokens").mapInArrow(loose, "sequence_id long, n_tokens long, tokens array<long>")

@@ -129,10 +129,10 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pieces of all documents and their places in sequences of 4096 tokens."""
+    """Pieces of all documents and their places in sequences of 4096 tokens, read from the sequences."""
     cut = packing.pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
-    placed = packing.packed(cut.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
-    return placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+    found = packing.pieces_of(packing.written(packing.packed(cut)))
+    return found.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
 @query

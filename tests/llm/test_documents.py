@@ -263,6 +263,12 @@ def test_packing(spark, texts):
     assert sum(x.size for x in ids.values()) / (512 * n) > 0.9 and placed.columns[-2:] == ["sequence_id", "offset"]
     for r in packing.sequences(placed, 512).collect():
         assert len(r["tokens"]) in (512, r["n_tokens"])
+    whole = {r["sequence_id"]: r for r in packing.sequences(placed, 512, pad_id=7).collect()}
+    assert all(r["tokens"][r["n_tokens"] :] == [7] * (0 if r["n_tokens"].bit_count() == 1 else 512 - r["n_tokens"]) for r in whole.values())
+    assert all(np.array(whole[r["sequence_id"]]["tokens"][r["offset"] : r["offset"] + r["length"]], "<u4").tobytes() == bytes(r["ids"]) for r in rows)
+    again = packing.pieces_of(packing.written(placed, 512)).collect()
+    key = lambda r: (r["doc_id"], r["start"], r["length"], r["doc_tokens"], r["sequence_id"], r["offset"], bytes(r["ids"]))
+    assert sorted(map(key, again)) == sorted(map(key, rows))
     assert packing.packed(packing.pieces(empty(spark), path)).count() == 0
     assert packing.packed(packing.pieces(frame(spark, ["a", "a", None], [1, 1, None]), path)).count() == 3
 
