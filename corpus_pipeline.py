@@ -35,10 +35,10 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents and their places in sequences of 4096 tokens."""
+    """Write the padded sequences of 4096 tokens to a table in the shared folder; the pieces of all documents, with their ids, as read from it."""
     cut = packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json"))
-    placed = packing.packed(cut.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
-    return placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+    found = packing.pieces_of(packing.written(packing.packed(cut)))
+    return found.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "ids")
 
 
 STAGES = [
