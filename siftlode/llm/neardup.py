@@ -206,7 +206,7 @@ def _leaders(large: DataFrame) -> DataFrame:
 def _stars(large: DataFrame, sets: DataFrame, percent: int, folder: str, name: str) -> DataFrame:
     """Links ``a, b`` of the members of large places with one member each, where they are not in one component yet."""
     pairs = large.select("path", "node", "label").join(_leaders(large), "path").where("label <> leader_label").select("node", "leader").distinct()
-    pairs = stored(pairs, folder, name).join(sets, "node")
+    pairs = stored(pairs, folder, name).hint("merge").join(sets, "node")
     pairs = pairs.join(sets.select(F.col("node").alias("leader"), F.col("shingles").alias("others")), "leader")
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,7 +291,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, trees: int = 5, folder:
         """Links of places with few members; ``known``: those that may have a partner. Only their sets travel, the others' stay."""
         known = _candidates(places, percent) if known is None else known
         found = stored(_cells(places.join(known, ["path", "node"])), folder, f"found-{name}")
-        out = stored(_verified(found.join(sets, "node"), percent), folder, f"links-{name}")
+        out = stored(_verified(found.hint("merge").join(sets, "node"), percent), folder, f"links-{name}")
         dropped(spark, f"{folder}/found-{name}")
         released(spark)
         return out
@@ -347,7 +347,8 @@ def _sets(docs: DataFrame, keys: DataFrame) -> DataFrame:
                     sets.append(hashes)
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(sets, pa.binary())], ["node", "shingles"])
 
-    found = _keyed(docs).select("key", "text").join(keys, "key").select("node", "text")
+    #: Shuffled whatever the number of keys, so that a small input runs the plan of a large one.
+    found = _keyed(docs).select("key", "text").join(keys.hint("merge"), "key").select("node", "text")
     return found.mapInArrow(of, "node binary, shingles binary").dropDuplicates(["node"])
 
 
