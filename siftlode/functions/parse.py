@@ -54,11 +54,12 @@ def crystal_features(df: DataFrame) -> DataFrame:
 
 #: Readable names of single features, of element properties and of statistics.
 SINGLE = {
-    "n_elements": "Number of elements", "Li_frac": "Li fraction", "cell_volume": "Cell volume", "spacegroup_no": "Space-group no.",
-    "crystal_system": "Crystal system", "Z": "Formula units per cell", "Family": "Family",
+    "n_elements": "No. of elements", "Li_frac": "Li fraction", "a": "Lattice a", "b": "Lattice b", "c": "Lattice c",
+    "alpha": "Angle α", "beta": "Angle β", "gamma": "Angle γ", "cell_volume": "Cell volume", "spacegroup_no": "Space-group no.",
+    "Z": "Formula units (Z)", "crystal_system": "Crystal system", "Family": "Structural family",
 }
-PROPERTIES = {"Z": "Atomic number", "mass": "Atomic mass", "X": "Electronegativity", "row": "Row", "group": "Group", "mendeleev": "Mendeleev no.", "radius": "Atomic radius"}
-STATISTICS = {"mean": "mean", "std": "std", "min": "min", "max": "max", "range": "range"}
+PROPERTIES = {"Z": "Atomic number", "mass": "Atomic mass", "X": "Electronegativity", "row": "Periodic row", "group": "Group number", "mendeleev": "Mendeleev number", "radius": "Atomic radius"}
+STATISTICS = {"mean": "mean", "std": "SD", "min": "min", "max": "max", "range": "range"}
 
 
 def _literal_map(values: dict[str, str]) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftlode.operators.metrics import pool_percentile
+from siftlode.operators.screen import with_rank
 
 
 def coverage(df: DataFrame, column: str) -> DataFrame:
@@ -38,6 +39,18 @@ def retro_scored(leads: DataFrame, metrics: DataFrame, pool: DataFrame, spread:
     return pool_percentile(with_metrics(leads, metrics), pool, spread)
 
 
+def against_prior_rank(scored: DataFrame, predicted: str = "ens_mean", value: str = "sigma300_mS_cm", tie: str = "label") -> DataFrame:
+    """``scored`` with ``prior_rank`` by prediction and ``measured_rank`` by metric, both from 0 for the highest, missing ones last, and ``shift``, how many places the metric moves the row down."""
+    ranked = with_rank(scored, predicted, tie).withColumnRenamed("rank", "prior_rank")
+    return with_rank(ranked, value, tie).withColumnRenamed("rank", "measured_rank").withColumn("shift", F.col("measured_rank") - F.col("prior_rank"))
+
+
+def with_attribute(df: DataFrame, values: dict[str, str], name: str, column: str = "Family", default: str = "unknown") -> DataFrame:
+    """``df`` with ``name``: the value listed for the row's ``column``, else the one listed for ``default``."""
+    known = F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
+    return df.withColumn(name, F.coalesce(F.try_element_at(known, F.col(column)), F.lit(values[default])))
+
+
 def risk_map(pool: DataFrame, leads: DataFrame) -> DataFrame:
     """Pool and leads under each other, told apart by ``kind``; columns that one of them lacks are null."""
     return pool.withColumn("kind", F.lit("mp")).unionByName(leads.withColumn("kind", F.lit("lead")), allowMissingColumns=True)

@@ -9,6 +9,8 @@ from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftlode.operators.order import positions, quantiles, running_counts
+
 
 def regression_metrics(df: DataFrame, y: str, pred: str, by: list[str] | None = None) -> DataFrame:
     """``n, mae, rmse, r2`` by group: R2 is 1 - residual / total sum of squares. Rows without either value are left out."""
@@ -40,15 +42,16 @@ def ensemble_spread(df: DataFrame, key: str, pred: str) -> DataFrame:
 
 def group_median(df: DataFrame, by: str, value: str, top: int | None = None) -> DataFrame:
     """The exact median of each group; with ``top`` the largest so many, in ascending order."""
-    out = df.groupBy(by).agg(F.median(value).alias("median"))
+    out = quantiles(df, value, [0.5], (by,)).select(by, F.col("quantiles")[0].alias("median"))
     return out.orderBy(F.desc("median"), by).limit(top).orderBy("median", by) if top else out
 
 
 def quantile_edges(df: DataFrame, value: str, k: int, accuracy: int | None = None) -> DataFrame:
     """One row: the distinct edges of ``k`` quantile bins; approximate if an ``accuracy`` is given."""
     shares = [i / k for i in range(k + 1)]
-    edges = F.percentile_approx(value, shares, accuracy) if accuracy else F.percentile(value, F.array(*map(F.lit, shares)))
-    return df.agg(F.array_distinct(edges).alias("edges"))
+    if accuracy:
+        return df.agg(F.array_distinct(F.percentile_approx(value, shares, accuracy)).alias("edges"))
+    return quantiles(df, value, shares).select(F.array_distinct("quantiles").alias("edges"))
 
 
 def quantile_bins(df: DataFrame, value: str, k: int = 5, **options) -> DataFrame:
@@ -66,9 +69,8 @@ def calibration(df: DataFrame, spread: str, err: str, k: int = 5) -> DataFrame:
 
 def average_rank(df: DataFrame, value: str, name: str) -> DataFrame:
     """``df`` with the average rank of ``value``: from the counts of its distinct values, whose running sum is taken."""
-    counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
-    below = F.coalesce(F.sum("_n").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = counts.select(F.col(value).alias("_v"), (below + (F.col("_n") + 1) / 2).alias(name))
+    counts = running_counts(df.where(F.col(value).isNotNull()).select(value), value)
+    ranks = counts.select(F.col(value).alias("_v"), (F.col("below") + (F.col("n") + 1) / 2).alias(name))
     return df.join(ranks, df[value] == ranks["_v"]).drop("_v")
 
 
@@ -119,13 +121,10 @@ def pool_percentile(leads: DataFrame, pool: DataFrame, column: str) -> DataFrame
     in one order does that for any number of leads, without pairing them with
     the pool.
     """
-    values = pool.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-    whole = F.broadcast(values.agg(F.sum("n").alias("_all")))
-    points = values.select(F.col(column).alias("v"), "n").unionByName(leads.select(F.col(column).alias("v")).distinct().select("v", F.lit(0).cast("long").alias("n")))
-    merged = points.groupBy("v").agg(F.sum("n").alias("n"))
-    below = merged.select("v", F.coalesce(F.sum("n").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_below"))
-    found = leads.join(below, leads[column] == below["v"], "left").drop("v").crossJoin(whole)
-    return found.withColumn("percentile", 100 * F.col("_below") / F.col("_all")).drop("_below", "_all")
+    one = lambda df, n: df.where(F.col(column).isNotNull()).select(F.col(column).alias("_v"), F.lit(n).cast("long").alias("_weight"))
+    counts = running_counts(one(pool, 1).unionByName(one(leads, 0)), "_v")
+    found = leads.join(counts.select("_v", "below", "total"), leads[column] == counts["_v"], "left").drop("_v")
+    return found.withColumn("percentile", 100 * F.col("below") / F.nullif(F.col("total"), F.lit(0))).drop("below", "total")
 
 
 def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
@@ -136,8 +135,8 @@ def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
 
 
 def percentile_pair(df: DataFrame, by: str, column: str, low: float = 0.05, high: float = 0.95) -> DataFrame:
-    value = F.when(~F.isnan(F.col(column).cast("double")), F.col(column))
-    return df.groupBy(by).agg(F.percentile(value, F.lit(low)).alias("lo"), F.percentile(value, F.lit(high)).alias("hi"))
+    """``by, lo, hi``: two exact percentiles of each group."""
+    return quantiles(df, column, [low, high], (by,)).select(by, F.col("quantiles")[0].alias("lo"), F.col("quantiles")[1].alias("hi"))
 
 
 def clip_normalised(df: DataFrame, by: str, column: str) -> DataFrame:
@@ -148,16 +147,19 @@ def clip_normalised(df: DataFrame, by: str, column: str) -> DataFrame:
 
 
 def density_offsets(df: DataFrame, by: str, value: str, tie: str, width: float = 0.42, bins: int = 100) -> DataFrame:
-    """``df`` with ``offset``: rows of one of ``bins`` equal bins of their group stand beside each other, alternately on either side, nearer the denser the bin."""
-    ends = df.groupBy(by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    """``df`` with ``offset``: the rows of each of ``bins`` equal bins of a group, in the order of ``tie``, spread evenly from ``-s`` to ``s``.
+
+    ``s`` is ``width * min(1, k / (0.03 n + 1))`` for ``k`` rows in the bin and
+    ``n`` in the group. A row alone in its bin, and every row of a group with
+    one value only, stays at 0; a row without a value has no offset.
+    """
+    ends = df.groupBy(by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.count(value).alias("_n"))
     at = F.when(F.col("_hi") > F.col("_lo"), F.least(F.floor((F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins), F.lit(bins - 1))).otherwise(0)
-    binned = df.join(ends, by).withColumn("_bin", at)
-    here = Window.partitionBy(by, "_bin")
-    k, n = F.row_number().over(here.orderBy(value, tie)) - 1, F.count(F.lit(1)).over(here)
-    step = F.ceil(F.col("_k") / 2)
-    side = F.when(F.col("_k") % 2 == 1, 1.0).otherwise(-1.0)
-    size = width * F.least(F.lit(1.0), step / (0.03 * F.col("_n") + 1))
-    return binned.withColumns({"_k": k, "_n": n}).withColumn("offset", side * size).drop("_lo", "_hi", "_bin", "_k", "_n")
+    placed = positions(df.join(ends, by).withColumn("_bin", at), [F.asc(tie)], (by, "_bin"))
+    k = F.col("_total")
+    spread = width * F.least(F.lit(1.0), k / (0.03 * F.col("_n") + 1))
+    offset = F.when((k > 1) & (F.col("_hi") > F.col("_lo")), spread * (2 * F.col("_position") / F.greatest(k - 1, F.lit(1)) - 1)).otherwise(0.0)
+    return placed.withColumn("offset", F.when(F.col(value).isNotNull(), offset)).drop("_lo", "_hi", "_n", "_bin", "_position", "_total")
 
 
 def axis_stats(df: DataFrame, column: str) -> DataFrame:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftlode.functions.rules import REDOX, flag_elements, has_all, has_any
+from siftlode.operators.order import positions
 
 
 @dataclass(frozen=True)
@@ -46,34 +47,46 @@ class ScreenFilter:
                 found.append((name, (column >= low if low is not None else F.lit(True)) & (column <= high if high is not None else F.lit(True))))
         if self.drop_flagged:
             found.append(("flagged", ~flag_elements(el, self.drop_flagged)))
-        return [(n, F.coalesce(c, F.lit(False))) for n, c in found]
+        return found
+
+    def selected(self, df: DataFrame) -> DataFrame:
+        """The rows that meet every condition but the one on flagged elements, up to the cap. Ranges of plain columns reach the scan; a null meets none."""
+        for name, c in self.conditions():
+            if name != "flagged":
+                df = df.where(c)
+        return df.orderBy(self.order_by).limit(self.cap) if self.cap is not None else df
 
     def apply(self, df: DataFrame) -> DataFrame:
-        """The rows that meet every condition. Ranges of plain columns reach the scan."""
-        conditions = dict(self.conditions())
-        flagged = conditions.pop("flagged", None)
-        for c in conditions.values():
-            df = df.where(c)
-        if self.cap is not None:
-            df = df.orderBy(self.order_by).limit(self.cap)
-        return df.where(flagged) if flagged is not None else df
+        """The rows that meet every condition."""
+        df = self.selected(df)
+        return df.where(dict(self.conditions())["flagged"]) if self.drop_flagged else df
 
     def funnel(self, df: DataFrame) -> DataFrame:
         """``step, stage, n_candidates, dropped``: rows left after each condition, counted in one pass."""
         conditions = self.conditions()
         sums, met = [F.count(F.lit(1)).alias("s0")], F.lit(True)
         for k, (_, c) in enumerate(conditions, 1):
-            met = met & c
+            met = met & F.coalesce(c, F.lit(False))
             sums.append(F.count_if(met).alias(f"s{k}"))
         names = ["all", *[n for n, _ in conditions]]
         rows = F.array(*[F.struct(F.lit(k).alias("step"), F.lit(n).alias("stage"), F.col(f"s{k}").alias("n_candidates"), (F.col(f"s{max(k - 1, 0)}") - F.col(f"s{k}")).alias("dropped")) for k, n in enumerate(names)])
         return df.agg(*sums).select(F.inline(rows))
 
 
+def missing(score: str) -> Column:
+    return F.col(score).isNull() | F.coalesce(F.isnan(F.col(score).cast("double")), F.lit(False))
+
+
+def best_first(score: str, tie: str) -> list[Column]:
+    """The order of descending scores, then of ``tie``; null and NaN scores come last."""
+    return [missing(score).asc(), F.desc(score), F.asc(tie)]
+
+
 def best_of_each(df: DataFrame, key: str, score: str, tie: str) -> DataFrame:
-    """The best row of each key: the highest score, then the smallest ``tie``. A ``max_by`` that sums up before the shuffle, no window."""
+    """The best row of each key: the highest score, then the smallest ``tie``; a row whose score is null or NaN only where the key has no other. A ``min_by`` that sums up before the shuffle, no window."""
     names = df.columns
-    top = df.groupBy(key).agg(F.min_by(F.struct(*names), F.struct((-F.col(score)).alias("s"), F.col(tie).alias("t"))).alias("_row"))
+    place = F.struct(missing(score).alias("m"), F.when(~missing(score), -F.col(score)).alias("s"), F.col(tie).alias("t"))
+    top = df.groupBy(key).agg(F.min_by(F.struct(*names), place).alias("_row"))
     return top.select(*[F.col("_row")[n].alias(n) for n in names])
 
 
@@ -81,20 +94,17 @@ def top_list(df: DataFrame, n: int, score: str = "pred", tie: str = "material_id
     """The ``n`` highest scores. ``dedupe='after'`` keeps the best row of each key among them, so fewer may be left; ``'before'`` takes the ``n`` best keys."""
     if dedupe == "before":
         df = best_of_each(df, key, score, tie)
-    top = df.orderBy(F.desc(score), tie).limit(n)
+    top = df.orderBy(*best_first(score, tie)).limit(n)
     if dedupe == "after":
         top = best_of_each(top, key, score, tie)
-    return top.orderBy(F.desc(score), tie)
+    return top.orderBy(*best_first(score, tie))
 
 
 def with_rank(df: DataFrame, score: str, tie: str) -> DataFrame:
-    """``df`` with ``rank`` from 0 in the order of descending scores.
+    """``df`` with ``rank`` from 0 in the order of descending scores."""
+    return positions(df, best_first(score, tie)).withColumnRenamed("_position", "rank").drop("_total")
 
-    Rows are dealt by ranges of the score, ranked within their range, and the
-    ranges' sizes are added up; no window runs over the whole table.
-    """
-    dealt = df.repartitionByRange(F.desc(score), F.asc(tie)).sortWithinPartitions(F.desc(score), F.asc(tie)).withColumn("_id", F.monotonically_increasing_id())
-    dealt = dealt.withColumn("_part", F.shiftright("_id", 33)).persist()
-    sizes = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    return dealt.join(F.broadcast(before), "_part").withColumn("rank", F.col("_before") + F.col("_id").bitwiseAND((1 << 33) - 1)).drop("_part", "_id", "_before")
+
+def with_highlight(df: DataFrame, names: list[str], column: str = "formula") -> DataFrame:
+    """``df`` with ``highlight``: whether the row is one of ``names``; a null is not."""
+    return df.withColumn("highlight", F.coalesce(F.col(column).isin(*names), F.lit(False)))

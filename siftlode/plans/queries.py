@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from siftlode.functions import composition, parse, rules
 from siftlode.operators import attribution, audit, metrics, model, screen
+from siftlode.operators.order import kept
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -116,45 +117,51 @@ def composition_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("p_partkey", "n_elements", *[r6(c).alias(c) for c in out.columns[2:]])
 
 
-_FAMILIES = (("Li6PS5Cl", "argyrodites"), ("Li10Ge(PS6)2", "LGPS"), ("Li4SnS4", "thio-LISICON"), ("Li3PS4", "sulfides"), ("Na3PS4", "unknown"), ("LiCoO2", "unknown"))
+#: The last three are dropped for too few elements, for a redox metal and for hydrogen.
+_FAMILIES = (
+    ("Li6PS5Cl", "argyrodites"), ("Li10Ge(PS6)2", "LGPS"), ("Li4SnS4", "thio-LISICON"), ("Li3PS4", "sulfides"), ("Na3PS4", "unknown"), ("LiCoO2", "unknown"),
+    ("Li2S", "unknown"), ("Li3CuS2", "unknown"), ("LiPH21S3N7", "unknown"),
+)
 
 
-def _six(n: int) -> str:
-    return f"CASE p_partkey % 6 {' '.join(f'WHEN {k} THEN {chr(39)}{x[n]}{chr(39)}' for k, x in enumerate(_FAMILIES))} END"
+def _made(n: int) -> str:
+    return f"CASE p_partkey % 9 {' '.join(f'WHEN {k} THEN {chr(39)}{x[n]}{chr(39)}' for k, x in enumerate(_FAMILIES))} END"
 
 
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as candidates: a formula, and hull energy and gap from whole numbers."""
     part = table(spark, sf_dir, "part")
-    raw = part.select(F.col("p_partkey").alias("material_id"), F.expr(_six(0)).alias("formula"), (F.col("p_size") / 500).alias("e_above_hull"), (F.col("p_partkey") % 40 / 10).alias("band_gap"))
+    raw = part.select(F.col("p_partkey").alias("material_id"), F.expr(_made(0)).alias("formula"), (F.col("p_size") / 500).alias("e_above_hull"), (F.col("p_partkey") % 40 / 10).alias("band_gap"))
     good, _ = composition.parse_formulas(raw)
     return good
 
 
-@query(f"SELECT p_partkey AS material_id, {_six(0)} AS formula, {_six(1)} AS Family FROM part")
+@query(f"SELECT p_partkey AS material_id, {_made(0)} AS formula, {_made(1)} AS Family FROM part")
 def family_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.assign_family(_candidates(spark, sf_dir)).select("material_id", "formula", "Family")
 
 
-_POOL = f"(SELECT p_partkey AS id, {_six(0)} AS f, p_partkey % 6 AS k, p_size / 500.0 AS hull, p_partkey % 40 / 10.0 AS gap FROM part)"
+_POOL = f"(SELECT p_partkey AS id, {_made(0)} AS f, p_partkey % 9 AS k, p_size / 500.0 AS hull, p_partkey % 40 / 10.0 AS gap FROM part)"
 
 
 @query(
     f"""SELECT u.step AS step, u.stage AS stage, u.n AS n_candidates, u.d AS dropped FROM
-    (SELECT count(*) AS a, count(*) FILTER (k < 4) AS b, count(*) FILTER (k < 4 AND hull <= 0.05) AS c, count(*) FILTER (k < 4 AND hull <= 0.05 AND gap >= 1.5) AS e FROM {_POOL}),
-    LATERAL (VALUES (0, 'all', a, 0), (1, 'include', b, a - b), (2, 'exclude', b, 0), (3, 'n_elements', b, 0), (4, 'hull', c, b - c), (5, 'gap', e, c - e), (6, 'flagged', e, 0)) AS u(step, stage, n, d)"""
+    (SELECT count(*) AS a, count(*) FILTER (k NOT IN (4, 5)) AS b, count(*) FILTER (k NOT IN (4, 5, 8)) AS c, count(*) FILTER (k NOT IN (4, 5, 6, 8)) AS d,
+      count(*) FILTER (k NOT IN (4, 5, 6, 8) AND hull <= 0.05) AS e, count(*) FILTER (k NOT IN (4, 5, 6, 8) AND hull <= 0.05 AND gap >= 1.5) AS f,
+      count(*) FILTER (k < 4 AND hull <= 0.05 AND gap >= 1.5) AS g FROM {_POOL}),
+    LATERAL (VALUES (0, 'all', a, 0), (1, 'include', b, a - b), (2, 'exclude', c, b - c), (3, 'n_elements', d, c - d), (4, 'hull', e, d - e), (5, 'gap', f, e - f), (6, 'flagged', g, f - g)) AS u(step, stage, n, d)"""
 )
 def redox_flag_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return screen.ScreenFilter().funnel(_candidates(spark, sf_dir))
 
 
 @query(
-    f"""WITH c AS (SELECT {_six(1)} AS Family FROM {_POOL} JOIN part ON p_partkey = id WHERE k < 4 AND hull <= 0.05 AND gap >= 1.5)
+    f"""WITH c AS (SELECT {_made(1)} AS Family FROM {_POOL} JOIN part ON p_partkey = id WHERE k < 4 AND hull <= 0.05 AND gap >= 1.5)
     SELECT Family, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 6) AS pct FROM c GROUP BY 1"""
 )
 def screen_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = screen.ScreenFilter().apply(_candidates(spark, sf_dir))
-    return audit.coverage(rules.assign_family(kept), "Family").withColumn("pct", r6("pct"))
+    left = screen.ScreenFilter().apply(_candidates(spark, sf_dir))
+    return audit.coverage(rules.assign_family(left), "Family").withColumn("pct", r6("pct"))
 
 
 @query(
@@ -175,10 +182,10 @@ _SCORED = "SELECT l_partkey AS material_id, count(*) AS n, round(sum(l_quantity)
 
 @query(
     f"""SELECT material_id, p_size, pred FROM ({_SCORED}) JOIN part ON p_partkey = material_id
-    WHERE p_size BETWEEN 5 AND 25 AND p_retailprice >= 1000 ORDER BY pred DESC, material_id LIMIT 50"""
+    WHERE p_size BETWEEN 5 AND 25 AND p_retailprice >= 500 ORDER BY pred DESC, material_id LIMIT 50"""
 )
 def candidate_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("material_id"), "p_size", "p_retailprice").where("p_size BETWEEN 5 AND 25 AND p_retailprice >= 1000")
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("material_id"), "p_size", "p_retailprice").where("p_size BETWEEN 5 AND 25 AND p_retailprice >= 500")
     scored = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("material_id")).agg(F.round(F.sum("l_quantity"), 2).alias("pred"))
     return screen.top_list(scored.join(part, "material_id"), 50, dedupe=None).select("material_id", "p_size", "pred")
 
@@ -295,10 +302,11 @@ def histogram_30(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH e AS (SELECT event_type, min(value) AS lo, max(value) AS hi FROM events GROUP BY 1),
-    b AS (SELECT event_id, event_type, value, CASE WHEN hi > lo THEN least(floor((value - lo) / (hi - lo) * 100), 99) ELSE 0 END AS bin FROM events JOIN e USING (event_type)),
-    k AS (SELECT *, row_number() OVER (PARTITION BY event_type, bin ORDER BY value, event_id) - 1 AS k, count(*) OVER (PARTITION BY event_type, bin) AS n FROM b)
-    SELECT event_id, round((CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END) * 0.42 * least(1.0, ceil(k / 2.0) / (0.03 * n + 1)), 6) + 0.0 AS "offset" FROM k"""
+    """WITH e AS (SELECT event_type, min(value) AS lo, max(value) AS hi, count(value) AS n FROM events GROUP BY 1),
+    b AS (SELECT event_id, event_type, n, lo, hi, CASE WHEN hi > lo THEN least(floor((value - lo) / (hi - lo) * 100), 99) ELSE 0 END AS bin FROM events JOIN e USING (event_type)),
+    s AS (SELECT event_id, lo, hi, row_number() OVER (PARTITION BY event_type, bin ORDER BY event_id) - 1 AS i, count(*) OVER (PARTITION BY event_type, bin) AS k,
+            0.42 * least(1.0, count(*) OVER (PARTITION BY event_type, bin) / (0.03 * n + 1)) AS spread FROM b)
+    SELECT event_id, round(CASE WHEN k > 1 AND hi > lo THEN -spread + i * (2 * spread / (k - 1)) ELSE 0 END, 6) + 0.0 AS "offset" FROM s"""
 )
 def density_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = metrics.density_offsets(table(spark, sf_dir, "events"), "event_type", "value", "event_id")
@@ -356,12 +364,12 @@ def risk_map_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.risk_map(pool, leads)
 
 
-_NAMES = "CASE p_partkey % 5 WHEN 0 THEN 'X_mean' WHEN 1 THEN 'spacegroup_no' WHEN 2 THEN 'radius_range' WHEN 3 THEN 'other' ELSE 'Z' END"
+_NAMES = "CASE p_partkey % 9 WHEN 0 THEN 'X_mean' WHEN 1 THEN 'spacegroup_no' WHEN 2 THEN 'radius_range' WHEN 3 THEN 'other' WHEN 4 THEN 'mendeleev_std' WHEN 5 THEN 'n_elements' WHEN 6 THEN 'alpha' WHEN 7 THEN 'Family' ELSE 'Z' END"
 
 
 @query(
     f"""SELECT p_partkey, CASE {_NAMES} WHEN 'X_mean' THEN 'Electronegativity (mean)' WHEN 'spacegroup_no' THEN 'Space-group no.' WHEN 'radius_range' THEN 'Atomic radius (range)'
-    WHEN 'Z' THEN 'Formula units per cell' ELSE 'other' END AS label FROM part"""
+    WHEN 'Z' THEN 'Formula units (Z)' WHEN 'mendeleev_std' THEN 'Mendeleev number (SD)' WHEN 'n_elements' THEN 'No. of elements' WHEN 'alpha' THEN 'Angle α' WHEN 'Family' THEN 'Structural family' ELSE 'other' END AS label FROM part"""
 )
 def feature_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", parse.feature_label(F.expr(_NAMES)).alias("label"))
@@ -401,7 +409,7 @@ def _training(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.avg("l_extendedprice").alias("y"), F.count(F.lit(1)).cast("double").alias("n"), F.avg("l_discount").alias("discount"))
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("double").alias("p_size"), "p_retailprice", "p_brand")
     rows = part.join(lines, part["id"] == lines["l_partkey"]).withColumn("y", F.log10("y"))
-    return model.align_features(rows, _FEATURES, ("id", "y")).withColumn("fold", metrics.hashed_fold(F.col("id"))).cache()
+    return kept(model.align_features(rows, _FEATURES, ("id", "y")).withColumn("fold", metrics.hashed_fold(F.col("id"))))
 
 
 def _split(rows: DataFrame) -> tuple[DataFrame, DataFrame]:

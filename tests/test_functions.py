@@ -30,7 +30,7 @@ def test_cell_volume(spark):
 
 
 def test_labels_and_subscripts(spark):
-    df = spark.createDataFrame([("X_mean", "Electronegativity (mean)"), ("spacegroup_no", "Space-group no."), ("odd_name", "odd_name"), ("Z", "Formula units per cell"), ("Z_max", "Atomic number (max)")], "n string, want string")
+    df = spark.createDataFrame([("X_mean", "Electronegativity (mean)"), ("spacegroup_no", "Space-group no."), ("odd_name", "odd_name"), ("Z", "Formula units (Z)"), ("Z_std", "Atomic number (SD)"), ("row_min", "Periodic row (min)"), ("beta", "Angle β"), ("Z_max", "Atomic number (max)")], "n string, want string")
     assert df.where(parse.feature_label(F.col("n")) != F.col("want")).count() == 0
     one = spark.createDataFrame([("Li10Ge(PS6)2", 0.0067)], "f string, v double").select(parse.subscripts(F.col("f")), parse.scientific(F.col("v"))).first()
     assert tuple(one) == ("Li$_{10}$Ge(PS$_{6}$)$_{2}$", "6.7e-03")
