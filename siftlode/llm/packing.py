@@ -30,8 +30,8 @@ UNIT = 8
 BATCH = 6_000_000
 
 
-def pieces(docs: DataFrame, vocabulary: str, end_id: int = 2, length: int = 4096) -> DataFrame:
-    """``doc_id, start, length, doc_tokens, ids`` of each piece of each row of ``docs`` (``doc_id, text``); ``ids`` as little-endian unsigned 32-bit integers.
+def pieces(docs: DataFrame, vocabulary: str, end_id: int = 2, length: int = 4096, width: int = 4) -> DataFrame:
+    """``doc_id, start, length, doc_tokens, ids`` of each piece of each row of ``docs`` (``doc_id, text``); ``ids`` as little-endian unsigned integers of ``width`` bytes, 2 for vocabularies of up to 65,536 ids.
 
     ``_task`` and ``_own`` number the pieces of each class within the task that cut them. A null or empty text is the end token alone. Rows that repeat a ``doc_id``
     and rows without one are cut like any other. Other columns are not read.
@@ -40,6 +40,8 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int = 2, length: int = 4096
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, end = encoder(vocabulary), np.array([end_id], "<u4")
+        if tokens.tokenizer.get_vocab_size() > 1 << (8 * width):
+            raise ValueError(f"ids of this vocabulary do not fit into {width} bytes")
         task, met = TaskContext.get().partitionId(), np.zeros(-(-length // UNIT) + 1, np.int64)
 
         def of(ids: list, texts: list) -> pa.RecordBatch:
@@ -49,7 +51,7 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int = 2, length: int = 4096
                 for start in range(0, whole.size, length):
                     piece = whole[start : start + length]
                     size = -(-piece.size // UNIT)
-                    for column, value in zip(out, (doc_id, start, piece.size, whole.size, piece.tobytes(), task, int(met[size])), strict=True):
+                    for column, value in zip(out, (doc_id, start, piece.size, whole.size, piece.astype(f"<u{width}").tobytes(), task, int(met[size])), strict=True):
                         column.append(value)
                     met[size] += 1
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64()]
@@ -185,34 +187,42 @@ def packed(cut: DataFrame, length: int = 4096, folder: str | None = None) -> Dat
     return placed.withColumn("offset", offset).drop("_size", "_task", "_own", "_before", "_rank", "_from", "_to", "_first", "_per")
 
 
-def built(placed: DataFrame, length: int = 4096, pad_id: int = 0) -> DataFrame:
-    """``sequence_id, n_tokens, tokens, pieces`` of each sequence: its ids as little-endian unsigned 32-bit integers, padded to ``length`` unless their number is a power of two, and its pieces' places."""
+def built(placed: DataFrame, length: int = 4096, pad_id: int = 0, width: int = 4) -> DataFrame:
+    """``sequence_id, n_tokens, tokens, pieces`` of each sequence: its ids as little-endian unsigned integers of ``width`` bytes, padded to ``length`` unless their number is a power of two, and its pieces' places."""
     names = ("offset", "doc_id", "start", "length", "doc_tokens")
     grouped = placed.groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct(*names, "ids"))).alias("all"), F.sum("length").alias("n_tokens"))
     ids = F.aggregate("all", F.lit(b""), lambda a, x: F.concat(a, x["ids"]))
-    padded = F.rpad(ids, F.lit(4 * length), F.lit(pad_id.to_bytes(4, "little")))
+    padded = F.rpad(ids, F.lit(width * length), F.lit(pad_id.to_bytes(width, "little")))
     return grouped.select("sequence_id", "n_tokens", F.when(F.bit_count("n_tokens") == 1, ids).otherwise(padded).alias("tokens"), F.transform("all", lambda x: F.struct(*[x[n].alias(n) for n in names])).alias("pieces"))
 
 
-def written(placed: DataFrame, length: int = 4096, pad_id: int = 0, folder: str | None = None) -> DataFrame:
+def written(placed: DataFrame, length: int = 4096, pad_id: int = 0, width: int = 4, folder: str | None = None) -> DataFrame:
     """The sequences of :func:`built`, as a table in a shared folder."""
-    return stored(built(placed, length, pad_id), folder or work_dir(placed.sparkSession, "sequences"), "sequences")
+    return stored(built(placed, length, pad_id, width), folder or work_dir(placed.sparkSession, "sequences"), "sequences")
 
 
-def pieces_of(sequences: DataFrame) -> DataFrame:
-    """``doc_id, start, length, doc_tokens, sequence_id, offset, ids`` of each piece, read from the sequences that hold them."""
+def pieces_of(sequences: DataFrame, width: int = 4) -> DataFrame:
+    """``doc_id, start, length, doc_tokens, sequence_id, offset, ids`` of each piece, read from the sequences that hold them; ``ids`` as 32-bit integers."""
     each = sequences.select("sequence_id", "tokens", F.explode("pieces").alias("p"))
-    ids = F.substring("tokens", (4 * F.col("p.offset") + 1).cast("int"), (4 * F.col("p.length")).cast("int"))
-    return each.select("p.doc_id", "p.start", "p.length", "p.doc_tokens", "sequence_id", "p.offset", ids.alias("ids"))
+    ids = F.substring("tokens", (width * F.col("p.offset") + 1).cast("int"), (width * F.col("p.length")).cast("int"))
+    found = each.select("p.doc_id", "p.start", "p.length", "p.doc_tokens", "sequence_id", "p.offset", ids.alias("ids"))
+    importable(found.sparkSession)
+
+    def wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = pa.array([np.frombuffer(x, f"<u{width}").astype("<u4").tobytes() for x in batch.column(6).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:6], ids], batch.schema.names)
+
+    return found.mapInArrow(wide, found.schema) if width != 4 else found
 
 
-def sequences(placed: DataFrame, length: int = 4096, pad_id: int = 0) -> DataFrame:
+def sequences(placed: DataFrame, length: int = 4096, pad_id: int = 0, width: int = 4) -> DataFrame:
     """``sequence_id, n_tokens, tokens`` of each sequence, its ids as an array of integers."""
     importable(placed.sparkSession)
 
     def loose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tokens = [np.frombuffer(x, "<u4").astype(np.int64) for x in batch.column(2).to_pylist()]
+            tokens = [np.frombuffer(x, f"<u{width}").astype(np.int64) for x in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(tokens, pa.list_(pa.int64()))], ["sequence_id", "n_tokens", "tokens"])
 
-    return built(placed, length, pad_id).select("sequence_id", "n_tokens", "tokens").mapInArrow(loose, "sequence_id long, n_tokens long, tokens array<long>")
+    return built(placed, length, pad_id, width).select("sequence_id", "n_tokens", "tokens").mapInArrow(loose, "sequence_id long, n_tokens long, tokens array<long>")

@@ -269,6 +269,8 @@ def test_packing(spark, texts):
     again = packing.pieces_of(packing.written(placed, 512)).collect()
     key = lambda r: (r["doc_id"], r["start"], r["length"], r["doc_tokens"], r["sequence_id"], r["offset"], bytes(r["ids"]))
     assert sorted(map(key, again)) == sorted(map(key, rows))
+    narrow = packing.pieces_of(packing.written(packing.packed(packing.pieces(docs, path, length=512, width=2), length=512), 512, width=2), width=2)
+    assert sorted((r["doc_id"], r["start"], bytes(r["ids"])) for r in narrow.collect()) == sorted((r["doc_id"], r["start"], bytes(r["ids"])) for r in rows)
     assert packing.packed(packing.pieces(empty(spark), path)).count() == 0
     assert packing.packed(packing.pieces(frame(spark, ["a", "a", None], [1, 1, None]), path)).count() == 3
 
