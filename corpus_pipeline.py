@@ -36,8 +36,8 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Write the padded sequences of 4096 tokens to a table in the shared folder; the pieces of all documents, with their ids, as read from it."""
-    cut = packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json"))
-    found = packing.pieces_of(packing.written(packing.packed(cut)))
+    cut = packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json"), width=2)
+    found = packing.pieces_of(packing.written(packing.packed(cut), width=2), width=2)
     return found.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "ids")
 
 
