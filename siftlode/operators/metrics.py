@@ -155,6 +155,7 @@ def density_offsets(df: DataFrame, by: str, value: str, tie: str, width: float =
     """
     ends = df.groupBy(by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.count(value).alias("_n"))
     at = F.when(F.col("_hi") > F.col("_lo"), F.least(F.floor((F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins), F.lit(bins - 1))).otherwise(0)
+    at = F.when(F.col(value).isNotNull(), at)
     placed = positions(df.join(ends, by).withColumn("_bin", at), [F.asc(tie)], (by, "_bin"))
     k = F.col("_total")
     spread = width * F.least(F.lit(1.0), k / (0.03 * F.col("_n") + 1))

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftlode.operators.metrics import fold_summary, regression_metrics
+from siftlode.operators.order import kept
 
 
 @dataclass(frozen=True)
@@ -43,7 +44,7 @@ def align_features(df: DataFrame, features: Features, keep: tuple[str, ...] = ()
 
 def _prepared(features: Features, one_hot: bool) -> tuple[list, list[str]]:
     filled = [f"{c}_filled" for c in features.numeric]
-    stages: list = [Imputer(strategy="median", inputCols=list(features.numeric), outputCols=filled, relativeError=0.0001)]
+    stages: list = [Imputer(strategy="median", inputCols=list(features.numeric), outputCols=filled, relativeError=0.0)]
     used = filled + [f"{c}_missing" for c in features.numeric]
     if features.categorical:
         index = [f"{c}_index" for c in features.categorical]
@@ -89,8 +90,9 @@ def score(model: PipelineModel, df: DataFrame) -> DataFrame:
     return out.select(*df.columns, "pred").withColumn("pred_sigma", F.pow(F.lit(10.0), F.col("pred")))
 
 
-def fit_ensemble(df: DataFrame, build: Callable[[int], Estimator], seeds: tuple[int, ...] = tuple(range(10)), parallel: int = 2) -> list[PipelineModel]:
-    """One model for each seed, trained from a few driver threads."""
+def fit_ensemble(df: DataFrame, build: Callable[[int], Estimator], seeds: tuple[int, ...] = tuple(range(10)), parallel: int = 5) -> list[PipelineModel]:
+    """One model for each seed, trained from a few driver threads on one stored copy of ``df``."""
+    df = kept(df)
     with ThreadPoolExecutor(parallel) as pool:
         return list(pool.map(lambda s: build(s).fit(df), seeds))
 

@@ -55,7 +55,7 @@ def running_counts(df: DataFrame, value: str, by: tuple[str, ...] = ()) -> DataF
 
 
 def quantiles(df: DataFrame, value: str, shares: list[float], by: tuple[str, ...] = ()) -> DataFrame:
-    """``by, quantiles``: exact quantiles of each group, between two values in proportion; null and NaN values are left out."""
+    """``by, quantiles``: exact quantiles of each group, between two values in proportion; null and NaN values are left out. Without groups it is one row, of nulls for an empty table."""
     number = F.col(value).cast("double")
     counts = running_counts(df.where(number.isNotNull() & ~F.isnan(number)), value, by)
     picked = []

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import csv
+from pathlib import Path
+
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,7 +44,12 @@ def read_result(spark: SparkSession, path: str, schema: str | None = None) -> Da
 
 
 def element_props(spark: SparkSession, path: str | None = None) -> DataFrame:
-    """The element dimension: number, row and group by rule; the measured properties from a CSV file, null without one.
+    """The element dimension: number, row and group by rule; the measured properties from a CSV file.
+
+    Without a path they come from ``elements.csv`` beside this module: standard
+    atomic weights, Pauling's electronegativities, Pettifor's Mendeleev numbers
+    and Slater's radii (in angstrom) of 40 elements that are usual in such
+    solids; those of other elements are null.
 
     Groups follow from a row's length: the s block first, the p block last, the
     d block between; lanthanides and actinides are in group 3.
@@ -55,7 +63,9 @@ def element_props(spark: SparkSession, path: str | None = None) -> DataFrame:
         rows.append((symbol, z, row, group))
     own = spark.createDataFrame(rows, "element string, Z int, row int, group int")
     if path is None:
-        return own.withColumns({x: F.lit(None).cast("double") for x in ("mass", "X", "mendeleev", "radius")})
+        with (Path(__file__).parent / "elements.csv").open() as lines:
+            known = [(r["element"], *(float(r[x]) for x in ("mass", "X", "mendeleev", "radius"))) for r in csv.DictReader(lines)]
+        return own.join(F.broadcast(spark.createDataFrame(known, ELEMENTS)), "element", "left")
     return own.join(F.broadcast(spark.read.schema(ELEMENTS).csv(path, header=True)), "element", "left")
 
 
