@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from siftlode.llm.graph import components
 from siftlode.llm.hashing import mixed, run_hashes, word_hashes
-from siftlode.llm.shared import dropped, importable, released, stored, work_dir
+from siftlode.llm.shared import bounded, dropped, importable, released, stored, work_dir
 
 TOKENS = 64
 #: Nodes of a place that are compared exhaustively.
@@ -206,8 +206,11 @@ def _leaders(large: DataFrame) -> DataFrame:
 def _stars(large: DataFrame, sets: DataFrame, percent: int, folder: str, name: str) -> DataFrame:
     """Links ``a, b`` of the members of large places with one member each, where they are not in one component yet."""
     pairs = large.select("path", "node", "label").join(_leaders(large), "path").where("label <> leader_label").select("node", "leader").distinct()
-    pairs = stored(pairs, folder, name).hint("merge").join(sets, "node")
-    pairs = pairs.join(sets.select(F.col("node").alias("leader"), F.col("shingles").alias("others")), "leader")
+    pairs = stored(pairs, folder, name)
+    #: One leader for each large place, so they are few beside the members, whose sets would else be dealt by leader.
+    leaders = bounded(pairs.select(F.col("leader").alias("node")).distinct())
+    others = stored(sets.join(leaders, "node").select(F.col("node").alias("leader"), F.col("shingles").alias("others")), folder, f"{name}-leaders")
+    pairs = pairs.hint("merge").join(sets, "node").join(bounded(others), "leader")
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
