@@ -25,6 +25,7 @@ Pairs already in one component are not compared; no list of pairs is written.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 
 from siftlode.llm.graph import components
 from siftlode.llm.hashing import mixed, run_hashes, word_hashes
-from siftlode.llm.shared import bounded, dropped, importable, released, stored, work_dir
+from siftlode.llm.shared import bounded, bucketed, dropped, importable, released, stored, unlisted, work_dir
 
 TOKENS = 64
 #: Nodes of a place that are compared exhaustively.
@@ -285,7 +286,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80, trees: int = 5, folder:
     wanted = near.select("node").union(large.select("node")).distinct()
     keys = stored(wanted.join(nodes.select("node", "key"), "node").select("node", "key"), folder, "keys")
     released(spark)
-    sets = stored(_sets(docs, keys), folder, "sets")
+    #: Every round joins few nodes with the sets, so these are dealt by node once.
+    table = f"sets_{uuid.uuid4().hex}"
+    sets = bucketed(_sets(docs, keys), "node", table, f"{folder}/sets")
     released(spark)
 
     links, labels = [], None
@@ -330,6 +333,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, trees: int = 5, folder:
         labels = linked_now(compared(below.where(F.col("n") <= LEAF).drop("n"), f"below-{depth}"), f"below-{depth}")
         large, depth = below.where(F.col("n") > LEAF).select("path", "node", "size", "sketch"), depth + 1
 
+    unlisted(spark, table, f"{folder}/sets")
     of_node = nodes.select("node", "key").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = of_node.groupBy("label").agg(F.min("key").alias("component"))
     found = of_node.join(least, "label").select("node", "component")

@@ -36,6 +36,21 @@ def stored(df: DataFrame, folder: str, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, table: str, path: str) -> DataFrame:
+    """Like :func:`stored`, but dealt by ``key`` into as many buckets as a shuffle
+    has partitions, so that joins on ``key`` read the rows where they lie. The
+    catalog names it ``table``, until :func:`unlisted`."""
+    spark = df.sparkSession
+    df.write.format("parquet").option("path", path).option("compression", "zstd").bucketBy(parts(spark), key).saveAsTable(table)
+    return spark.table(table)
+
+
+def unlisted(spark: SparkSession, table: str, path: str) -> None:
+    """Delete a table of :func:`bucketed` that no later step reads."""
+    spark.sql(f"DROP TABLE IF EXISTS {table}")
+    dropped(spark, path)
+
+
 def dropped(spark: SparkSession, *paths: str) -> None:
     """Delete tables that no later step reads."""
     jvm = spark.sparkContext._jvm
