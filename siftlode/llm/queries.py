@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftlode.llm import decontam, lmscore, neardup, packing, pii, quality, substring, tokenplanes, urlrules, warc
+from siftlode.llm import decontam, divergence, lmscore, neardup, packing, pii, quality, substring, tokenplanes, urlrules, warc
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -165,3 +165,31 @@ SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_trigram, 0) AS n_tr
        coalesce(n_unigram, 0) AS n_unigram, round(coalesce(score, 0), 4) AS score
 FROM d LEFT JOIN s USING (doc_id)
 """
+
+
+@query
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the sources of each language lie apart, and the terms that set each one off."""
+    return divergence.divergences(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op13_source_divergence"] = r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+t AS (SELECT doc_id, lang, source, unnest(w) AS term FROM d),
+k AS (SELECT lang, term FROM t GROUP BY 1, 2 HAVING count(DISTINCT doc_id) >= 10),
+v AS (SELECT lang, count(*) AS v FROM k GROUP BY 1),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM t JOIN k USING (lang, term) GROUP BY 1, 2, 3),
+a AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n FROM g JOIN k USING (lang) LEFT JOIN c USING (lang, source, term)),
+s AS (SELECT lang, source, sum(n)::HUGEINT AS total FROM a GROUP BY 1, 2),
+p AS (SELECT lang, source, term, n, 1 + (1000000000::HUGEINT * (n + 2)) // (total + 2 * v) AS p FROM a JOIN s USING (lang, source) JOIN v USING (lang)),
+l AS (SELECT lang, term, 1 + (1000000000::HUGEINT * (sum(n)::HUGEINT + 2)) // (sum(sum(n)::HUGEINT) OVER (PARTITION BY lang) + 2 * any_value(v)) AS q FROM a JOIN v USING (lang) GROUP BY 1, 2),
+pairs AS (SELECT x.lang, x.source, 'pair' AS part, y.source AS item, sum(((x.p - y.p) * (x.p - y.p)) // (x.p + y.p)) AS value
+          FROM p AS x JOIN p AS y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY 1, 2, 4),
+every AS (SELECT x.lang, x.source, 'pair' AS part, y.source AS item, coalesce(value, 0) AS value
+          FROM g AS x JOIN g AS y ON x.lang = y.lang AND x.source <> y.source LEFT JOIN pairs AS z ON z.lang = x.lang AND z.source = x.source AND z.item = y.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q)) // (p + q) AS value FROM p JOIN l USING (lang, term) WHERE n > 0 AND p > q),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM (FROM every UNION ALL FROM terms))
+SELECT lang, source, part, item, value::BIGINT AS value, rank FROM r WHERE part = 'pair' OR rank <= 10
+"""
