@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftlode.llm import decontam, divergence, lmscore, neardup, packing, pii, quality, substring, tokenplanes, urlrules, warc
+from siftlode.llm import collocations, decontam, divergence, lmscore, neardup, packing, pii, quality, substring, tokenplanes, urlrules, warc
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -167,6 +167,31 @@ FROM d LEFT JOIN s USING (doc_id)
 """
 
 
+@query
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best phrases of two to four words of each language."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op12_collocations"] = r"""
+WITH d AS (SELECT doc_id, coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+             translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM d),
+t AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY 1),
+g AS (SELECT lang, k, w[i : i + k - 1] AS w FROM (SELECT lang, k, w, unnest(range(1, len(w) - k + 2)) AS i FROM w, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(w) >= k)),
+f AS (SELECT lang, k, w, count(*)::HUGEINT AS f FROM g GROUP BY 1, 2, 3 HAVING count(*) >= 30),
+c AS (SELECT lang, k, w, f AS a, unnest(range(1, k)) AS cut FROM f WHERE k > 1),
+s AS (SELECT c.lang, c.k, c.w, c.a, cut, x.f AS l, y.f AS r, (2000000 * c.a) // (x.f + y.f) AS score
+      FROM c JOIN f AS x ON x.lang = c.lang AND x.w = c.w[1 : cut] JOIN f AS y ON y.lang = c.lang AND y.w = c.w[cut + 1 : c.k]),
+b AS (SELECT lang, w, any_value(a) AS a, arg_min(l, score * 8 + cut) AS l, arg_min(r, score * 8 + cut) AS r, min(score) AS score FROM s GROUP BY 1, 2),
+i AS (SELECT lang, f, k, w, unnest(range(2, k)) AS size FROM f WHERE k > 2),
+j AS (SELECT lang, w[p : p + size - 1] AS w, max(f) AS longer FROM (SELECT *, unnest(range(1, k - size + 2)) AS p FROM i) GROUP BY 1, 2),
+o AS (SELECT b.lang, array_to_string(b.w, ' ') AS phrase, a, l, r, score FROM b LEFT JOIN j ON j.lang = b.lang AND j.w = b.w WHERE longer IS NULL OR 100 * longer < 80 * a),
+q AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM o)
+SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score FROM q JOIN t USING (lang) WHERE rank <= 2000
+"""
+
+
 @query
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How far the sources of each language lie apart, and the terms that set each one off."""
