@@ -24,6 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from siftlode.llm.filters import Members, members_of
 from siftlode.llm.hashing import mixed
 from siftlode.llm.lmscore import _loose, _squeezed
 from siftlode.llm.shared import importable, parts, stored, work_dir
@@ -31,8 +32,6 @@ from siftlode.llm.shared import importable, parts, stored, work_dir
 LONGEST = 4
 #: Bytes of text that a task looks at together, and hashes that it counts together.
 BLOCK, TOGETHER = 2 << 20, 2_000_000
-#: Bits of a filter for each phrase, and bytes that a filter takes at most; beyond that it lets more through.
-FILTER_BITS, FILTER_BYTES = 24, 64 << 20
 PACKED = "bucket int, hashes binary, counts binary"
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: What a byte is: 0 of a word, 1 between words, 2 between pieces.
@@ -106,54 +105,6 @@ class _Words:
         return b" ".join([self.data[self.start[k] : self.end[k]] for k in range(at - n + 1, at + 1)])
 
 
-class _Filter:
-    """Which hashes are members; says yes to all of them, and to few others while it is not too full."""
-
-    def __init__(self, bits: np.ndarray):
-        self.bits, self.shift = bits, np.uint64(64 - (bits.size.bit_length() - 1))
-
-    @staticmethod
-    def words(n: int, most: int = FILTER_BYTES) -> int:
-        """64-bit words for ``n`` members, a power of two."""
-        return min(1 << max(4, (n * FILTER_BITS // 64).bit_length()), 1 << ((most // 8).bit_length() - 1))
-
-    @staticmethod
-    def _mask(h: np.ndarray) -> np.ndarray:
-        one, low = np.uint64(1), np.uint64(63)
-        return (one << (h & low)) | (one << ((h >> np.uint64(6)) & low)) | (one << ((h >> np.uint64(12)) & low)) | (one << ((h >> np.uint64(18)) & low))
-
-    def has(self, h: np.ndarray) -> np.ndarray:
-        mask = self._mask(h)
-        return (self.bits[(h >> self.shift).astype(np.int64)] & mask) == mask
-
-
-def _filter(hashes: DataFrame, most: int = FILTER_BYTES) -> _Filter:
-    """A filter of the hashes ``h``, made in tasks by ranges of its words."""
-    spark = hashes.sparkSession
-    n = _Filter.words(hashes.count(), most)
-    ranges = min(n, 64)
-    each = n // ranges
-    shift = np.uint64(64 - (n.bit_length() - 1))
-
-    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[int, np.ndarray] = {}
-        for batch in batches:
-            part, h = batch["part"].to_numpy(), batch["h"].to_numpy().view(np.uint64)
-            for k in np.unique(part).tolist():
-                own = h[part == k]
-                words = found.setdefault(k, np.zeros(each, np.uint64))
-                np.bitwise_or.at(words, (own >> shift).astype(np.int64) - k * each, _Filter._mask(own))
-        rows = list(found.items())
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([w.tobytes() for _, w in rows], pa.binary())], ["part", "words"])
-
-    place = F.shiftrightunsigned("h", 64 - (ranges.bit_length() - 1)).cast("int") if ranges > 1 else F.lit(0)
-    rows = hashes.select("h", place.alias("part")).repartition(min(ranges, parts(spark)), "part").mapInArrow(made, "part int, words binary")
-    bits = np.zeros(n, np.uint64)
-    for k, words in rows.toLocalIterator():
-        bits[k * each : (k + 1) * each] |= np.frombuffer(words, np.uint64)
-    return _Filter(bits)
-
-
 def _segments(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[list[tuple[bytes, str, int]]]:
     """Blocks of some ``size`` bytes of texts (``lang, text`` as bytes); a longer text is cut between words and goes on with the three words before the cut."""
     block, n = [], 0
@@ -177,7 +128,7 @@ def _segments(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[list[tup
         yield block
 
 
-def _to_count(words: _Words, orders: Iterable[int], members: _Filter | None, new: _Filter | None) -> Iterator[np.ndarray]:
+def _to_count(words: _Words, orders: Iterable[int], members: Members | None, new: Members | None) -> Iterator[np.ndarray]:
     """Hashes of phrases of ``orders`` whose two longest parts are members, and one of them new if ``new`` is given."""
     at = np.arange(words.start.size)
     before = fresh = None
@@ -229,7 +180,7 @@ def _summed(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], ["h"])
 
 
-def _counted(read: DataFrame, orders: tuple[int, ...], least: int, members: _Filter | None = None, new: _Filter | None = None) -> DataFrame:
+def _counted(read: DataFrame, orders: tuple[int, ...], least: int, members: Members | None = None, new: Members | None = None) -> DataFrame:
     """``h``: hashes of phrases that ``read`` (``lang, text`` as bytes) has ``least`` times."""
     n = parts(read.sparkSession)
 
@@ -247,7 +198,7 @@ def _counted(read: DataFrame, orders: tuple[int, ...], least: int, members: _Fil
     return read.mapInArrow(hashed, PACKED).repartition(n, "bucket").mapInArrow(lambda batches: _summed(batches, least), "h long")
 
 
-def _texts(read: DataFrame, members: _Filter) -> DataFrame:
+def _texts(read: DataFrame, members: Members) -> DataFrame:
     """``lang, phrase, k, n`` of what the filter lets through, with the texts' own counts in each task; ``k`` 0 and no phrase for all words."""
     kinds = [("lang", pa.string()), ("phrase", pa.string()), ("k", pa.int32()), ("n", pa.int64())]
 
@@ -321,7 +272,7 @@ def frequent_phrases(docs: DataFrame, least: int = 30, share: float = 0.25, lowe
     for n in range(1, LONGEST + 1):
         found = stored(_counted(sample, (n,), enough, members), folder, f"proposed-{n}")
         proposed = found if proposed is None else proposed.union(found)
-        members = _filter(proposed)
+        members = members_of(proposed)
     trace.append(proposed.count())
     frequent = stored(_counted(read, tuple(range(1, LONGEST + 1)), least, members), folder, "counted-0")
     new = stored(frequent.join(proposed, "h", "left_anti"), folder, "failed-0")
@@ -330,10 +281,10 @@ def frequent_phrases(docs: DataFrame, least: int = 30, share: float = 0.25, lowe
         trace.append(failed)
         passes += 1
         proposed = proposed.union(new)
-        found = stored(_counted(read, tuple(range(2, LONGEST + 1)), least, _filter(proposed), _filter(new)), folder, f"counted-{passes}")
+        found = stored(_counted(read, tuple(range(2, LONGEST + 1)), least, members_of(proposed), members_of(new)), folder, f"counted-{passes}")
         new = stored(found.join(proposed, "h", "left_anti").distinct(), folder, f"failed-{passes}")
         frequent = frequent.union(found)
-    texts = _texts(read, _filter(frequent.distinct())).groupBy("lang", "phrase", "k").agg(F.sum("n").alias("n"))
+    texts = _texts(read, members_of(frequent.distinct())).groupBy("lang", "phrase", "k").agg(F.sum("n").alias("n"))
     return texts.where((F.col("k") == 0) | (F.col("n") >= least))
 
 

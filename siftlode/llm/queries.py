@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftlode.llm import collocations, decontam, divergence, lmscore, neardup, packing, pii, quality, substring, tokenplanes, urlrules, warc
+from siftlode.llm import collocations, decontam, divergence, lmscore, neardup, packing, pii, quality, substring, suffixes, tokenplanes, urlrules, warc
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -167,6 +167,30 @@ FROM d LEFT JOIN s USING (doc_id)
 """
 
 
+@query
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the strings of 50 bytes that start in an earlier one."""
+    found = suffixes.without_earlier(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLES["op11_suffix_dedup"] = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+c AS (SELECT doc_id, o, substr(h, 2 * o + 1, 2 * 249) AS c FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 49, 200)) AS o FROM d WHERE len(h) >= 100)),
+k AS (SELECT doc_id, o + j AS i, substr(c, 2 * j + 1, 100) AS s FROM (SELECT doc_id, o, c, unnest(range(len(c) // 2 - 49)) AS j FROM c)),
+m AS (SELECT s, min(doc_id) AS first FROM k GROUP BY 1),
+x AS (SELECT doc_id, i FROM k JOIN m USING (s) WHERE doc_id > first),
+n AS (SELECT *, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS new FROM x),
+r AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM n),
+s AS (SELECT doc_id, min(i) AS b, max(i) + 50 AS e FROM r GROUP BY doc_id, run),
+g AS (SELECT doc_id, b, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY b), 0) AS z FROM s),
+t AS (SELECT doc_id, count(*) AS n_spans, sum(e - b)::BIGINT AS n_removed, string_agg(substr(h, 2 * z + 1, 2 * (b - z)), '' ORDER BY b) || substr(any_value(h), 2 * max(e) + 1) AS kept
+      FROM g JOIN d USING (doc_id) GROUP BY 1)
+SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN t USING (doc_id)
+"""
+
+
 @query
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best phrases of two to four words of each language."""
