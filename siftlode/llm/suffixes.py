@@ -10,7 +10,7 @@ theirs: such stretches of starts are *regions*. A first pass sends the hashes
 of regions, by hash, and learns which ones two documents have. A second pass
 sends those regions with their bytes. Regions of the same bytes count as one,
 with the smallest of their documents; that is done in each task before they
-travel, so copies travel once for each task.
+travel. Of whole texts that are copies only the first is looked at.
 
 The suffixes of the regions that are left are sorted to the depth of ``width``
 bytes, deep-shallow: a multikey sort, eight bytes at a time and each time only
@@ -31,11 +31,12 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftlode.llm.filters import Members, members_of
 from siftlode.llm.hashing import mixed
+from siftlode.llm.lmscore import _loose, _squeezed
 from siftlode.llm.shared import importable, parts, stored, work_dir
 
 #: Bytes of the runs whose hashes are compared.
@@ -55,9 +56,13 @@ MARKS = "doc long, key long, at int, size int"
 _ODD = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
+#: A number for each byte.
+_BYTES = mixed(np.arange(1, 257, dtype=np.uint64))
+
+
 def run_hashes(data: np.ndarray, size: int) -> np.ndarray:
     """A hash of each run of ``size`` bytes, by its start, from those of runs of half the size."""
-    h = mixed(data.astype(np.uint64) + np.uint64(1))
+    h = _BYTES[data]
     known, n = {1: h}, 1
     while 2 * n <= size:
         h = h[:-n] * _ODD[n.bit_length() % 6] + h[n:] if h.size > n else h[:0]
@@ -69,7 +74,7 @@ def run_hashes(data: np.ndarray, size: int) -> np.ndarray:
         m = max(0, data.size - done - more + 1)
         h = h[:m] * _ODD[more.bit_length() % 6] + known[more][done : done + m]
         done += more
-    return mixed(h)
+    return (h ^ (h >> np.uint64(32))) * _ODD[0]
 
 
 def least_hashes(data: np.ndarray, width: int) -> np.ndarray:
@@ -83,11 +88,11 @@ def least_hashes(data: np.ndarray, width: int) -> np.ndarray:
 
 
 def regions(text: bytes, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, first start and number of starts of each region; long texts a chunk at a time."""
+    """Hash (48 bits), first start and number of starts of each region; long texts a chunk at a time."""
     found = []
     data = np.frombuffer(text, np.uint8)
     for begin in range(0, data.size - width + 1, CHUNK):
-        low = least_hashes(data[begin : begin + CHUNK + width - 1], width)
+        low = least_hashes(data[begin : begin + CHUNK + width - 1], width) >> np.uint64(16)
         at = np.flatnonzero(np.append(True, low[1:] != low[:-1]))
         found.append((low[at], at + begin, np.diff(np.append(at, low.size))))
     if not found:
@@ -102,7 +107,6 @@ def _record(rows: list[tuple], schema: list[tuple[str, pa.DataType]]) -> pa.Reco
 
 _ASKED = [("bucket", pa.int32()), *((n, pa.binary()) for n in ("keys", "sizes", "hashes", "twice", "at"))]
 _SENT = [("bucket", pa.int32()), ("regions", pa.binary()), ("marks", pa.binary())]
-_PLACE = [("key", pa.int64()), ("at", pa.int32()), ("hash", pa.int64()), ("n", pa.int64())]
 _MARK = [("doc", pa.int64()), ("key", pa.int64()), ("at", pa.int32()), ("size", pa.int32())]
 
 
@@ -136,7 +140,7 @@ def _asked(waiting: list[tuple[int, np.ndarray, np.ndarray]], buckets: int) -> I
             part = by[start:end]
             new = np.flatnonzero(np.append(True, number[part][1:] != number[part][:-1]))
             sizes = np.diff(np.append(new, part.size)).astype(np.int32)
-            rows.append((k, keys[number[part][new]].tobytes(), sizes.tobytes(), hashes[part].tobytes(), times[part].tobytes(), at[part].tobytes()))
+            rows.append((k, keys[number[part][new]].tobytes(), _squeezed(sizes), _squeezed(hashes[part]), _squeezed(times[part]), _squeezed(at[part], rising=True)))
         start = end
     for k in range(0, len(rows), 32):
         yield _record(rows[k : k + 32], _ASKED)
@@ -147,8 +151,8 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     got: list[tuple[np.ndarray, ...]] = []
     for batch in batches:
         for keys, sizes, hashes, times, at in zip(*(batch[c].to_pylist() for c in ("keys", "sizes", "hashes", "twice", "at")), strict=True):
-            key = np.repeat(np.frombuffer(keys, np.int64), np.frombuffer(sizes, np.int32))
-            got.append((key, np.frombuffer(hashes, np.uint64), np.frombuffer(times, np.int32), np.frombuffer(at, np.int32)))
+            key = np.repeat(np.frombuffer(keys, np.int64), _loose(sizes, np.int32))
+            got.append((key, _loose(hashes, np.uint64), _loose(times, np.int32), _loose(at, np.int32, rising=True)))
     if not got:
         return
     key, hashes, times, at = (np.concatenate(x) for x in zip(*got, strict=True))
@@ -161,11 +165,27 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     two = np.minimum.reduceat(times, starts) < 0
     two |= np.maximum.reduceat(key, starts) != np.minimum.reduceat(key, starts)
     hit = np.repeat(two, places)
-    n = np.repeat(places, places)[hit]
+    hot = np.repeat(two & (places >= HOT), places)[hit]
     key, at, hashes = key[hit], at[hit], hashes[hit].view(np.int64)
-    for k in range(0, key.size, 100_000):
-        part = slice(k, k + 100_000)
-        yield pa.RecordBatch.from_arrays([pa.array(key[part]), pa.array(at[part]), pa.array(hashes[part]), pa.array(n[part], pa.int64())], [c for c, _ in _PLACE])
+    order = np.lexsort((at, key))
+    for k in range(0, order.size, 100_000):
+        part = order[k : k + 100_000]
+        yield pa.RecordBatch.from_arrays([pa.array(key[part]), pa.array(at[part]), pa.array(hashes[part], mask=~hot[part])], ["key", "at", "hot"])
+
+
+def _gathered(text: np.ndarray, begin: np.ndarray, lengths: np.ndarray, slice_: int = 1 << 20) -> np.ndarray:
+    """Stretches of ``text`` one after the other; some at a time, as places take eight times the bytes."""
+    ends = np.cumsum(lengths)
+    out = np.empty(int(ends[-1]) if ends.size else 0, np.uint8)
+    start = filled = 0
+    while start < lengths.size:
+        stop = max(start + 1, int(np.searchsorted(ends, filled + slice_, "right")))
+        n = lengths[start:stop]
+        shift = begin[start:stop] - (ends[start:stop] - n - filled)
+        size = int(ends[stop - 1]) - filled
+        out[filled : filled + size] = text[np.repeat(shift, n) + np.arange(size)]
+        start, filled = stop, filled + size
+    return out
 
 
 class _Regions:
@@ -183,9 +203,7 @@ class _Regions:
         return self.lengths.size
 
     def taken(self, rows: np.ndarray) -> _Regions:
-        lengths = self.lengths[rows]
-        step = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        return _Regions({c: x[rows] for c, x in self.columns.items()}, self.text[np.repeat(self.begin[rows], lengths) + step], self.width)
+        return _Regions({c: x[rows] for c, x in self.columns.items()}, _gathered(self.text, self.begin[rows], self.lengths[rows]), self.width)
 
     def packed(self) -> bytes:
         head = np.array([len(self)], np.int64).tobytes()
@@ -216,7 +234,7 @@ class _Regions:
         same = np.zeros(len(self), bool)
         if len(self) > 1:
             same[1:] = (c["hash"][1:] == c["hash"][:-1]) & (whole[1:] == whole[:-1]) & (sorted_.lengths[1:] == sorted_.lengths[:-1])
-            same[1:] &= _equal_bytes(sorted_.text, sorted_.begin, sorted_.lengths, same[1:])
+            same = _equal_bytes(sorted_.text, sorted_.begin, sorted_.lengths, same)
         starts = np.flatnonzero(~same)
         first = np.repeat(starts, np.diff(np.append(starts, len(self))))
         gone = c["doc"] > c["doc"][first]
@@ -230,14 +248,13 @@ def _text_hashes(text: np.ndarray, begin: np.ndarray, lengths: np.ndarray) -> np
 
 
 def _equal_bytes(text: np.ndarray, begin: np.ndarray, lengths: np.ndarray, which: np.ndarray) -> np.ndarray:
-    """Of stretches said to be as long as the one before them: whether their bytes are equal, too."""
-    rows = np.flatnonzero(which)
+    """Of stretches as long as the one before them: whether their bytes are equal, too."""
+    rows = np.flatnonzero(which) - 1
     out = np.zeros(which.size, bool)
     if rows.size:
         n = lengths[rows]
-        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        one, two = text[np.repeat(begin[rows], n) + step], text[np.repeat(begin[rows + 1], n) + step]
-        out[rows] = np.logical_and.reduceat(one == two, np.cumsum(n) - n)
+        same = _gathered(text, begin[rows], n) == _gathered(text, begin[rows + 1], n)
+        out[rows + 1] = np.logical_and.reduceat(same, np.cumsum(n) - n)
     return out
 
 
@@ -336,10 +353,8 @@ def _sent(waiting: list[tuple], buckets: int, hot: Members, width: int) -> Itera
         sizes, begin, at = np.where(np.repeat(alone, n), 1, np.repeat(sizes, n)), begin + step, at + step
         alone = np.repeat(alone, n)
     text = np.frombuffer(b"".join([w[2] for w in waiting]), np.uint8)
-    taken = sizes + width - 1
-    step = np.arange(taken.sum()) - np.repeat(np.cumsum(taken) - taken, taken)
     columns = {"hash": hashes, "doc": np.array([w[0] for w in waiting], np.int64)[number], "key": np.array([w[1] for w in waiting], np.int64)[number], "at": at.astype(np.int32), "size": sizes.astype(np.int32)}
-    found = _Regions(columns, text[np.repeat(begin, taken) + step], width)
+    found = _Regions(columns, _gathered(text, begin, sizes + width - 1), width)
     if alone.any():
         columns["hash"] = np.where(alone, _text_hashes(found.text, found.begin, found.lengths), hashes)
     found, marks = found.merged()
@@ -408,8 +423,19 @@ def _met(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBat
             yield from _mark_rows(marks)
 
 
-def earlier_strings(docs: DataFrame, width: int = 50, folder: str | None = None) -> DataFrame:
-    """``key, at, size``: starts of strings of ``docs`` (``doc, key, text`` as bytes) that also start in a smaller ``doc``, as runs."""
+def _later_copy() -> Column:
+    """Whether a text stands in a smaller document as a whole."""
+    return F.coalesce(F.exists("copies", lambda x: (x["check"] == F.col("check")) & (x["first"] < F.col("doc"))), F.lit(False))
+
+
+def copied_texts(docs: DataFrame) -> DataFrame:
+    """``key, copies``: texts that several documents have, with the smallest one of these."""
+    same = docs.groupBy("key", "check").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where(F.col("first") < F.col("last"))
+    return same.groupBy("key").agg(F.collect_list(F.struct("check", "first")).alias("copies"))
+
+
+def earlier_strings(docs: DataFrame, copies: DataFrame, width: int = 50, folder: str | None = None) -> DataFrame:
+    """``doc, key, at, size``: starts of strings of ``docs`` (``doc, key, check, text`` as bytes) that also start in a smaller ``doc``, as runs. Texts that stand in a smaller ``doc`` as a whole (``copies``) are left out."""
     if not RUN <= width:
         raise ValueError(f"strings have {RUN} bytes at least")
     spark = docs.sparkSession
@@ -430,11 +456,11 @@ def earlier_strings(docs: DataFrame, width: int = 50, folder: str | None = None)
                         waiting, size = [], 0
         yield from _asked(waiting, 2 * n)
 
-    places = stored(docs.select("key", "text").mapInArrow(asked, ASKED).repartition(n, "bucket").mapInArrow(_shared, "key long, at int, hash long, n long"), folder, "places")
+    places = stored(docs.select("key", "text").mapInArrow(asked, ASKED).repartition(n, "bucket").mapInArrow(_shared, "key long, at int, hot long"), folder, "places")
     #: A hash that the filter takes for a hot one goes alone everywhere, so that costs time at most.
-    hot = members_of(places.where(F.col("n") >= HOT).select(F.col("hash").alias("h")).distinct())
-    by_key = places.groupBy("key").agg(F.collect_list("at").alias("at"))
-    found = docs.join(by_key, "key").select("doc", "key", "text", "at")
+    hot = members_of(places.where(F.col("hot").isNotNull()).select(F.col("hot").alias("h")).distinct())
+    by_key = places.groupBy("key").agg(F.collect_list("at").alias("at")).join(copies, "key", "left")
+    found = docs.join(by_key, "key").where(~_later_copy()).select("doc", "key", "text", "at")
 
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting, size, held = [], 0, 0
@@ -473,19 +499,24 @@ def without_earlier(docs: DataFrame, width: int = 50, folder: str | None = None)
     same result each. ``n_spans`` counts runs of removed bytes. An empty table
     gives an empty one. Other columns are not read.
     """
+    folder = folder or work_dir(docs.sparkSession, "suffixes")
     doc = F.coalesce(F.col("`doc_id`").cast("long"), F.lit(NO_ID))
     text = F.coalesce(F.col("`text`").cast("string"), F.lit(""))
-    read = docs.select(doc.alias("doc"), F.xxhash64(doc, text).alias("key"), text.cast("binary").alias("text"))
-    long = read.where(F.octet_length("text") >= width)
-    marks = earlier_strings(long, width, folder).groupBy("doc", "key").agg(F.collect_list(F.struct("at", "size")).alias("marks"))
-    met = read.join(marks, ["doc", "key"], "left").select("doc", "text", F.col("marks.at").alias("at"), F.col("marks.size").alias("size"))
+    read = docs.select(doc.alias("doc"), F.xxhash64(text).alias("key"), F.xxhash64(F.lit(1), text, F.length(text)).alias("check"), text.cast("binary").alias("text"))
+    copies = stored(copied_texts(read), folder, "copies")
+    marks = earlier_strings(read, copies, width, folder).groupBy("key").agg(F.collect_list(F.struct("doc", "at", "size")).alias("marks"))
+    info = marks.join(copies, "key", "full")
+    own = F.filter("marks", lambda x: x["doc"] == F.col("doc"))
+    met = read.join(info, "key", "left").select("doc", "text", _later_copy().alias("copy"), own["at"].alias("at"), own["size"].alias("size"))
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())]
         for batch in batches:
             rows = []
-            for doc, text, at, size in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for doc, text, copy, at, size in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 left, spans, end = [], 0, 0
+                if copy and len(text) >= width:
+                    at, size = [0], [len(text) - width + 1]
                 if at:
                     begins = np.array(at, np.int64)
                     ends = begins + np.array(size, np.int64) + width - 1
