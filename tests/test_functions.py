@@ -48,7 +48,42 @@ def test_formula_amounts(spark):
     assert got["Li6Zn3(PS4)4"] == {"Li": 6, "Zn": 3, "P": 4, "S": 16}
     assert got["K(Li(PS2)2)3"] == {"K": 1, "Li": 3, "P": 6, "S": 12}
     assert got["LiSLi"] == {"Li": 2, "S": 1} and got["Li0.5S"] == {"Li": 0.5, "S": 1}
-    assert all(got[x] is None for x in ("A(B", "Li3SbS4*9H2O", "", "Xx2", ")Li(", None))
+    assert all(got[x] is None for x in ("A(B", "", "Xx2", ")Li(", None))
+    assert got["Li3SbS4*9H2O"] == {"Li": 3, "Sb": 1, "S": 4, "H": 18, "O": 9}
+
+
+def test_brackets_adducts_and_charges(spark):
+    got = amounts(spark, ["[Li2{P(S2)2}3]2", "2CaSO4\u00b7H2O", "Li2S\u22190.5H2O*2LiCl", "SO4^2-", "SO4 2-", "[Fe(CN)6]4-", "Li+", "Fe2+", "O--", "PS4^3-*2H2O", "[Li)", "(Li]", "{Li2S", "Li2S*", "*Li2S", "2Li2S", "Li2S*.H2O", "Li2S**H2O", "+", "Li ", "(2Li)"])
+    assert got["[Li2{P(S2)2}3]2"] == {"Li": 4, "P": 6, "S": 24}
+    assert got["2CaSO4\u00b7H2O"] == {"Ca": 2, "S": 2, "O": 9, "H": 2}
+    assert got["Li2S\u22190.5H2O*2LiCl"] == {"Li": 4, "S": 1, "H": 1, "O": 0.5, "Cl": 2}
+    assert got["SO4^2-"] == got["SO4 2-"] == {"S": 1, "O": 4}
+    assert got["[Fe(CN)6]4-"] == {"Fe": 1, "C": 6, "N": 6} and got["Li+"] == {"Li": 1} and got["Fe2+"] == {"Fe": 2} and got["O--"] == {"O": 1}
+    assert all(got[x] is None for x in ("PS4^3-*2H2O", "[Li)", "(Li]", "{Li2S", "Li2S*", "*Li2S", "2Li2S", "Li2S*.H2O", "Li2S**H2O", "+", "Li ", "(2Li)"))
+    want = {"SO4^2-": -2, "SO4 2-": -2, "[Fe(CN)6]4-": -4, "[Fe(CN)6]4": 0, "Li+": 1, "Fe2+": 1, "O--": -2, "Li2S": 0, "PS4^-": -1, "": 0}
+    df = spark.createDataFrame(list(want.items()), "f string, want int")
+    assert df.where(~composition.charge(F.col("f")).eqNullSafe(F.col("want"))).count() == 0
+
+
+def test_reduced_formula_texts(spark):
+    from siftlode.sources.tables import element_props
+
+    want = {
+        "Li10Ge(PS6)2": "Li10Ge(PS6)2", "GeS12P2Li10": "Li10Ge(PS6)2", "S32P8Zn6Li12": "Li6Zn3(PS4)4", "Cl2S10P2Li12": "Li6PS5Cl", "Li6P2S8": "Li3PS4", "S2Li4": "Li2S", "Li0.5S": "Li0.5S",
+        "Li2O2": "Li2O2", "O6": "O2", "Li1.5P0.5S2": "Li1.5P0.5S2", "CoLiO2": "LiCoO2", "Li4GeS4": "Li4GeS4", "Li0S": "S",
+        "Pb2(SO4)2": "SO4Pb",  # lead's electronegativity is not in the built-in table, so it comes last
+    }
+    good, _ = composition.parse_formulas(spark.createDataFrame([(f,) for f in want], "formula string"))
+    got = {r["formula"]: r["text"] for r in good.select("formula", composition.reduced_formula(F.col("amounts"), composition.negativities(element_props(spark))).alias("text")).collect()}
+    assert got == want
+    assert spark.sql("SELECT cast(map() AS map<string,double>) AS m").select(composition.reduced_formula(F.col("m"), composition.negativities(element_props(spark)))).first()[0] == ""
+
+
+def test_formulas_are_parsed_in_a_table_of_their_own(spark):
+    from siftlode.plans import queries
+
+    plan = queries.screen_coverage(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan
 
 
 def test_quarantine_keeps_bad_rows(spark):
