@@ -88,43 +88,60 @@ def tree_outputs(paths: list[list[Path]], x: np.ndarray) -> np.ndarray:
     return out
 
 
-def shapley(paths: list[list[Path]], weights: list[float], x: np.ndarray) -> tuple[np.ndarray, float]:
-    """Shapley values of every feature for each row, and the base value.
+def _by_player(path: Path, x: np.ndarray, players: list[int]) -> tuple[list[int], list[float], np.ndarray]:
+    """A leaf's players, each one's share of the training rows, and whether each row goes the leaf's way in all columns of a player."""
+    whole = list(dict.fromkeys(players[f] for f in path.features))
+    columns = [[j for j, f in enumerate(path.features) if players[f] == p] for p in whole]
+    met = _meets(path, x)
+    return whole, [float(np.prod([path.share[j] for j in js])) for js in columns], np.stack([met[:, js].all(1) for js in columns], 1).astype(float) if whole else met.astype(float)
 
-    A leaf's share in a coalition is the product over its features of 1 or 0
+
+def shapley(paths: list[list[Path]], weights: list[float], x: np.ndarray, players: list[int] | None = None) -> tuple[np.ndarray, float]:
+    """Shapley values of every player for each row, and the base value.
+
+    ``players``: the player that each column of ``x`` belongs to, numbered from
+    0; without it each column is one. Columns made of one feature (its value and
+    whether it is missing, or a column for each category) come and go together
+    in a coalition.
+
+    A leaf's share in a coalition is the product over its players of 1 or 0
     (known: the row does or does not go its way) and of the share of training
     rows (not known). Summed over coalitions by size this is the product of
-    ``share + met * t`` over the other features, a polynomial in ``t``, whose
+    ``share + met * t`` over the other players, a polynomial in ``t``, whose
     coefficients are weighted by the coalitions' weights.
     """
-    phi, base = np.zeros(x.shape), 0.0
+    players = list(range(x.shape[1])) if players is None else players
+    phi, base = np.zeros((x.shape[0], max(players, default=-1) + 1)), 0.0
     for tree, w in zip(paths, weights, strict=True):
         for p in tree:
-            k = len(p.features)
-            base += w * p.value * float(np.prod(p.share))
-            if not k:
-                continue
-            met = _meets(p, x).astype(float)
+            who, share, met = _by_player(p, x, players)
+            k = len(who)
+            base += w * p.value * float(np.prod(share))
             weight = [factorial(s) * factorial(k - s - 1) / factorial(k) for s in range(k)]
             for j in range(k):
                 poly = np.zeros((x.shape[0], k))
                 poly[:, 0] = 1.0
                 for i in range(k):
                     if i != j:
-                        poly[:, 1:] = poly[:, 1:] * p.share[i] + poly[:, :-1] * met[:, [i]]
-                        poly[:, 0] *= p.share[i]
-                phi[:, p.features[j]] += w * p.value * (poly @ weight) * (met[:, j] - p.share[j])
+                        poly[:, 1:] = poly[:, 1:] * share[i] + poly[:, :-1] * met[:, [i]]
+                        poly[:, 0] *= share[i]
+                phi[:, who[j]] += w * p.value * (poly @ weight) * (met[:, j] - share[j])
     return phi, base
 
 
 def attribute(df: DataFrame, paths: list[list[Path]], weights: list[float], names: list[str], key: str = "id", features: str = "features") -> DataFrame:
-    """``key, feature, phi``: long attributions of each row of ``df`` (``key`` and its feature vector), the base left out."""
+    """``key, feature, phi``: long attributions of each row of ``df`` (``key`` and its feature vector), the base left out.
+
+    ``names``: the feature of each place of the vector; places of one name are one player (see ``model.players``).
+    """
+    found = list(dict.fromkeys(names))
+    players = [found.index(n) for n in names]
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
-                phi, _ = shapley(paths, weights, np.array(b["x"].tolist(), float))
-                yield pd.DataFrame({key: np.repeat(b[key].to_numpy(), len(names)), "feature": names * len(b), "phi": phi.ravel()})
+                phi, _ = shapley(paths, weights, np.array(b["x"].tolist(), float), players)
+                yield pd.DataFrame({key: np.repeat(b[key].to_numpy(), len(found)), "feature": found * len(b), "phi": phi.ravel()})
 
     rows = df.select(F.col(key).cast("long").alias(key), vector_to_array(features).alias("x"))
     return rows.mapInPandas(of, f"{key} long, feature string, phi double")

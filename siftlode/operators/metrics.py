@@ -30,9 +30,10 @@ def hashed_fold(key: Column, k: int = 5, seed: int = 42) -> Column:
     return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(k)).cast("int")
 
 
-def even_folds(df: DataFrame, key: str, k: int = 5, seed: int = 42) -> DataFrame:
-    """``df`` with ``fold``; sizes differ by one at most. For small tables: one window over all rows."""
-    return df.withColumn("fold", F.ntile(k).over(Window.orderBy(F.xxhash64(key, F.lit(seed)), key)) - 1)
+def even_folds(df: DataFrame, key: str, k: int = 5, seed: int = 42, order: Column | None = None) -> DataFrame:
+    """``df`` with ``fold``; sizes differ by one at most, the first folds being the larger ones. Rows are dealt by ranges of ``order``, a hash of the key where none is given."""
+    placed = positions(df, [F.xxhash64(key, F.lit(seed)) if order is None else order, F.col(key)])
+    return placed.withColumn("fold", F.expr(f"int(if(_position < (_total % {k}) * (_total div {k} + 1), _position div (_total div {k} + 1), (_position - _total % {k}) div greatest(_total div {k}, 1)))")).drop("_position", "_total")
 
 
 def ensemble_spread(df: DataFrame, key: str, pred: str) -> DataFrame:

@@ -8,13 +8,13 @@ from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.ml import Estimator, Pipeline, PipelineModel
-from pyspark.ml.feature import Imputer, OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftlode.operators.metrics import fold_summary, regression_metrics
-from siftlode.operators.order import kept
+from siftlode.operators.order import kept, quantiles
 
 
 @dataclass(frozen=True)
@@ -42,9 +42,34 @@ def align_features(df: DataFrame, features: Features, keep: tuple[str, ...] = ()
     return df.select(*keep, *numbers, *flags, *[text(c).alias(c) for c in features.categorical])
 
 
+class Medians(Estimator):
+    """Fills gaps with exact medians, found for all columns together by ranges; a column without any value gets 0.
+
+    Fitting gives a plain SQL stage, ``<x>_filled`` for each column, which is saved like any other.
+    """
+
+    def __init__(self, columns: tuple[str, ...]):
+        super().__init__()
+        self.columns = columns
+
+    def _fit(self, dataset: DataFrame) -> SQLTransformer:
+        pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in self.columns])
+        long = dataset.select(F.explode(pairs).alias("x")).select("x.column", "x.value")
+        medians = {r["column"]: r["quantiles"][0] for r in quantiles(long, "value", [0.5], ("column",)).collect()}
+        filled = [f"coalesce(nanvl(`{c}`, NULL), {medians.get(c) or 0.0!r}D) AS `{c}_filled`" for c in self.columns]
+        return SQLTransformer(statement=f"SELECT *, {', '.join(filled)} FROM __THIS__")
+
+
+def players(prepared: DataFrame, features: Features, column: str = "features") -> list[str]:
+    """The feature that each place of the assembled vector belongs to, by the names that the pipeline gave them."""
+    attributes = [a for kind in prepared.schema[column].metadata["ml_attr"]["attrs"].values() for a in kind]
+    own = [(f"{c}_{end}", c) for c in features.numeric for end in ("filled", "missing")] + [(f"{c}_{end}", c) for c in features.categorical for end in ("index", "hot")]
+    return [max(((made, c) for made, c in own if a["name"] == made or a["name"].startswith(f"{made}_")), key=lambda x: len(x[0]))[1] for a in sorted(attributes, key=lambda a: a["idx"])]
+
+
 def _prepared(features: Features, one_hot: bool) -> tuple[list, list[str]]:
     filled = [f"{c}_filled" for c in features.numeric]
-    stages: list = [Imputer(strategy="median", inputCols=list(features.numeric), outputCols=filled, relativeError=0.0)]
+    stages: list = [Medians(features.numeric)] if features.numeric else []
     used = filled + [f"{c}_missing" for c in features.numeric]
     if features.categorical:
         index = [f"{c}_index" for c in features.categorical]
@@ -101,15 +126,10 @@ def score_ensemble(models: list[PipelineModel], df: DataFrame, keep: tuple[str,
     """``keep`` with ``members`` (each model's prediction), ``ens_mean`` and ``ens_std`` (population), in one pass over the rows."""
     out = df
     for k, model in enumerate(models):
-        added = [c for s in model.stages for c in _outputs(s)]
-        out = model.transform(out).withColumnRenamed("prediction", f"_p{k}").drop(*added)
+        made = model.transform(out).withColumnRenamed("prediction", f"_p{k}")
+        out = made.select(*out.columns, f"_p{k}")
     members = F.array(*[F.col(f"_p{k}") for k in range(len(models))])
     mean = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / len(models)
     rows = out.select(*keep, members.alias("members")).withColumn("ens_mean", mean(F.col("members")))
     return rows.withColumn("ens_std", F.sqrt(mean(F.transform("members", lambda x: (x - F.col("ens_mean")) * (x - F.col("ens_mean"))))))
 
-
-def _outputs(stage) -> list[str]:
-    many = stage.getOutputCols() if stage.hasParam("outputCols") and stage.isDefined("outputCols") else []
-    one = [stage.getOutputCol()] if stage.hasParam("outputCol") and stage.isDefined("outputCol") else []
-    return [*many, *one]

@@ -68,15 +68,35 @@ def quantiles(df: DataFrame, value: str, shares: list[float], by: tuple[str, ...
     return ends.select(*by, F.array(*[between(k, share) for k, share in enumerate(shares)]).alias("quantiles"))
 
 
+def _dealt(df: DataFrame, order: list[Column], by: tuple[str, ...]) -> DataFrame:
+    """``df`` dealt by ranges of ``by`` and the order, with ``_part``, its range, and ``_id``, which rises within it."""
+    ordered = [*[F.col(c) for c in by], *order]
+    dealt = df.repartitionByRange(*ordered).sortWithinPartitions(*ordered).withColumn("_id", F.monotonically_increasing_id())
+    return kept(dealt.withColumn("_part", F.shiftright("_id", 33)))
+
+
+def running_sums(df: DataFrame, sums: dict[str, Column], order: list[Column], by: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` with the sum of each of ``sums`` over the rows of its group that stand before it in the given order, 0 for the first.
+
+    A range's rows are summed up within it, and the sums of a group's earlier
+    ranges, as many as there are partitions and groups, are added.
+    """
+    dealt = _dealt(df.withColumns(sums), order, by)
+    earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    spans = dealt.groupBy(*by, "_part").agg(*[F.sum(c).alias(f"_whole_{c}") for c in sums])
+    spans = spans.select(*by, "_part", *[F.coalesce(F.sum(f"_whole_{c}").over(earlier), F.lit(0)).alias(f"_before_{c}") for c in sums])
+    within = Window.partitionBy(*by, "_part").orderBy("_id").rowsBetween(Window.unboundedPreceding, -1)
+    placed = joined(dealt, spans, [*by, "_part"]).withColumns({c: F.col(f"_before_{c}") + F.coalesce(F.sum(c).over(within), F.lit(0)) for c in sums})
+    return placed.drop("_id", "_part", *[f"_before_{c}" for c in sums])
+
+
 def positions(df: DataFrame, order: list[Column], by: tuple[str, ...] = ()) -> DataFrame:
     """``df`` with ``_position``, from 0 in the given order, and ``_total``, the rows of its group.
 
     Rows are dealt by ranges, so a group that holds a third of all rows lies in
     many tasks; each range's part of a group is counted, and the counts added.
     """
-    ordered = [*[F.col(c) for c in by], *order]
-    dealt = df.repartitionByRange(*ordered).sortWithinPartitions(*ordered).withColumn("_id", F.monotonically_increasing_id())
-    dealt = kept(dealt.withColumn("_part", F.shiftright("_id", 33)))
+    dealt = _dealt(df, order, by)
     group = Window.partitionBy(*by)
     earlier = group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     spans = dealt.groupBy(*by, "_part").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))

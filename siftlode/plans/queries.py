@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftlode.functions import composition, parse, rules
-from siftlode.operators import attribution, audit, metrics, model, screen
+from siftlode.operators import attribution, audit, encoding, metrics, model, screen
 from siftlode.operators.order import kept
+from siftlode.sources.tables import element_props
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -175,6 +176,55 @@ def formula_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part.select("p_partkey", composition.common_factor(F.col("amounts")).alias("factor"), li.alias("li"))
 
 
+_TEMPLATES = (
+    ("concat('[Li', {a}, '(PS4)', {b}, ']', {c}, '*', {a}, 'H2O')", "('Li', {a} * {c}), ('P', {b} * {c}), ('S', 4 * {b} * {c}), ('H', 2 * {a}), ('O', {a})", "0"),
+    ("concat('{{Li', {a}, '[Ge(S', {b}, ')', {c}, ']2}}^', {b}, '-')", "('Li', {a}), ('Ge', 2), ('S', 2 * {b} * {c})", "-{b}"),
+    ("concat({a}, 'Li2SO4\u00b7', {b}, 'H2O\u00b7', {c}, '.5NaCl')", "('Li', 2 * {a}), ('S', {a}), ('O', 4 * {a} + {b}), ('H', 2 * {b}), ('Na', {c} + 0.5), ('Cl', {c} + 0.5)", "0"),
+    ("concat('[Fe(CN)', {a}, ']', {b}, '+')", "('Fe', 1), ('C', {a}), ('N', {a})", "{b}"),
+)
+
+
+def _template(n: int, wrap: str = "{}") -> str:
+    names = {"a": _A, "b": _B, "c": _C}
+    texts = {k: f"CAST({v} AS STRING)" for k, v in names.items()} if n == 0 else names
+    return "CASE p_partkey % 4 " + " ".join(f"WHEN {k} THEN {wrap.format(t[n].format(**texts))}" for k, t in enumerate(_TEMPLATES)) + " END"
+
+
+@query(
+    "SELECT p_partkey, u.element AS element, CAST(u.amount AS DOUBLE) AS amount, charge FROM ("
+    + " UNION ALL ".join(
+        f"SELECT p_partkey, element, amount, CAST({t[2].format(a=_A, b=_B, c=_C)} AS INTEGER) AS charge FROM part, LATERAL (VALUES {t[1].format(a=_A, b=_B, c=_C)}) AS v(element, amount) WHERE p_partkey % 4 = {k}"
+        for k, t in enumerate(_TEMPLATES)
+    )
+    + ") AS u"
+)
+def formula_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Amounts and charges of formulas with all kinds of brackets, adducts and charges."""
+    made = table(spark, sf_dir, "part").select("p_partkey", F.expr(_template(0)).alias("formula"))
+    good, _ = composition.parse_formulas(made)
+    return good.select("p_partkey", F.explode("amounts").alias("element", "amount"), composition.charge(F.col("formula")).alias("charge"))
+
+
+#: A formula in any order and multiple, and how it reads when reduced.
+_WRITTEN = (("S{12}P{2}Ge{1}Li{10}", "Li10Ge(PS6)2"), ("Cl{1}S{5}(P{1}Li{6})", "Li6PS5Cl"), ("(PS4){4}Zn{3}[Li2]{3}", "Li6Zn3(PS4)4"), ("S{1}Li{2}", "Li2S"), ("O{2}Co{1}Li{1}", "LiCoO2"), ("O{1}", "O2"), ("Li0.5S", "Li0.5S"))
+
+
+def _multiple(text: str) -> str:
+    """SQL for the text with each number in curly brackets multiplied."""
+    import re
+
+    pieces = re.split(r"\{(\d+)\}", text)
+    return "concat(" + ", ".join(f"'{x}'" if k % 2 == 0 else f"CAST({x} * (1 + p_size % 6) AS STRING)" for k, x in enumerate(pieces) if x) + ", '')"
+
+
+@query(f"SELECT p_partkey, CASE p_partkey % {len(_WRITTEN)} {' '.join(f'WHEN {k} THEN {chr(39)}{x[1]}{chr(39)}' for k, x in enumerate(_WRITTEN))} END AS reduced FROM part")
+def reduced_formula_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reduced formulas, as text, of formulas written in another order and multiple."""
+    made = f"CASE p_partkey % {len(_WRITTEN)} {' '.join(f'WHEN {k} THEN {_multiple(x[0])}' for k, x in enumerate(_WRITTEN))} END"
+    good, _ = composition.parse_formulas(table(spark, sf_dir, "part").select("p_partkey", F.expr(made).alias("formula")))
+    return good.select("p_partkey", composition.reduced_formula(F.col("amounts"), composition.negativities(element_props(spark))).alias("reduced"))
+
+
 # ---- screening and ranking
 
 _SCORED = "SELECT l_partkey AS material_id, count(*) AS n, round(sum(l_quantity), 2) AS pred FROM lineitem GROUP BY 1"
@@ -399,6 +449,41 @@ def model_disagreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.disagreement(_pairs(spark, sf_dir), "y", "pred").select(F.round("max_abs_diff", 4).alias("max_abs_diff"))
 
 
+# ---- categories by their target
+
+_ORDERS = "SELECT o_orderkey, o_orderpriority AS c, CAST(o_totalprice AS DOUBLE) AS y FROM orders"
+
+
+@query(
+    f"""WITH o AS ({_ORDERS}), m AS (SELECT avg(y) AS prior FROM o)
+    SELECT o_orderkey, round((coalesce(sum(y) OVER w, 0) + prior) / (count(*) OVER w + 1), 2) AS encoded FROM o, m
+    WINDOW w AS (PARTITION BY c ORDER BY md5(concat(o_orderkey, ':0')), o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"""
+)
+def ordered_target_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order's priority by what earlier orders of that priority cost, earlier in a shuffled order."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderpriority").alias("c"), F.col("o_totalprice").cast("double").alias("y"))
+    return encoding.ordered_statistics(orders, "c", "y", "o_orderkey", out="encoded").select("o_orderkey", F.round("encoded", 2).alias("encoded"))
+
+
+@query(
+    """WITH t AS (SELECT p_brand AS c, CAST(p_retailprice AS DOUBLE) AS y FROM part WHERE p_partkey % 5 <> 0 AND p_size % 7 <> 3), m AS (SELECT avg(y) AS prior FROM t),
+    s AS (SELECT c, (sum(y) + 2 * any_value(prior)) / (count(*) + 2) AS mean FROM t, m GROUP BY 1)
+    SELECT p_partkey, round(coalesce(mean, prior), 2) AS encoded FROM part LEFT JOIN s ON c = p_brand, m WHERE p_partkey % 5 = 0"""
+)
+def target_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Held-out parts' brands by the mean price of the brand among the others."""
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_size", F.col("p_brand").alias("c"), F.col("p_retailprice").cast("double").alias("y"))
+    means, base = encoding.statistics(part.where("p_partkey % 5 <> 0 AND p_size % 7 <> 3"), "c", "y", weight=2.0, out="encoded")
+    return encoding.encoded(part.where("p_partkey % 5 = 0"), means, "c", base).select("p_partkey", F.round("encoded", 2).alias("encoded"))
+
+
+@query("SELECT o_orderkey, CAST(ntile(7) OVER (ORDER BY md5(concat(o_orderkey, ':0')), o_orderkey) - 1 AS INTEGER) AS fold FROM orders")
+def even_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seven folds of the orders whose sizes differ by one at most."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey")
+    return metrics.even_folds(orders, "o_orderkey", 7, order=encoding.shuffled("o_orderkey"))
+
+
 # ---- models: rows only, as SQL cannot train
 
 _FEATURES = model.Features(("p_size", "p_retailprice", "n", "discount"), ("p_brand",))
@@ -464,9 +549,8 @@ def _explained(spark: SparkSession, sf_dir: str, held_out: bool):
     place = f"{base}/tree-model-{uuid.uuid4().hex}"
     fitted.stages[-1].write().overwrite().save(place)
     paths, weights = attribution.tree_paths(spark, place)
-    names = fitted.stages[-2].getInputCols()
     prepared = fitted.transform(test if held_out else rows)
-    return prepared, paths, weights, names
+    return prepared, paths, weights, model.players(prepared, _FEATURES)
 
 
 @query()
