@@ -8,8 +8,10 @@ from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.ml import Estimator, Pipeline, PipelineModel
+from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -109,6 +111,31 @@ def cross_validate(df: DataFrame, build: Callable[[], Estimator], k: int = 5, fo
     return per_fold, fold_summary(per_fold)
 
 
+def grid_search(df: DataFrame, build: Callable[[], Estimator], grid: dict[str, list], k: int = 5, fold: str = "fold", label: str = "y", parallel: int = 2) -> tuple[PipelineModel, DataFrame]:
+    """The best of all settings of the last stage, refitted on all rows, and ``setting, fold`` with each one's metrics.
+
+    Folds are those of the column ``fold`` (0 to ``k - 1``), so every setting is
+    judged on the same rows as :func:`cross_validate` judges its one. The best
+    has the least mean RMSE.
+    """
+    estimator = build()
+    stage = estimator.getStages()[-1]
+    settings = ParamGridBuilder()
+    for name, values in grid.items():
+        settings = settings.addGrid(stage.getParam(name), values)
+    settings = settings.build()
+    rows = df.withColumn(fold, F.col(fold).cast("int"))
+    judge = RegressionEvaluator(labelCol=label, metricName="rmse")
+    fitted = CrossValidator(estimator=estimator, estimatorParamMaps=settings, evaluator=judge, numFolds=k, foldCol=fold, parallelism=parallel, collectSubModels=True).fit(rows)
+    tables = []
+    for i, models in enumerate(fitted.subModels):
+        held = rows.where(F.col(fold) == i)
+        for setting, fitted_one in zip(settings, models, strict=True):
+            named = F.create_map(*[F.lit(x) for p, v in setting.items() for x in (p.name, str(v))]) if setting else F.lit(None).cast("map<string,string>")
+            tables.append(regression_metrics(fitted_one.transform(held), label, "prediction").select(named.alias("setting"), F.lit(i).alias("fold"), "n", "mae", "rmse", "r2"))
+    return fitted.bestModel, reduce(DataFrame.unionByName, tables)
+
+
 def score(model: PipelineModel, df: DataFrame) -> DataFrame:
     """``df`` with ``pred`` (log10) and ``pred_sigma``, its power of ten."""
     out = model.transform(df).withColumnRenamed("prediction", "pred")

@@ -49,8 +49,21 @@ class ScreenFilter:
             found.append(("flagged", ~flag_elements(el, self.drop_flagged)))
         return found
 
+    def folders(self, names: list[str]) -> Column:
+        """What the conditions say of the columns that candidates lie in folders by (``has_<element>``, ``n_elements``), as far as they are among ``names``."""
+        met = F.lit(True)
+        for wanted, elements in ((True, self.include), (False, self.exclude)):
+            for e in elements:
+                if f"has_{e}" in names:
+                    met &= F.col(f"has_{e}") == F.lit(wanted)
+        for end, low in zip(self.n_elements or (), (True, False), strict=False):
+            if end is not None and "n_elements" in names:
+                met &= F.col("n_elements") >= end if low else F.col("n_elements") <= end
+        return met
+
     def selected(self, df: DataFrame) -> DataFrame:
-        """The rows that meet every condition but the one on flagged elements, up to the cap. Ranges of plain columns reach the scan; a null meets none."""
+        """The rows that meet every condition but the one on flagged elements, up to the cap. Ranges of plain columns reach the scan, and of a table in folders only those that can meet them are read; a null meets none."""
+        df = df.where(self.folders(df.columns))
         for name, c in self.conditions():
             if name != "flagged":
                 df = df.where(c)

@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftlode.functions import composition, parse, rules
-from siftlode.operators import attribution, audit, encoding, metrics, model, screen
+from siftlode.operators import attribution, audit, encoding, metrics, model, screen, sketches
 from siftlode.operators.order import kept
+from siftlode.sources import tables, versions
 from siftlode.sources.tables import element_props
 
 QUERIES: dict = {}
@@ -449,6 +450,65 @@ def model_disagreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.disagreement(_pairs(spark, sf_dir), "y", "pred").select(F.round("max_abs_diff", 4).alias("max_abs_diff"))
 
 
+# ---- sources and sinks
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new folder beside the tables that ``kept`` writes."""
+    import uuid
+
+    spark.range(1).transform(kept)
+    return f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+_LINE = """CASE p_partkey % 6 WHEN 0 THEN concat(p_partkey, ',1e-3,Li2S') WHEN 1 THEN concat(p_partkey, ',1e-3,Li2S,,,,,,,,,,,,') WHEN 2 THEN concat('no ', p_partkey, ',<1e-10,Li2S,,1,2,3,90,90,90,2,4,x')
+    WHEN 3 THEN concat(p_partkey, ',1e-3,"Li2,S",,1,2,wide,90,90,90,2,4,x') WHEN 4 THEN concat(p_partkey, ',1e-3,"Li2,S",,1,2,3,90,90,90,', p_size, ',4,x') ELSE concat(p_partkey, ',,,Li2S,,,,,,,,,') END"""
+
+
+@query("SELECT CASE WHEN p_partkey % 6 < 2 THEN 'columns' WHEN p_partkey % 6 < 4 THEN 'type' ELSE 'read' END AS reason, count(*) AS n, coalesce(sum(CASE p_partkey % 6 WHEN 4 THEN p_size END), 0)::BIGINT AS groups FROM part GROUP BY 1")
+def corrupt_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of CSV files that were read, and those that were not by reason."""
+    folder = _folder(spark, "lines")
+    table(spark, sf_dir, "part").select(F.expr(_LINE).alias("line")).write.text(folder)
+    good, bad = tables.read_checked(spark, folder, header=False)
+    count = lambda df, reason, number: df.groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(number), F.lit(0)).cast("long").alias("groups"))
+    return count(good, F.lit("read"), F.col("spacegroup_no")).union(count(bad, F.col("reason"), F.lit(0)))
+
+
+@query("SELECT p_partkey, p_size * 2 AS p_size, 2 AS version FROM part WHERE p_partkey % 3 = 0 UNION ALL SELECT p_partkey, p_size, 1 FROM part")
+def versioned_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A result table, and the version that was made from itself; both read again."""
+    path = f"{_folder(spark, 'results')}/pool"
+    versions.write_version(table(spark, sf_dir, "part").select("p_partkey", "p_size"), path)
+    versions.write_version(versions.read_version(spark, path).where("p_partkey % 3 = 0").withColumn("p_size", F.col("p_size") * 2), path)
+    return versions.read_version(spark, path).withColumn("version", F.lit(2)).union(versions.read_version(spark, path, 1).withColumn("version", F.lit(1)))
+
+
+@query(
+    """SELECT p_partkey AS material_id, e_above_hull FROM (SELECT p_partkey, p_size / 500.0 AS e_above_hull, p_partkey % 9 AS k, p_partkey % 40 / 10.0 AS gap FROM part)
+    WHERE k < 4 AND e_above_hull <= 0.05 AND gap >= 1.5"""
+)
+def screen_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates written in folders by their elements, and screened from these."""
+    path = f"{_folder(spark, 'candidates')}/pool"
+    lattice = F.expr("named_struct('a', 1D, 'b', 1D, 'c', 1D, 'alpha', 90D, 'beta', 90D, 'gamma', 90D)")
+    made = _candidates(spark, sf_dir).withColumns({"material_id": F.col("material_id").cast("string"), "spacegroup_no": F.lit(1), "z_factor": F.lit(1), "lattice": lattice}).drop("amounts")
+    tables.write_candidates(made, path)
+    return screen.ScreenFilter().apply(tables.read_candidates(spark, path)).select(F.col("material_id").cast("long").alias("material_id"), "e_above_hull")
+
+
+@query("SELECT l_returnflag, share, true AS within, n FROM (SELECT l_returnflag, count(*) AS n FROM lineitem GROUP BY 1), (SELECT unnest([0.05, 0.25, 0.5, 0.95]) AS share)")
+def sketch_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantiles by sketches of each month, merged by flag; whether each one's rank is within 2 in 100 of its share."""
+    shares = [0.05, 0.25, 0.5, 0.95]
+    lines = table(spark, sf_dir, "lineitem").select("l_returnflag", F.month("l_shipdate").alias("m"), F.col("l_extendedprice").cast("double").alias("v"))
+    monthly = kept(sketches.sketched(lines, "v", ("l_returnflag", "m")))
+    found = sketches.quantiles_of(sketches.merged(monthly, ("l_returnflag",)), shares, ("l_returnflag",))
+    each = found.select("l_returnflag", "n", F.explode(F.arrays_zip(F.array(*map(F.lit, shares)).alias("share"), "quantiles")).alias("x")).select("l_returnflag", "n", "x.share", F.col("x.quantiles").alias("q"))
+    ranks = lines.join(F.broadcast(each), "l_returnflag").groupBy("l_returnflag", "share", "n").agg((F.count_if(F.col("v") < F.col("q")) / F.col("n")).alias("below"), (F.count_if(F.col("v") <= F.col("q")) / F.col("n")).alias("upto"))
+    return ranks.select("l_returnflag", "share", ((F.col("below") <= F.col("share") + 0.02) & (F.col("upto") >= F.col("share") - 0.02)).alias("within"), "n")
+
+
 # ---- categories by their target
 
 _ORDERS = "SELECT o_orderkey, o_orderpriority AS c, CAST(o_totalprice AS DOUBLE) AS y FROM orders"

@@ -9,7 +9,10 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pyspark.sql.types import StructType
+
 from siftlode.functions.composition import ROW_ENDS, SYMBOLS
+from siftlode.operators.order import kept
 
 MEASUREMENTS = "id long, raw_value string, true_composition string, reduced_composition string, a double, b double, c double, alpha double, beta double, gamma double, spacegroup_no int, Z double, family string"
 CANDIDATES = "material_id string, formula string, elements array<string>, n_elements int, spacegroup_no int, z_factor int, e_above_hull double, band_gap double, lattice struct<a:double,b:double,c:double,alpha:double,beta:double,gamma:double>"
@@ -23,8 +26,44 @@ def read_measurements(spark: SparkSession, train: str, test: str) -> DataFrame:
     return one(train, "train").unionByName(one(test, "test"))
 
 
+#: One value that is a quoted text or has no comma, or nothing.
+_FIELD = r'(?:"(?:[^"]|"")*"|[^,"]*)'
+
+
+def read_checked(spark: SparkSession, path: str, schema: str = MEASUREMENTS, header: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Rows of CSV files that fit the schema, and ``record, reason`` of lines that do not.
+
+    Reasons: ``columns`` (more or fewer than the schema has), ``type`` (a value
+    that is not of its column's type), ``quotes`` (quotes that do not match).
+    The lines are read once, into a table of their own, as a second reading of
+    other columns would judge them differently.
+    """
+    names = StructType.fromDDL(schema).names
+    lines = kept(spark.read.schema(f"{schema}, _record string").csv(path, header=header, escape='"', mode="PERMISSIVE", columnNameOfCorruptRecord="_record"))
+    whole = F.col("_record").rlike(f"^{_FIELD}(?:,{_FIELD})*$")
+    fields = F.size(F.regexp_extract_all("_record", F.lit(f"(?:^|,){_FIELD}"), F.lit(0)))
+    reason = F.when(~whole, "quotes").when(fields != len(names), "columns").otherwise("type")
+    return lines.where("_record IS NULL").select(*names), lines.where("_record IS NOT NULL").select(F.col("_record").alias("record"), reason.alias("reason"))
+
+
 def read_candidates(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(CANDIDATES).parquet(path)
+    """Candidates; of a table of :func:`write_candidates` also its ``has_<element>`` columns."""
+    found = spark.read.parquet(path)
+    flags = [c for c in found.columns if c.startswith("has_")]
+    return spark.read.schema(", ".join([CANDIDATES, *[f"{c} boolean" for c in flags]])).parquet(path)
+
+
+def write_candidates(df: DataFrame, path: str, elements: tuple[str, ...] = ("Li", "S", "H")) -> None:
+    """Candidates in folders by number of elements and by whether they have each of ``elements``, those that screens ask for most.
+
+    A screen reads only the folders that it needs. Rows are dealt by folder and
+    a hash, so a folder that most rows belong to is written by many tasks.
+    """
+    flags = {f"has_{e}": F.coalesce(F.array_contains("elements", e), F.lit(False)) for e in elements}
+    rows = df.withColumns(flags | {"n_elements": F.size("elements")})
+    folders = ["n_elements", *flags]
+    dealt = rows.repartition(*folders, F.pmod(F.xxhash64("material_id"), F.lit(16)))
+    dealt.sortWithinPartitions(*folders, "e_above_hull").write.mode("overwrite").partitionBy(*folders).parquet(path)
 
 
 def read_metrics_json(spark: SparkSession, glob: str) -> DataFrame:
