@@ -31,7 +31,9 @@ from siftlode.llm.shared import importable, parts, stored, work_dir
 
 LONGEST = 4
 #: Bytes of text that a task looks at together, and hashes that it counts together.
-BLOCK, TOGETHER = 2 << 20, 2_000_000
+BLOCK, TOGETHER = 256 << 10, 500_000
+#: Bytes of text whose phrases are made one before their texts are read, and phrases that a task keeps.
+MET, KNOWN = 3 << 20, 600_000
 PACKED = "bucket int, hashes binary, counts binary"
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: What a byte is: 0 of a word, 1 between words, 2 between pieces.
@@ -68,12 +70,12 @@ class _Words:
         kind = _KIND[data]
         word = np.concatenate(([False], kind == 0, [False]))
         edge = np.flatnonzero(word[1:] != word[:-1])
-        self.start, self.end = edge[::2], edge[1::2]
+        self.start, self.end = edge[::2].astype(np.int32), edge[1::2].astype(np.int32)
         #: Each segment ends with a break, so no piece goes beyond it.
         self.piece = np.cumsum(kind == 2, dtype=np.int32)[self.start]
         sizes = np.array([len(s) + 1 for s, _, _ in segments])
         begins = np.cumsum(sizes) - sizes
-        self.segment = np.searchsorted(begins, self.start, "right") - 1
+        self.segment = (np.searchsorted(begins, self.start, "right") - 1).astype(np.int32)
         first = np.searchsorted(self.start, begins)
         carried = np.array([c for _, _, c in segments])
         self.own = np.arange(self.start.size) - first[self.segment] >= carried[self.segment]
@@ -109,8 +111,9 @@ def _segments(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[list[tup
     """Blocks of some ``size`` bytes of texts (``lang, text`` as bytes); a longer text is cut between words and goes on with the three words before the cut."""
     block, n = [], 0
     for batch in batches:
-        for lang, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            text, begin, carried = text.translate(_LOWER), 0, 0
+        for k in range(batch.num_rows):
+            lang = batch["lang"][k].as_py()
+            text, begin, carried = batch["text"][k].as_py().translate(_LOWER), 0, 0
             while len(text) - begin > size:
                 end = begin + size
                 while end < len(text) and not _KIND[text[end]]:
@@ -168,14 +171,17 @@ def _packed(waiting: list[np.ndarray], buckets: int) -> Iterator[pa.RecordBatch]
 
 def _summed(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     """Of a task's buckets: hashes that come to ``least`` or more."""
-    rows = [r for batch in batches for r in zip(batch["hashes"].to_pylist(), batch["counts"].to_pylist(), strict=True)]
-    if rows:
+    by_bucket: dict[int, list[tuple[bytes, bytes]]] = {}
+    for batch in batches:
+        for k, hashes, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            by_bucket.setdefault(k, []).append((hashes, counts))
+    for rows in by_bucket.values():
         hashes = np.concatenate([_loose(h, np.uint64, rising=True) for h, _ in rows])
-        counts = np.concatenate([_loose(c, np.int32) for _, c in rows]).astype(np.int64)
+        counts = np.concatenate([_loose(c, np.int32) for _, c in rows])
         order = np.argsort(hashes)
         hashes, counts = hashes[order], counts[order]
         first = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1]))
-        total = np.add.reduceat(counts, first)
+        total = np.add.reduceat(counts, first, dtype=np.int64)
         found = hashes[first][total >= least]
         yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], ["h"])
 
@@ -191,13 +197,67 @@ def _counted(read: DataFrame, orders: tuple[int, ...], least: int, members: Memb
                 waiting.append(hashes)
                 size += hashes.size
             if size >= TOGETHER:
-                yield from _packed(waiting, 2 * n)
+                yield from _packed(waiting, 4 * n)
                 waiting, size = [], 0
-        yield from _packed(waiting, 2 * n)
+        yield from _packed(waiting, 4 * n)
 
     return read.mapInArrow(hashed, PACKED).repartition(n, "bucket").mapInArrow(lambda batches: _summed(batches, least), "h long")
 
 
+def _found(words: _Words, members: Members) -> tuple[_Words, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Last words, lengths and both hashes of a block's phrases that are members."""
+    out, before = [], None
+    for n in range(1, LONGEST + 1):
+        both = words.ends(n)
+        if n > 1:
+            both[1:] &= before[1:] & before[:-1]
+        at = np.flatnonzero(both)
+        hashes = words.phrases(at, n)
+        is_in = members.has(hashes)
+        before = np.zeros(words.start.size, bool)
+        before[at[is_in]] = True
+        is_in &= words.own[at]
+        at = at[is_in]
+        out.append((at.astype(np.int32), np.full(at.size, n, np.int8), hashes[is_in], words.phrases(at, n, words.other)))
+    return (words, *(np.concatenate(x) for x in zip(*out, strict=True)))
+
+
+class _Known:
+    """Phrases that a task has met, by two hashes, with their counts and their texts."""
+
+    def __init__(self):
+        self.hashes, self.others, self.counts = np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64)
+        self.texts = np.empty(0, object)
+
+    def add(self, blocks: list[tuple]) -> None:
+        if not blocks:
+            return
+        block = np.repeat(np.arange(len(blocks)), [b[1].size for b in blocks])
+        at, lengths, hashes, others = (np.concatenate([b[k] for b in blocks]) for k in range(1, 5))
+        order = np.lexsort((others, hashes))
+        hashes, others = hashes[order], others[order]
+        first = np.flatnonzero(np.append(True, (hashes[1:] != hashes[:-1]) | (others[1:] != others[:-1]))) if order.size else order
+        counts = np.diff(np.append(first, order.size))
+        hashes, others, one = hashes[first], others[first], order[first]
+        place = np.searchsorted(self.hashes, hashes)
+        there = np.minimum(place, max(self.hashes.size - 1, 0))
+        met = (self.hashes[there] == hashes) & (self.others[there] == others) if self.hashes.size else np.zeros(hashes.size, bool)
+        self.counts[place[met]] += counts[met]
+        texts = np.empty(int((~met).sum()), object)
+        for k, (b, a, n) in enumerate(zip(block[one[~met]].tolist(), at[one[~met]].tolist(), lengths[one[~met]].tolist(), strict=True)):
+            words = blocks[b][0]
+            texts[k] = (words.langs[words.segment[a]], words.text(a, n), n)
+        self.hashes = np.concatenate((self.hashes, hashes[~met]))
+        order = np.argsort(self.hashes, kind="stable")
+        self.hashes = self.hashes[order]
+        for name, new in (("others", others[~met]), ("counts", counts[~met]), ("texts", texts)):
+            setattr(self, name, np.concatenate((getattr(self, name), new))[order])
+
+    def rows(self, size: int) -> Iterator[list[tuple]]:
+        for k in range(0, self.counts.size, size):
+            yield [(*x, n) for x, n in zip(self.texts[k : k + size].tolist(), self.counts[k : k + size].tolist(), strict=True)]
+
+
 def _texts(read: DataFrame, members: Members) -> DataFrame:
     """``lang, phrase, k, n`` of what the filter lets through, with the texts' own counts in each task; ``k`` 0 and no phrase for all words."""
     kinds = [("lang", pa.string()), ("phrase", pa.string()), ("k", pa.int32()), ("n", pa.int64())]
@@ -207,47 +267,27 @@ def _texts(read: DataFrame, members: Members) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, (_, t) in zip(columns, kinds, strict=True)], [c for c, _ in kinds])
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[tuple[int, int], list] = {}
+        known, waiting, size = _Known(), [], 0
         for block in _segments(batches, BLOCK):
             words = _Words(block, second=True)
-            of_segment = np.bincount(words.segment[words.own], minlength=len(words.langs)).tolist()
+            waiting.append(_found(words, members))
+            size += len(words.data)
             totals: dict[str, int] = {}
-            for lang, n in zip(words.langs, of_segment, strict=True):
+            for lang, n in zip(words.langs, np.bincount(words.segment[words.own], minlength=len(words.langs)).tolist(), strict=True):
                 totals[lang] = totals.get(lang, 0) + n
             yield given([(lang, None, 0, n) for lang, n in totals.items()])
-            before = None
-            for n in range(1, LONGEST + 1):
-                both = words.ends(n)
-                if n > 1:
-                    both[1:] &= before[1:] & before[:-1]
-                at = np.flatnonzero(both)
-                hashes = words.phrases(at, n)
-                is_in = members.has(hashes)
-                before = np.zeros(words.start.size, bool)
-                before[at[is_in]] = True
-                is_in &= words.own[at]
-                at, hashes = at[is_in], hashes[is_in]
-                other = words.phrases(at, n, words.other)
-                order = np.lexsort((other, hashes))
-                at, hashes, other = at[order], hashes[order], other[order]
-                first = np.flatnonzero(np.append(True, (hashes[1:] != hashes[:-1]) | (other[1:] != other[:-1]))) if at.size else np.empty(0, np.int64)
-                for a, h, o, c in zip(at[first].tolist(), hashes[first].tolist(), other[first].tolist(), np.diff(np.append(first, at.size)).tolist(), strict=True):
-                    if (h, o) in known:
-                        known[h, o][3] += c
-                    else:
-                        known[h, o] = [words.langs[words.segment[a]], words.text(a, n), n, c]
-            if len(known) >= TOGETHER // 8:
-                yield from map(given, _slices(list(known.values()), 20_000))
-                known = {}
-        yield from map(given, _slices(list(known.values()), 20_000))
+            if size >= MET:
+                known.add(waiting)
+                waiting, size = [], 0
+                if known.hashes.size >= KNOWN:
+                    yield from map(given, known.rows(20_000))
+                    known = _Known()
+        known.add(waiting)
+        yield from map(given, known.rows(20_000))
 
     return read.mapInArrow(counted, "lang string, phrase string, k int, n long")
 
 
-def _slices(rows: list, size: int) -> Iterator[list]:
-    return (rows[k : k + size] for k in range(0, len(rows), size))
-
-
 def _bytes_of(docs: DataFrame) -> DataFrame:
     lang, text = (F.col(f"`{c}`").cast("string") for c in ("lang", "text"))
     return docs.select(F.coalesce(lang, F.lit("und")).alias("lang"), F.coalesce(text, F.lit("")).cast("binary").alias("text"))
