@@ -31,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftlode.llm.graph import components
@@ -68,7 +68,7 @@ def minwise(hashes: np.ndarray) -> np.ndarray:
 
 
 def profiles(docs: DataFrame, trees: int) -> DataFrame:
-    """``key, doc_id, n_shingles, node, sketch, paths`` of every row: ``node`` stands for the set, ``paths`` for the places below the roots."""
+    """``key, doc_id, text_id, n_shingles, node, sketch, paths`` of every row: ``node`` stands for the set, ``paths`` for the places below the roots."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -84,15 +84,20 @@ def profiles(docs: DataFrame, trees: int) -> DataFrame:
                 for column, x in zip(out, row, strict=True):
                     column.append(x)
             kinds = [pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, t) for x, t in zip(out, kinds, strict=True))], ["key", "doc_id", "n_shingles", "node", "sketch", "paths"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), *(pa.array(x, t) for x, t in zip(out, kinds, strict=True))], ["key", "doc_id", "text_id", "n_shingles", "node", "sketch", "paths"])
 
-    return _keyed(docs).mapInArrow(of, "key long, doc_id long, n_shingles long, node binary, sketch binary, paths array<long>")
+    keyed = _keyed(docs).select("key", "doc_id", "text", _text_id().alias("text_id"))
+    return keyed.mapInArrow(of, "key long, doc_id long, text_id long, n_shingles long, node binary, sketch binary, paths array<long>")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def _text_id() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def _agreement(sketches: np.ndarray, i: int) -> np.ndarray:
     """In how many bytes row ``i`` agrees with each later row: equal bytes are ones, added up eight at a time."""
     ones = (sketches[i + 1 :] == sketches[i]).view(np.uint64).sum(1)
@@ -273,8 +278,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, trees: int = 5, folder:
     importable(spark)
     folder = folder or work_dir(spark, "neardup")
     every = stored(profiles(docs, trees), folder, "profiles")
-    nodes = every.where("n_shingles > 0").groupBy("node").agg(F.min("key").alias("key"), F.first("n_shingles").alias("size"), F.first("sketch").alias("sketch"), F.first("paths").alias("paths"))
-    nodes = stored(nodes, folder, "nodes")
+    nodes = every.where("n_shingles > 0").groupBy("node").agg(F.min(F.struct("key", "text_id")).alias("one"), F.first("n_shingles").alias("size"), F.first("sketch").alias("sketch"), F.first("paths").alias("paths"))
+    nodes = stored(nodes.select("node", "one.*", "size", "sketch", "paths"), folder, "nodes")
 
     rows = nodes.select(F.posexplode("paths").alias("tree", "path"), "node")
     sizes = rows.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -284,7 +289,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, trees: int = 5, folder:
 
     near = stored(_candidates(small.withColumn("label", F.col("node")), percent), folder, "near")
     wanted = near.select("node").union(large.select("node")).distinct()
-    keys = stored(wanted.join(nodes.select("node", "key"), "node").select("node", "key"), folder, "keys")
+    keys = stored(wanted.join(nodes.select("node", "key", "text_id"), "node").select("node", "key", "text_id"), folder, "keys")
     released(spark)
     #: Every round joins few nodes with the sets, so these are dealt by node once.
     table = f"sets_{uuid.uuid4().hex}"
@@ -355,7 +360,8 @@ def _sets(docs: DataFrame, keys: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(sets, pa.binary())], ["node", "shingles"])
 
     #: Shuffled whatever the number of keys, so that a small input runs the plan of a large one.
-    found = _keyed(docs).select("key", "text").join(keys.hint("merge"), "key").select("node", "text")
+    #: By id and text, as many rows may share an id or have none.
+    found = _keyed(docs).select("key", _text_id().alias("text_id"), "text").join(keys.hint("merge"), ["key", "text_id"]).select("node", "text")
     return found.mapInArrow(of, "node binary, shingles binary").dropDuplicates(["node"])
 
 
