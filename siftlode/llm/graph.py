@@ -2,60 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftlode.llm.shared import dropped, stored
 
 
-#: Edges that one task joins at most; more go by rounds of joins.
-ONE_TASK = 200_000
-
-
-def _in_one_task(edges: DataFrame) -> DataFrame:
-    """Components of few edges, by union-find."""
-    kind = edges.schema["u"].dataType
-
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        up: dict = {}
-
-        def find(x):
-            up.setdefault(x, x)
-            while up[x] != x:
-                up[x] = up[up[x]]
-                x = up[x]
-            return x
-
-        types = None
-        for batch in batches:
-            types = batch.schema.field(0).type
-            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                p, q = find(a), find(b)
-                up[max(p, q)] = min(p, q)
-        if up:
-            nodes = list(up)
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, types), pa.array([find(x) for x in nodes], types)], ["node", "label"])
-
-    return edges.coalesce(1).mapInArrow(of, f"node {kind.simpleString()}, label {kind.simpleString()}")
-
-
 def components(edges: DataFrame, folder: str, name: str) -> DataFrame:
     """``node, label`` of every node of ``edges`` (``a``, ``b``): the smallest node it reaches.
 
     Alternates large-star and small-star steps (Kiveris et al. 2014) until the
     edges form stars. A node's smallest neighbour comes from an aggregation
     that sums up before the shuffle, so no list of neighbours is ever
-    gathered. Each step is a table in ``folder``. Edges of a counted number of
-    at most ``ONE_TASK`` are joined by one task instead.
+    gathered. Each step is a table in ``folder``. Graphs of every size take the
+    same steps; one whose edges form stars already takes a single round.
     """
     spark = edges.sparkSession
     now = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     now, before, step = stored(now, folder, f"{name}-0"), None, 0
-    if now.count() <= ONE_TASK:
-        return _in_one_task(now)
     while True:
         mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == before:

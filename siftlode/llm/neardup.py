@@ -91,11 +91,16 @@ def profiles(docs: DataFrame, trees: int) -> DataFrame:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return docs.select(_keys()[0], F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
 def _text_id() -> Column:
-    return F.xxhash64(F.coalesce("text", F.lit("")))
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
+def _keys() -> tuple[Column, Column]:
+    """``key`` and ``text_id`` of a row of documents."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("key"), _text_id().alias("text_id")
 
 
 def _agreement(sketches: np.ndarray, i: int) -> np.ndarray:
@@ -264,19 +269,10 @@ def _blocks(rows: DataFrame) -> DataFrame:
     return rows.select(F.explode(mates).alias("path"), "node", "size", "sketch", "label").distinct()
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, trees: int = 5, folder: str | None = None) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` of every row of ``docs`` (``doc_id, text``).
-
-    ``component_id`` is the smallest ``doc_id`` that the document reaches, its
-    own included; ``kept`` says that it is the document's own. A null, empty or
-    blank text has no shingles and is linked with nothing. A null ``doc_id``
-    counts as smaller than any other. Rows that repeat a ``doc_id`` are judged
-    by their own texts; those with the same text get the same answer. Other
-    columns are not read.
-    """
+def _judged(docs: DataFrame, percent: int, trees: int, folder: str) -> DataFrame:
+    """``key, text_id, doc_id, n_shingles, label, own`` of every row: ``label`` is the same for all rows of a component and null without shingles, ``own`` the component's smallest key."""
     spark = docs.sparkSession
     importable(spark)
-    folder = folder or work_dir(spark, "neardup")
     every = stored(profiles(docs, trees), folder, "profiles")
     nodes = every.where("n_shingles > 0").groupBy("node").agg(F.min(F.struct("key", "text_id")).alias("one"), F.first("n_shingles").alias("size"), F.first("sketch").alias("sketch"), F.first("paths").alias("paths"))
     nodes = stored(nodes.select("node", "one.*", "size", "sketch", "paths"), folder, "nodes")
@@ -296,7 +292,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, trees: int = 5, folder:
     sets = bucketed(_sets(docs, keys), "node", table, f"{folder}/sets")
     released(spark)
 
-    links, labels = [], None
+    labels = None
 
     def compared(places: DataFrame, name: str, known: DataFrame | None = None) -> DataFrame:
         """Links of places with few members; ``known``: those that may have a partner. Only their sets travel, the others' stay."""
@@ -308,11 +304,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80, trees: int = 5, folder:
         return out
 
     def linked_now(found: DataFrame, name: str) -> DataFrame:
-        links.append(found)
-        every_link = links[0]
-        for x in links[1:]:
-            every_link = every_link.union(x)
-        return stored(components(every_link, folder, f"c-{name}"), folder, f"labels-{name}")
+        """Components of all links so far: the known ones are stars already, so only what is new takes rounds."""
+        edges = found if labels is None else found.union(labels.where("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b")))
+        return stored(components(edges, folder, f"c-{name}"), folder, f"labels-{name}")
 
     labels = linked_now(compared(small.where("tree = 0").select("path", "node", "size", "sketch").withColumn("label", F.col("node")), "first", near), "first")
     #: Only members that may be linked with another component.
@@ -341,9 +335,22 @@ def near_duplicates(docs: DataFrame, percent: int = 80, trees: int = 5, folder:
     unlisted(spark, table, f"{folder}/sets")
     of_node = nodes.select("node", "key").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = of_node.groupBy("label").agg(F.min("key").alias("component"))
-    found = of_node.join(least, "label").select("node", "component")
-    own = F.coalesce("component", "key")
-    return every.join(found, "node", "left").select("doc_id", "n_shingles", F.when(own != NO_ID, own).alias("component_id"), (own == F.col("key")).alias("kept"))
+    found = of_node.join(least, "label").select("node", "label", "component")
+    return every.join(found, "node", "left").select("key", "text_id", "doc_id", "n_shingles", "label", F.coalesce("component", "key").alias("own"))
+
+
+def near_duplicates(docs: DataFrame, percent: int = 80, trees: int = 5, folder: str | None = None) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` of every row of ``docs`` (``doc_id, text``).
+
+    ``component_id`` is the smallest ``doc_id`` that the document reaches, its
+    own included; ``kept`` says that it is the document's own. A null, empty or
+    blank text has no shingles and is linked with nothing. A null ``doc_id``
+    counts as smaller than any other. Rows that repeat a ``doc_id`` are judged
+    by their own texts; those with the same text get the same answer. Other
+    columns are not read.
+    """
+    found = _judged(docs, percent, trees, folder or work_dir(docs.sparkSession, "neardup"))
+    return found.select("doc_id", "n_shingles", F.when(F.col("own") != NO_ID, F.col("own")).alias("component_id"), (F.col("own") == F.col("key")).alias("kept"))
 
 
 def _sets(docs: DataFrame, keys: DataFrame) -> DataFrame:
@@ -365,7 +372,21 @@ def _sets(docs: DataFrame, keys: DataFrame) -> DataFrame:
     return found.mapInArrow(of, "node binary, shingles binary").dropDuplicates(["node"])
 
 
-def without_near_duplicates(docs: DataFrame, percent: int = 80, **options) -> DataFrame:
-    """The rows of ``docs`` that :func:`near_duplicates` keeps, with their columns."""
-    kept = near_duplicates(docs, percent, **options).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept_id"]), "left_semi")
+def without_near_duplicates(docs: DataFrame, percent: int = 80, trees: int = 5, folder: str | None = None) -> DataFrame:
+    """One row of ``docs`` for each component of :func:`near_duplicates`, with its columns: the one with the smallest ``doc_id``.
+
+    A null ``doc_id`` is the smallest. Of several texts of a component that
+    have that ``doc_id`` the one with the least hash stays, and of rows that
+    repeat both ``doc_id`` and text one stays, any of them if other columns
+    differ. Rows without shingles are linked with nothing, so all of them stay.
+    """
+    folder = folder or work_dir(docs.sparkSession, "neardup")
+    found = stored(_judged(docs, percent, trees, folder), folder, "judged")
+    texts = found.where("n_shingles > 0 AND own = key").groupBy("label", "key", "text_id").agg(F.count(F.lit(1)).alias("n"))
+    one = texts.groupBy("label").agg(F.min(F.struct("text_id", "key", "n")).alias("one")).select("one.key", "one.text_id", "one.n")
+    loose = found.where("n_shingles = 0").select("key", "text_id", F.lit(1).cast("long").alias("n")).distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *_keys())
+    kept = rows.join(one.union(loose), ["key", "text_id"])
+    #: Repeated rows, a third of all perhaps, are made one before they are shuffled; the others are not shuffled again.
+    repeated = kept.where("n > 1").select("row", F.struct("key", "text_id").alias("of")).dropDuplicates(["of"])
+    return kept.where("n = 1").select("row").union(repeated.select("row")).select("row.*")

@@ -200,12 +200,11 @@ def chain_texts(n=60, seed=7):
     return out
 
 
-@pytest.mark.parametrize(("leaf", "cell", "one_task"), [(4_096, 64 << 20, 200_000), (8, 64 << 20, 200_000), (4_096, 5_000, 0)])
+@pytest.mark.parametrize(("leaf", "cell"), [(4_096, 64 << 20), (8, 64 << 20), (4_096, 5_000)])
 @pytest.mark.parametrize("percent", [85, 80])
-def test_near_duplicates(spark, texts, monkeypatch, leaf, cell, one_task, percent):
+def test_near_duplicates(spark, texts, monkeypatch, leaf, cell, percent):
     monkeypatch.setattr(neardup, "LEAF", leaf)
     monkeypatch.setattr(neardup, "CELL", cell)
-    monkeypatch.setattr(graph, "ONE_TASK", one_task)
     monkeypatch.setattr(neardup, "DEPTH", 1)
     every = texts + chain_texts()
     got = by_id(neardup.near_duplicates(frame(spark, every), percent))
@@ -223,9 +222,20 @@ def test_near_duplicates_of_odd_rows(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [2, 6, 7] and kept.columns[:2] == ["doc_id", "text"]
 
 
-@pytest.mark.parametrize("one_task", [200_000, 0])
-def test_components(spark, monkeypatch, one_task):
-    monkeypatch.setattr(graph, "ONE_TASK", one_task)
+@pytest.mark.parametrize("key", [3, None])
+def test_one_row_of_each_component_stays(spark, key):
+    a, b, c = (" ".join(VOCABULARY[k : k + 40]) for k in (0, 40, 80))
+    #: Repeated rows; near copies under the same id; another text under that id; a row whose id is kept elsewhere but which is not the one to stay.
+    rows = [(a, key), (a, key), (a, key), (f"{a} end", key), (b, key), (b, 9), (c, 4), (c, 9), (c, 4), ("", key), ("", key), (None, 8)]
+    docs = frame(spark, [t for t, _ in rows], [k for _, k in rows]).withColumns({"key": F.lit("own"), "row": F.lit("own"), "label": F.lit("own")})
+    kept = neardup.without_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    got = sorted((r["doc_id"] or -1, (r["text"] or "").removesuffix(" end")) for r in kept.collect())
+    assert got == sorted([(key or -1, a), (key or -1, b), (4, c), (key or -1, ""), (key or -1, ""), (8, "")])
+    assert neardup.without_near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_components(spark):
     rng = random.Random(5)
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 100 + k) for k in range(1, 30)] + [(rng.randrange(200, 300), rng.randrange(200, 300)) for _ in range(60)] + [(7, 7)]
     up = {}
