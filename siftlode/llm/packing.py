@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftlode.llm.shared import bounded, importable, stored, work_dir
-from siftlode.llm.tokenization import encoder
+from siftlode.llm.tokenization import encoder, release
 
 UNIT = 8
 #: Characters of text that are encoded at a time.
@@ -212,6 +212,8 @@ def pieces_of(sequences: DataFrame, width: int = 4) -> DataFrame:
         for batch in batches:
             ids = pa.array([np.frombuffer(x, f"<u{width}").astype("<u4").tobytes() for x in batch.column(6).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns[:6], ids], batch.schema.names)
+        #: All texts are encoded by now.
+        release()
 
     return found.mapInArrow(wide, found.schema) if width != 4 else found
 

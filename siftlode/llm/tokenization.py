@@ -135,3 +135,8 @@ class ChunkEncoder:
 def encoder(path: str) -> ChunkEncoder:
     """One encoder for each Python worker and vocabulary file."""
     return ChunkEncoder(path)
+
+
+def release() -> None:
+    """Forget this worker's encoders and their chunks, for a step that runs when all is encoded: idle workers keep what they hold."""
+    encoder.cache_clear()
