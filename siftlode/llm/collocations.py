@@ -10,8 +10,12 @@ until no pass finds a failure. Then the frequent phrases are complete, whatever
 the sample was.
 
 These passes count 64-bit hashes, which may only count too much; a last pass
-counts the phrases that got through by their text. Tasks know the proposals by
-a filter of bounded size, which may only let too much be counted.
+counts the phrases that got through by 96 bits of two hashes, which stand for
+the phrase. It also finds, of the segments of texts that have a phrase, the one
+with the least tag (a hash of the segment), and only this one tells the
+phrase's text, so texts do not travel from every task that met them. Tasks know
+proposals, and which segment is to tell what, by filters of bounded size, which
+may only let too much be counted or told.
 """
 
 from __future__ import annotations
@@ -32,7 +36,7 @@ from siftlode.llm.shared import importable, parts, stored, work_dir
 LONGEST = 4
 #: Bytes of text that a task looks at together, and hashes that it counts together.
 BLOCK, TOGETHER = 256 << 10, 500_000
-#: Bytes of text whose phrases are made one before their texts are read, and phrases that a task keeps.
+#: Bytes of text whose phrases are made one together, and phrases that a task keeps before it sends them.
 MET, KNOWN = 3 << 20, 600_000
 PACKED = "bucket int, hashes binary, counts binary"
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -204,8 +208,13 @@ def _counted(read: DataFrame, orders: tuple[int, ...], least: int, members: Memb
     return read.mapInArrow(hashed, PACKED).repartition(n, "bucket").mapInArrow(lambda batches: _summed(batches, least), "h long")
 
 
-def _found(words: _Words, members: Members) -> tuple[_Words, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Last words, lengths and both hashes of a block's phrases that are members."""
+def _tags(segments: list[tuple[bytes, str, int]]) -> np.ndarray:
+    """A number for each segment, by its language and text alone."""
+    return np.array([xxhash.xxh3_64_intdigest(text, seed=xxhash.xxh3_64_intdigest(lang.encode())) for text, lang, _ in segments], np.uint64)
+
+
+def _found(words: _Words, members: Members) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Last words, lengths and both hashes (64 and 32 bits) of a block's phrases that are members."""
     out, before = [], None
     for n in range(1, LONGEST + 1):
         both = words.ends(n)
@@ -218,74 +227,113 @@ def _found(words: _Words, members: Members) -> tuple[_Words, np.ndarray, np.ndar
         before[at[is_in]] = True
         is_in &= words.own[at]
         at = at[is_in]
-        out.append((at.astype(np.int32), np.full(at.size, n, np.int8), hashes[is_in], words.phrases(at, n, words.other)))
-    return (words, *(np.concatenate(x) for x in zip(*out, strict=True)))
+        out.append((at.astype(np.int32), np.full(at.size, n, np.int8), hashes[is_in], (words.phrases(at, n, words.other) >> np.uint64(32)).astype(np.uint32)))
+    at, lengths, hashes, others = (np.concatenate(x) for x in zip(*out, strict=True))
+    return at, lengths, hashes, others
 
 
-class _Known:
-    """Phrases that a task has met, by two hashes, with their counts and their texts."""
+#: Both hashes of phrases, how often they were met and the least tag of a segment that has them.
+_Met = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
-    def __init__(self):
-        self.hashes, self.others, self.counts = np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64)
-        self.texts = np.empty(0, object)
 
-    def add(self, blocks: list[tuple]) -> None:
-        if not blocks:
-            return
-        block = np.repeat(np.arange(len(blocks)), [b[1].size for b in blocks])
-        at, lengths, hashes, others = (np.concatenate([b[k] for b in blocks]) for k in range(1, 5))
+def _one_each(met: list[_Met]) -> _Met:
+    """Phrases made one, in the order of their hashes."""
+    hashes, others, counts, tags = (np.concatenate(x) for x in zip(*met, strict=True))
+    order = np.argsort(hashes)
+    same = hashes[order][1:] == hashes[order][:-1]
+    if (same & (others[order][1:] != others[order][:-1])).any():
         order = np.lexsort((others, hashes))
-        hashes, others = hashes[order], others[order]
-        first = np.flatnonzero(np.append(True, (hashes[1:] != hashes[:-1]) | (others[1:] != others[:-1]))) if order.size else order
-        counts = np.diff(np.append(first, order.size))
-        hashes, others, one = hashes[first], others[first], order[first]
-        place = np.searchsorted(self.hashes, hashes)
-        there = np.minimum(place, max(self.hashes.size - 1, 0))
-        met = (self.hashes[there] == hashes) & (self.others[there] == others) if self.hashes.size else np.zeros(hashes.size, bool)
-        self.counts[place[met]] += counts[met]
-        texts = np.empty(int((~met).sum()), object)
-        for k, (b, a, n) in enumerate(zip(block[one[~met]].tolist(), at[one[~met]].tolist(), lengths[one[~met]].tolist(), strict=True)):
-            words = blocks[b][0]
-            texts[k] = (words.langs[words.segment[a]], words.text(a, n), n)
-        self.hashes = np.concatenate((self.hashes, hashes[~met]))
-        order = np.argsort(self.hashes, kind="stable")
-        self.hashes = self.hashes[order]
-        for name, new in (("others", others[~met]), ("counts", counts[~met]), ("texts", texts)):
-            setattr(self, name, np.concatenate((getattr(self, name), new))[order])
-
-    def rows(self, size: int) -> Iterator[list[tuple]]:
-        for k in range(0, self.counts.size, size):
-            yield [(*x, n) for x, n in zip(self.texts[k : k + size].tolist(), self.counts[k : k + size].tolist(), strict=True)]
-
-
-def _texts(read: DataFrame, members: Members) -> DataFrame:
-    """``lang, phrase, k, n`` of what the filter lets through, with the texts' own counts in each task; ``k`` 0 and no phrase for all words."""
-    kinds = [("lang", pa.string()), ("phrase", pa.string()), ("k", pa.int32()), ("n", pa.int64())]
+    hashes, others = hashes[order], others[order]
+    first = np.flatnonzero(np.append(True, (hashes[1:] != hashes[:-1]) | (others[1:] != others[:-1]))) if order.size else order
+    if not first.size:
+        return hashes, others, counts, tags
+    return hashes[first], others[first], np.add.reduceat(counts[order], first), np.minimum.reduceat(tags[order], first)
 
-    def given(rows: list[tuple]) -> pa.RecordBatch:
-        columns = zip(*rows, strict=True) if rows else [()] * 4
+
+def _pairs(hashes: np.ndarray, tags: np.ndarray) -> np.ndarray:
+    """One hash for a phrase and the tag of a segment."""
+    return mixed(hashes ^ (tags.astype(np.uint64) * _ODD[2]))
+
+
+def _witnesses(read: DataFrame, members: Members, least: int) -> DataFrame:
+    """``h, o, n, pair``: phrases (by 96 bits of two hashes) that ``read`` has ``least`` times, how often, and the phrase with the least tag of a segment that has it."""
+    n = parts(read.sparkSession)
+    buckets = 4 * n
+    kinds = [("bucket", pa.int32()), *((c, pa.binary()) for c in ("hashes", "others", "counts", "tags"))]
+
+    def given(met: _Met) -> pa.RecordBatch:
+        hashes, others, counts, tags = met
+        bucket = (((hashes >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
+        rows, start = [], 0
+        for k, end in enumerate(np.searchsorted(bucket, np.arange(buckets), "right").tolist()):
+            if end > start:
+                part = slice(start, end)
+                rows.append((k, _squeezed(hashes[part], rising=True), *(_squeezed(x[part]) for x in (others, counts, tags))))
+            start = end
+        columns = zip(*rows, strict=True) if rows else [()] * 5
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, (_, t) in zip(columns, kinds, strict=True)], [c for c, _ in kinds])
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, waiting, size = _Known(), [], 0
+        known, waiting, size = [], [], 0
         for block in _segments(batches, BLOCK):
             words = _Words(block, second=True)
-            waiting.append(_found(words, members))
+            at, _, hashes, others = _found(words, members)
+            tags = (_tags(block) >> np.uint64(32)).astype(np.uint32)
+            waiting.append((hashes, others, np.ones(at.size, np.int64), tags[words.segment[at]]))
             size += len(words.data)
-            totals: dict[str, int] = {}
-            for lang, n in zip(words.langs, np.bincount(words.segment[words.own], minlength=len(words.langs)).tolist(), strict=True):
-                totals[lang] = totals.get(lang, 0) + n
-            yield given([(lang, None, 0, n) for lang, n in totals.items()])
             if size >= MET:
-                known.add(waiting)
+                known = [_one_each([*known, _one_each(waiting)])]
                 waiting, size = [], 0
-                if known.hashes.size >= KNOWN:
-                    yield from map(given, known.rows(20_000))
-                    known = _Known()
-        known.add(waiting)
-        yield from map(given, known.rows(20_000))
+                if known[0][0].size >= KNOWN:
+                    yield given(known[0])
+                    known = []
+        if waiting or known:
+            yield given(_one_each([*known, *waiting]))
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_bucket: dict[int, list[tuple]] = {}
+        for batch in batches:
+            for k, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                by_bucket.setdefault(k, []).append(row)
+        for rows in by_bucket.values():
+            met = [(_loose(h, np.uint64, rising=True), _loose(o, np.uint32), _loose(c, np.int64), _loose(t, np.uint32)) for h, o, c, t in rows]
+            hashes, others, counts, tags = _one_each(met)
+            own = counts >= least
+            columns = [hashes[own].view(np.int64), others[own].view(np.int32), counts[own], _pairs(hashes, tags)[own].view(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["h", "o", "n", "pair"])
+
+    packed = read.mapInArrow(counted, "bucket int, hashes binary, others binary, counts binary, tags binary")
+    return packed.repartition(n, "bucket").mapInArrow(summed, "h long, o int, n long, pair long")
+
+
+def _texts(read: DataFrame, members: Members, pairs: Members) -> DataFrame:
+    """``h, o, lang, phrase, k, n``: phrases of the segments that are to tell their texts; ``k`` 0, no phrase and ``n`` for all words of a language in a task."""
+    kinds = [("h", pa.int64()), ("o", pa.int32()), ("lang", pa.string()), ("phrase", pa.string()), ("k", pa.int32()), ("n", pa.int64())]
+
+    def given(rows: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*rows, strict=True) if rows else [()] * len(kinds)
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, (_, t) in zip(columns, kinds, strict=True)], [c for c, _ in kinds])
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[str, int] = {}
+        #: Segments that this task has seen; copies tell nothing more.
+        seen: set[int] = set()
+        for block in _segments(batches, BLOCK):
+            words = _Words(block, second=True)
+            for lang, n in zip(words.langs, np.bincount(words.segment[words.own], minlength=len(block)).tolist(), strict=True):
+                totals[lang] = totals.get(lang, 0) + n
+            tags = _tags(block)
+            fresh = np.array([t not in seen and not seen.add(t) for t in tags.tolist()])
+            at, lengths, hashes, others = _found(words, members)
+            tells = fresh[words.segment[at]]
+            tells &= pairs.has(_pairs(hashes, (tags >> np.uint64(32)).astype(np.uint32)[words.segment[at]]))
+            at, lengths, hashes, others = (x[tells] for x in (at, lengths, hashes, others))
+            _, one = np.unique(hashes ^ (others.astype(np.uint64) * _ODD[1]), return_index=True)
+            rows = zip(hashes[one].view(np.int64).tolist(), others[one].view(np.int32).tolist(), at[one].tolist(), lengths[one].tolist(), strict=True)
+            yield given([(h, o, words.langs[words.segment[a]], words.text(a, n), n, None) for h, o, a, n in rows])
+        yield given([(None, None, lang, None, 0, n) for lang, n in totals.items()])
 
-    return read.mapInArrow(counted, "lang string, phrase string, k int, n long")
+    return read.mapInArrow(told, "h long, o int, lang string, phrase string, k int, n long")
 
 
 def _bytes_of(docs: DataFrame) -> DataFrame:
@@ -324,8 +372,12 @@ def frequent_phrases(docs: DataFrame, least: int = 30, share: float = 0.25, lowe
         found = stored(_counted(read, tuple(range(2, LONGEST + 1)), least, members_of(proposed), members_of(new)), folder, f"counted-{passes}")
         new = stored(found.join(proposed, "h", "left_anti").distinct(), folder, f"failed-{passes}")
         frequent = frequent.union(found)
-    texts = _texts(read, members_of(frequent.distinct())).groupBy("lang", "phrase", "k").agg(F.sum("n").alias("n"))
-    return texts.where((F.col("k") == 0) | (F.col("n") >= least))
+    members = members_of(frequent.distinct())
+    counts = stored(_witnesses(read, members, least), folder, "witnesses")
+    told = stored(_texts(read, members, members_of(counts.select(F.col("pair").alias("h")))), folder, "texts")
+    totals = told.where(F.col("k") == 0).groupBy("lang").agg(F.sum("n").alias("n")).select("lang", F.lit(None).cast("string").alias("phrase"), F.lit(0).alias("k"), "n")
+    texts = told.where(F.col("k") > 0).groupBy("h", "o").agg(F.min(F.struct("lang", "phrase", "k")).alias("x"))
+    return counts.join(texts, ["h", "o"]).select("x.lang", "x.phrase", "x.k", "n").union(totals)
 
 
 def _exact(x: Column) -> Column:
