@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -118,22 +120,31 @@ def li_fraction(of: Column) -> Column:
     return amount(of, "Li") / map_total(of)
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """What ``use`` makes of a value that is computed once, however often it is used: it is given as an element of an array."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def common_factor(of: Column) -> Column:
-    """The greatest common divisor of whole amounts, by Euclid's steps; at least 1."""
+    """The greatest common divisor of whole amounts, by Euclid's steps; at least 1.
+
+    A remainder is taken from the nearer multiple, so it is at most half of the
+    divisor, and there are no more steps than the divisor has binary digits.
+    """
 
     def gcd(a: Column, b: Column) -> Column:
-        steps = F.sequence(F.lit(1), F.lit(64))
+        steps = F.sequence(F.lit(1), F.length(F.bin(F.least(a, b))))
         start = F.struct(F.greatest(a, b).alias("a"), F.least(a, b).alias("b"))
-        step = lambda s, _: F.struct(F.when(s["b"] > 0, s["b"]).otherwise(s["a"]).alias("a"), F.when(s["b"] > 0, s["a"] % F.greatest(s["b"], F.lit(1))).otherwise(F.lit(0)).cast("long").alias("b"))
+        step = lambda s, _: F.when(s["b"] > 0, F.struct(s["b"].alias("a"), F.least(s["a"] % s["b"], s["b"] - s["a"] % s["b"]).alias("b"))).otherwise(s)
         return F.aggregate(steps, start, step, lambda s: s["a"])
 
-    return F.greatest(F.aggregate(F.map_values(of), F.lit(0).cast("long"), lambda g, x: gcd(g, F.round(x).cast("long"))), F.lit(1).cast("long"))
+    whole = F.transform(F.map_values(of), lambda x: F.round(x).cast("long"))
+    return F.greatest(F.aggregate(whole, F.lit(0).cast("long"), gcd), F.lit(1).cast("long"))
 
 
-def reduced(of: Column) -> Column:
-    """Amounts divided by their common factor, as entries sorted by element: the key of a reduced formula."""
-    factor = common_factor(of)
-    return F.array_sort(F.map_entries(F.transform_values(of, lambda k, v: v / factor)))
+def reduced(of: Column, factor: Column | None = None) -> Column:
+    """Amounts divided by their common factor, as entries sorted by element: the key of a reduced formula. ``factor``: a column that holds it, if there is one."""
+    return once(common_factor(of) if factor is None else factor, lambda f: F.array_sort(F.map_entries(F.transform_values(of, lambda k, v: v / f))))
 
 
 def negativities(props: DataFrame) -> Column:
@@ -152,7 +163,6 @@ def reduced_formula(of: Column, negativity: Column) -> Column:
     decimals at most, and 1 is left out; elements without any amount are left
     out, and an empty map gives an empty text.
     """
-    one = lambda x: F.get(F.transform(F.array(x[0]), x[1]), F.lit(0))
     there = F.map_filter(of, lambda k, v: F.abs(v) > 1e-8)
     whole = F.forall(F.map_values(there), lambda v: v == F.round(v))
     number = lambda n: F.when(n == 1, "").when(n == F.round(n), n.cast("decimal(30,0)").cast("string")).otherwise(F.round(n, 8).cast("string"))
@@ -162,16 +172,19 @@ def reduced_formula(of: Column, negativity: Column) -> Column:
         anion = F.slice(e, -2, 2)
         factor = F.when(F.forall(anion, lambda x: x["n"] == F.round(x["n"])), common_factor(F.map_from_entries(F.transform(anion, lambda x: F.struct(x["symbol"], x["n"])))))
         close = F.get(anion, F.lit(1))["x"] - F.get(anion, F.lit(0))["x"] < ANION_GAP
-        divided = F.transform(anion, lambda x: F.struct(x["symbol"].alias("symbol"), (x["n"] / factor).alias("n")))
-        grouped = F.concat(listed(F.slice(e, 1, F.greatest(F.size(e) - 2, F.lit(0)))), F.lit("("), listed(divided), F.lit(")"), factor.cast("string"))
-        return F.when(F.size(e) < 3, listed(e)).when(close & (factor > 1), grouped).otherwise(listed(e))
+
+        def chosen(factor: Column) -> Column:
+            divided = F.transform(anion, lambda x: F.struct(x["symbol"].alias("symbol"), (x["n"] / factor).alias("n")))
+            grouped = F.concat(listed(F.slice(e, 1, F.greatest(F.size(e) - 2, F.lit(0)))), F.lit("("), listed(divided), F.lit(")"), factor.cast("string"))
+            return F.when(factor > 1, grouped).otherwise(listed(e))
+
+        return F.when((F.size(e) < 3) | ~close, listed(e)).otherwise(once(factor, chosen))
 
     factor = F.when(whole & (F.size(there) > 0), common_factor(there)).otherwise(F.lit(1))
     entry = lambda f: lambda e: F.struct(F.coalesce(F.try_element_at(negativity, e["key"]), F.lit(99.0)).alias("x"), e["key"].alias("symbol"), (e["value"] / f).alias("n"))
-    ordered = one((factor, lambda f: F.array_sort(F.transform(F.map_entries(there), entry(f)))))
-    plain = one((ordered, text))
+    ordered = once(factor, lambda f: F.array_sort(F.transform(F.map_entries(there), entry(f))))
     custom = F.create_map(*[F.lit(x) for pair in CUSTOMARY.items() for x in pair])
-    return F.coalesce(F.try_element_at(custom, plain), plain)
+    return once(once(ordered, text), lambda plain: F.coalesce(F.try_element_at(custom, plain), plain))
 
 
 def composition_features(df: DataFrame, props: DataFrame, id_col: str = "id", properties: tuple[str, ...] = PROPERTIES) -> DataFrame:

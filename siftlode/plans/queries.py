@@ -172,9 +172,9 @@ def screen_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def formula_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = "map('Li', CAST(12 * (1 + p_partkey % 4) AS DOUBLE), 'P', CAST(6 * (1 + p_size % 6) AS DOUBLE), 'S', CAST(4 * (1 + p_partkey % 9) AS DOUBLE))"
-    part = table(spark, sf_dir, "part").select("p_partkey", F.expr(made).alias("amounts"))
-    li = F.filter(composition.reduced(F.col("amounts")), lambda x: x["key"] == "Li")[0]["value"]
-    return part.select("p_partkey", composition.common_factor(F.col("amounts")).alias("factor"), li.alias("li"))
+    part = table(spark, sf_dir, "part").select("p_partkey", F.expr(made).alias("amounts")).withColumn("factor", composition.common_factor(F.col("amounts")))
+    li = F.filter(composition.reduced(F.col("amounts"), F.col("factor")), lambda x: x["key"] == "Li")[0]["value"]
+    return part.select("p_partkey", "factor", li.alias("li"))
 
 
 _TEMPLATES = (

@@ -108,6 +108,26 @@ def test_factor(spark):
     assert df.where(composition.common_factor(F.col("a")) != F.col("want")).count() == 0
 
 
+def test_factor_of_amounts_that_take_many_steps(spark):
+    fibonacci = [1, 1]
+    while len(fibonacci) < 78:
+        fibonacci.append(fibonacci[-1] + fibonacci[-2])
+    cases = [({"Li": float(a), "S": float(b)}, 1) for a, b in zip(fibonacci, fibonacci[1:])]
+    cases += [({"Li": float(a), "S": float(b), "P": float(c)}, math.gcd(a, b, c)) for a in range(0, 50, 3) for b in range(50) for c in (0, 6, 35, 48)]
+    cases += [({"Li": -4.0, "S": 6.0, "P": None}, 6), ({"Li": 2.0**52, "S": 2.0**30 * 3}, 2**30), ({}, 1), (None, 1)]
+    df = spark.createDataFrame([(a, max(n, 1)) for a, n in cases], "a map<string,double>, want long")
+    assert df.where(~composition.common_factor(F.col("a")).eqNullSafe(F.col("want"))).count() == 0
+
+
+def test_each_factor_is_computed_once(spark):
+    from siftlode.plans import queries
+
+    plan = queries.formula_factor(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("sequence(") == 1  # as many steps as the amounts need; a fixed number stands there as a literal
+    text = spark.createDataFrame([({"Li": 4.0},)], "a map<string,double>").select(composition.reduced_formula(F.col("a"), F.create_map(F.lit("Li"), F.lit(1.0))).alias("t"))
+    assert text._jdf.queryExecution().analyzed().toString().count("sequence(") == 2  # of all amounts, and of the anion's
+
+
 def test_families(spark):
     want = {"Li6PS5Cl": "argyrodites", "Li10Ge(PS6)2": "LGPS", "Li4SnS4": "thio-LISICON", "Li3PS4": "sulfides", "Na3PS4": "unknown", "LiCoO2": "unknown", "Li7PS2Cl4": "unknown", "Li2S": "unknown"}
     good, _ = composition.parse_formulas(spark.createDataFrame([(f,) for f in want], "formula string"))
