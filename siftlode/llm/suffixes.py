@@ -21,10 +21,16 @@ at a time. Suffixes that no byte tells apart are the matches.
 
 A hash that very many places share would bring them all into one task. Strings
 of such regions go alone, by a hash of all their bytes.
+
+What a task holds does not grow with the table or with the partitions set for
+shuffles: partitions are as many as the bytes of text ask for, with two buckets
+each, a bucket is unpacked some megabytes of whole hashes at a time, and long
+texts and hot regions are sent in pieces.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +43,7 @@ from pyspark.sql import functions as F
 from siftlode.llm.filters import Members, members_of
 from siftlode.llm.hashing import mixed
 from siftlode.llm.lmscore import _loose, _squeezed
-from siftlode.llm.shared import importable, parts, stored, work_dir
+from siftlode.llm.shared import groups, importable, released, stored, work_dir
 
 #: Bytes of the runs whose hashes are compared.
 RUN = 20
@@ -45,6 +51,8 @@ RUN = 20
 SHALLOW = 24
 #: Regions that a task holds at most before it sends them, and bytes of text.
 BATCH, TEXT = 400_000, 8 << 20
+#: Bytes of text for each partition in the mean, bytes of regions unpacked at a time, and rows read at a time.
+SHARE, UNPACKED, ROWS = 20_000_000, 32 << 20, 256
 #: Bytes of a text hashed at a time.
 CHUNK = 1 << 20
 #: Places of one hash from which on its strings go alone.
@@ -110,6 +118,11 @@ _SENT = [("bucket", pa.int32()), ("regions", pa.binary()), ("marks", pa.binary()
 _MARK = [("doc", pa.int64()), ("key", pa.int64()), ("at", pa.int32()), ("size", pa.int32())]
 
 
+def _is_hot(hashes: np.ndarray, hot: Members) -> np.ndarray:
+    """``hot`` has mixed hashes: a filter's words go by the upper bits, which are all zero in hashes of 48 bits."""
+    return hot.has(mixed(hashes))
+
+
 def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
     """Not by the size of the hash: the least of many hashes are small."""
     return (mixed(hashes) % np.uint64(buckets)).astype(np.int32)
@@ -146,15 +159,28 @@ def _asked(waiting: list[tuple[int, np.ndarray, np.ndarray]], buckets: int) -> I
         yield _record(rows[k : k + 32], _ASKED)
 
 
+def _values(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple]:
+    """Rows as Python values, some at a time: as such they stand in memory once more."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, ROWS):
+            part = batch.slice(k, ROWS)
+            yield from zip(*(part[c].to_pylist() for c in columns), strict=True)
+
+
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a task's buckets: the places whose hash two documents have, with the number of its places."""
+    """Of a task's buckets, one after the other: the places whose hash two documents have, with the mixed hash where it is hot."""
+    packed: dict[int, list[tuple]] = defaultdict(list)
+    for bucket, *row in _values(batches, "bucket", "keys", "sizes", "hashes", "twice", "at"):
+        packed[bucket].append(row)
+    while packed:
+        yield from _shared_places(packed.popitem()[1])
+
+
+def _shared_places(packed: list[tuple]) -> Iterator[pa.RecordBatch]:
     got: list[tuple[np.ndarray, ...]] = []
-    for batch in batches:
-        for keys, sizes, hashes, times, at in zip(*(batch[c].to_pylist() for c in ("keys", "sizes", "hashes", "twice", "at")), strict=True):
-            key = np.repeat(np.frombuffer(keys, np.int64), _loose(sizes, np.int32))
-            got.append((key, _loose(hashes, np.uint64), _loose(times, np.int32), _loose(at, np.int32, rising=True)))
-    if not got:
-        return
+    for keys, sizes, hashes, times, at in packed:
+        key = np.repeat(np.frombuffer(keys, np.int64), _loose(sizes, np.int32))
+        got.append((key, _loose(hashes, np.uint64), _loose(times, np.int32), _loose(at, np.int32, rising=True)))
     key, hashes, times, at = (np.concatenate(x) for x in zip(*got, strict=True))
     del got
     order = np.argsort(hashes, kind="stable")
@@ -166,7 +192,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     two |= np.maximum.reduceat(key, starts) != np.minimum.reduceat(key, starts)
     hit = np.repeat(two, places)
     hot = np.repeat(two & (places >= HOT), places)[hit]
-    key, at, hashes = key[hit], at[hit], hashes[hit].view(np.int64)
+    key, at, hashes = key[hit], at[hit], mixed(hashes[hit]).view(np.int64)
     order = np.lexsort((at, key))
     for k in range(0, order.size, 100_000):
         part = order[k : k + 100_000]
@@ -210,15 +236,23 @@ class _Regions:
         return zstandard.ZstdCompressor(level=1).compress(head + b"".join(self.columns[c].tobytes() for c, _ in self.FIELDS) + self.text.tobytes())
 
     @classmethod
-    def of(cls, packed: list[bytes], width: int) -> _Regions:
+    def of(cls, packed: list[bytes], width: int, k: int = 0, slices: int = 1) -> _Regions:
+        """Regions of the ``k``-th of ``slices`` parts of all hashes."""
         columns, texts = {c: [] for c, _ in cls.FIELDS}, []
         for data in packed:
             data = zstandard.ZstdDecompressor().decompress(data)
-            n, place = int(np.frombuffer(data, np.int64, 1)[0]), 8
+            n, place, own = int(np.frombuffer(data, np.int64, 1)[0]), 8, {}
             for c, kind in cls.FIELDS:
-                columns[c].append(np.frombuffer(data, kind, n, place))
+                own[c] = np.frombuffer(data, kind, n, place)
                 place += n * np.dtype(kind).itemsize
-            texts.append(np.frombuffer(data, np.uint8, offset=place))
+            text = np.frombuffer(data, np.uint8, offset=place)
+            if slices > 1:
+                #: By bits that a bucket's number, a remainder, leaves free.
+                part = cls(own, text, width).taken(np.flatnonzero((mixed(own["hash"]) >> np.uint64(32)) % np.uint64(slices) == k))
+                own, text = part.columns, part.text
+            for c, x in own.items():
+                columns[c].append(x)
+            texts.append(text)
         return cls({c: np.concatenate(x) for c, x in columns.items()}, np.concatenate(texts), width)
 
     def merged(self) -> tuple[_Regions, tuple[np.ndarray, ...]]:
@@ -336,15 +370,24 @@ def _agreement(text: np.ndarray, suffix: np.ndarray, leader: np.ndarray, depth:
     return out
 
 
+def _pieces(hashes: np.ndarray, at: np.ndarray, sizes: np.ndarray, hot: Members) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """The regions of a text, so many at a time as are sent at once, after the number of rows they make: a hot one goes as its strings."""
+    ends, start, before = np.cumsum(np.where(_is_hot(hashes, hot), sizes, 1)), 0, 0
+    while start < ends.size:
+        stop = max(start + 1, int(np.searchsorted(ends, before + BATCH // 2, "right")))
+        yield int(ends[stop - 1]) - before, hashes[start:stop], at[start:stop], sizes[start:stop]
+        start, before = stop, int(ends[stop - 1])
+
+
 def _sent(waiting: list[tuple], buckets: int, hot: Members, width: int) -> Iterator[tuple[str, tuple]]:
-    """``waiting``: document, key, text, hashes, starts and sizes of its regions. Merged regions by bucket, and marks."""
+    """``waiting``: document, key, text from its first region on, hashes, starts and sizes of its regions. Merged regions by bucket, and marks."""
     if not waiting:
         return
     hashes, at, sizes = (np.concatenate([w[k] for w in waiting]) for k in (3, 4, 5))
     number = np.repeat(np.arange(len(waiting)), [w[3].size for w in waiting])
     lengths = np.array([len(w[2]) for w in waiting])
-    begin = (np.cumsum(lengths) - lengths)[number] + at
-    alone = hot.has(hashes)
+    begin = (np.cumsum(lengths) - lengths - np.array([w[4][0] for w in waiting]))[number] + at
+    alone = _is_hot(hashes, hot)
     if alone.any():
         #: Each string on its own.
         n = np.where(alone, sizes, 1)
@@ -369,8 +412,14 @@ def _sent(waiting: list[tuple], buckets: int, hot: Members, width: int) -> Itera
 
 
 def _marked(packed: list[bytes], width: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """Marks of a task's buckets: starts whose string stands in a smaller document."""
-    found, marks = _Regions.of(packed, width).merged()
+    """Marks of a bucket, some of its hashes at a time: starts whose string stands in a smaller document."""
+    slices = -(-sum(zstandard.frame_content_size(x) for x in packed) // UNPACKED)
+    for k in range(slices):
+        yield from _region_marks(_Regions.of(packed, width, k, slices), width)
+
+
+def _region_marks(found: _Regions, width: int) -> Iterator[tuple[np.ndarray, ...]]:
+    found, marks = found.merged()
     yield marks
     #: Regions of one hash but different bytes, or of one document, may still share strings.
     hashes = found.columns["hash"]
@@ -380,7 +429,7 @@ def _marked(packed: list[bytes], width: int) -> Iterator[tuple[np.ndarray, ...]]
     load = np.cumsum(found.columns["size"][rows].astype(np.int64))
     start = 0
     while start < rows.size:
-        end = int(np.searchsorted(load, (load[start - 1] if start else 0) + 4 * BATCH, "left")) + 1
+        end = int(np.searchsorted(load, (load[start - 1] if start else 0) + BATCH, "left")) + 1
         after = new[new >= end]
         end = int(after[0]) if after.size else rows.size
         some = found.taken(rows[start:end])
@@ -409,17 +458,16 @@ def _mark_rows(marks: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
 
 
 def _met(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """All marks of a task's buckets; those made before are handed on."""
-    packed = []
-    for batch in batches:
-        for regions_, marks in zip(batch["regions"].to_pylist(), batch["marks"].to_pylist(), strict=True):
-            if regions_ is not None:
-                packed.append(regions_)
-            else:
-                found = np.frombuffer(marks, np.int64).reshape(4, -1)
-                yield from _mark_rows((found[0], found[1], found[2].astype(np.int32), found[3].astype(np.int32)))
-    if packed:
-        for marks in _marked(packed, width):
+    """All marks of a task's buckets, one after the other; those made before are handed on."""
+    packed: dict[int, list[bytes]] = defaultdict(list)
+    for bucket, regions_, marks in _values(batches, "bucket", "regions", "marks"):
+        if regions_ is not None:
+            packed[bucket].append(regions_)
+        else:
+            found = np.frombuffer(marks, np.int64).reshape(4, -1)
+            yield from _mark_rows((found[0], found[1], found[2].astype(np.int32), found[3].astype(np.int32)))
+    while packed:
+        for marks in _marked(packed.popitem()[1], width):
             yield from _mark_rows(marks)
 
 
@@ -441,26 +489,31 @@ def earlier_strings(docs: DataFrame, copies: DataFrame, width: int = 50, folder:
     spark = docs.sparkSession
     importable(spark)
     folder = folder or work_dir(spark, "suffixes")
-    n = parts(spark)
+    n = groups(docs, size=SHARE)
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        """Two buckets for each partition."""
+        return rows.repartitionById(n, F.col("bucket") % n)
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting, size = [], 0
-        for batch in batches:
-            for key, text in zip(batch["key"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                hashes, at, _ = regions(text, width)
-                if hashes.size:
-                    waiting.append((key, hashes, at))
-                    size += hashes.size
-                    if size >= BATCH:
-                        yield from _asked(waiting, 2 * n)
-                        waiting, size = [], 0
+        for key, text in _values(batches, "key", "text"):
+            hashes, at, _ = regions(text, width)
+            if hashes.size:
+                waiting.append((key, hashes, at))
+                size += hashes.size
+                if size >= BATCH:
+                    yield from _asked(waiting, 2 * n)
+                    waiting, size = [], 0
         yield from _asked(waiting, 2 * n)
 
-    places = stored(docs.select("key", "text").mapInArrow(asked, ASKED).repartition(n, "bucket").mapInArrow(_shared, "key long, at int, hot long"), folder, "places")
+    places = dealt(docs.select("key", "text").mapInArrow(asked, ASKED)).mapInArrow(_shared, "key long, at int, hot long")
+    #: Stored by text: fewer files than tasks.
+    by_key = stored(places.groupBy("key").agg(F.collect_list("at").alias("at"), F.collect_set("hot").alias("hot")), folder, "places")
     #: A hash that the filter takes for a hot one goes alone everywhere, so that costs time at most.
-    hot = members_of(places.where(F.col("hot").isNotNull()).select(F.col("hot").alias("h")).distinct())
-    by_key = places.groupBy("key").agg(F.collect_list("at").alias("at")).join(copies, "key", "left")
-    found = docs.join(by_key, "key").where(~_later_copy()).select("doc", "key", "text", "at")
+    hot = members_of(by_key.select(F.explode("hot").alias("h")).distinct())
+    released(spark)
+    found = docs.join(by_key.drop("hot").join(copies, "key", "left"), "key").where(~_later_copy()).select("doc", "key", "text", "at")
 
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting, size, held = [], 0, 0
@@ -476,18 +529,19 @@ def earlier_strings(docs: DataFrame, copies: DataFrame, width: int = 50, folder:
                         part = np.ascontiguousarray(table[:, k : k + 100_000])
                         yield _record([(int(part[1, 0]) % (2 * n), None, part.tobytes())], _SENT)
 
-        for batch in batches:
-            for doc, key, text, at in zip(*(batch[c].to_pylist() for c in ("doc", "key", "text", "at")), strict=True):
-                hashes, starts, sizes = regions(text, width)
-                own = np.isin(starts, np.array(at, np.int64))
-                waiting.append((doc, key, text, hashes[own], starts[own], sizes[own]))
-                size, held = size + int(own.sum()), held + len(text)
+        for doc, key, text, at in _values(batches, "doc", "key", "text", "at"):
+            found_ = regions(text, width)
+            own = np.isin(found_[1], np.array(at, np.int64))
+            for load, hashes, starts, sizes in _pieces(*(x[own] for x in found_), hot):
+                part = text[starts[0] : starts[-1] + sizes[-1] + width - 1]
+                waiting.append((doc, key, part, hashes, starts, sizes))
+                size, held = size + load, held + len(part)
                 if size >= BATCH // 2 or held >= TEXT:
                     yield from given()
                     waiting, size, held = [], 0, 0
         yield from given()
 
-    return found.mapInArrow(sent, SENT).repartition(n, "bucket").mapInArrow(lambda batches: _met(batches, width), MARKS)
+    return dealt(found.mapInArrow(sent, SENT)).mapInArrow(lambda batches: _met(batches, width), MARKS)
 
 
 def without_earlier(docs: DataFrame, width: int = 50, folder: str | None = None) -> DataFrame:
@@ -511,26 +565,29 @@ def without_earlier(docs: DataFrame, width: int = 50, folder: str | None = None)
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())]
-        for batch in batches:
-            rows = []
-            for doc, text, copy, at, size in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                left, spans, end = [], 0, 0
-                if copy and len(text) >= width:
-                    at, size = [0], [len(text) - width + 1]
-                if at:
-                    begins = np.array(at, np.int64)
-                    ends = begins + np.array(size, np.int64) + width - 1
-                    order = np.argsort(begins)
-                    #: A mark begins a span if it starts behind all before it.
-                    begins, reach = begins[order], np.maximum.accumulate(ends[order])
-                    new = np.flatnonzero(np.append(True, begins[1:] > reach[:-1]))
-                    spans = new.size
-                    for b, e in zip(begins[new].tolist(), reach[np.append(new[1:], begins.size) - 1].tolist(), strict=True):
-                        left.append(text[end:b])
-                        end = e
-                left.append(text[end:])
-                result = b"".join(left)
-                rows.append((None if doc == NO_ID else doc, len(text), len(text) - len(result), int(spans), result))
-            yield _record(rows, kinds)
+        rows, held = [], 0
+        for doc, text, copy, at, size in _values(batches, "doc", "text", "copy", "at", "size"):
+            left, spans, end = [], 0, 0
+            if copy and len(text) >= width:
+                at, size = [0], [len(text) - width + 1]
+            if at:
+                begins = np.array(at, np.int64)
+                ends = begins + np.array(size, np.int64) + width - 1
+                order = np.argsort(begins)
+                #: A mark begins a span if it starts behind all before it.
+                begins, reach = begins[order], np.maximum.accumulate(ends[order])
+                new = np.flatnonzero(np.append(True, begins[1:] > reach[:-1]))
+                spans = new.size
+                for b, e in zip(begins[new].tolist(), reach[np.append(new[1:], begins.size) - 1].tolist(), strict=True):
+                    left.append(text[end:b])
+                    end = e
+            left.append(text[end:])
+            result = b"".join(left)
+            rows.append((None if doc == NO_ID else doc, len(text), len(text) - len(result), int(spans), result))
+            held += len(result)
+            if held >= TEXT or len(rows) >= 10_000:
+                yield _record(rows, kinds)
+                rows, held = [], 0
+        yield _record(rows, kinds)
 
     return met.mapInArrow(kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")

@@ -2,14 +2,17 @@
 
 import random
 import sys
+import tracemalloc
 from collections import Counter, defaultdict
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from siftlode.llm import collocations, divergence, suffixes
+from siftlode.llm.filters import Members, members_of
 
 sys.path.insert(0, str(Path(__file__).parent))
 from test_documents import CLASHING, VOCABULARY  # noqa: E402
@@ -75,6 +78,66 @@ def test_suffixes_of_an_empty_table(spark):
     assert suffixes.without_earlier(table(spark, [])).count() == 0
 
 
+def bucket_rows(packed):
+    return iter([pa.RecordBatch.from_arrays([pa.array([k % 2 for k in range(len(packed))], pa.int32()), pa.array(packed, pa.binary()), pa.array([None] * len(packed), pa.binary())], ["bucket", "regions", "marks"])])
+
+
+def test_memory_of_a_task_that_sorts_suffixes_is_bounded(monkeypatch):
+    monkeypatch.setattr(suffixes, "UNPACKED", 4 << 20, raising=False)
+    rng, n, size = np.random.default_rng(5), 1_000, 1_000
+    packed = []
+    for k in range(64):
+        numbers = np.arange(k * n, (k + 1) * n)
+        columns = {"hash": numbers.astype(np.uint64), "doc": numbers, "key": numbers, "at": np.zeros(n, np.int32), "size": np.full(n, size, np.int32)}
+        packed.append(suffixes._Regions(columns, np.array([97, 98], np.uint8)[rng.integers(0, 2, n * (size + 49))], 50).packed())
+    tracemalloc.start()
+    assert sum(b.num_rows for b in suffixes._met(bucket_rows(packed), 50)) == 0
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 * n * size
+
+
+def test_suffixes_of_some_hashes_at_a_time(monkeypatch):
+    waiting = []
+    for key, (doc, text) in enumerate((d, t.encode()) for d, t in suffix_rows() if d is not None and t):
+        found = suffixes.regions(text, 50)
+        waiting += [(doc, key, text[at[0] : at[-1] + sizes[-1] + 49], hashes, at, sizes) for _, hashes, at, sizes in suffixes._pieces(*found, Members(np.zeros(16, np.uint64)))]
+    packed = [x[1] for w in waiting for what, x in suffixes._sent([w], 1, Members(np.zeros(16, np.uint64)), 50) if what == "regions"]
+    got = []
+    for most in (32 << 20, 200):
+        monkeypatch.setattr(suffixes, "UNPACKED", most)
+        rows = [r for b in suffixes._met(bucket_rows(packed), 50) for r in b.to_pylist()]
+        got.append({(r["doc"], r["key"], r["at"] + k) for r in rows for k in range(r["size"])})
+    assert got[0] and got[0] == got[1]
+
+
+def test_few_regions_are_taken_for_hot_ones(spark, monkeypatch):
+    """However many hashes are hot, others stay regions and do not go as strings, each with its bytes."""
+    monkeypatch.setattr(suffixes, "HOT", 2)
+    text = lambda seed: np.random.default_rng(seed).integers(97, 123, 20_000).astype(np.uint8).tobytes()
+    shared, own = text(1)[:1_200], text(2)
+    asked = [b for key in (1, 2) for b in suffixes._asked([(key, *suffixes.regions(shared, 50)[:2])], 1)]
+    found = {h for b in suffixes._shared(iter(asked)) for h in b["hot"].to_pylist() if h is not None}
+    assert len(found) > 50
+    hot = members_of(spark.createDataFrame([(h,) for h in found], "h long"))
+    regions = suffixes.regions(own, 50)
+    sent = [suffixes._Regions.of([x[1]], 50) for what, x in suffixes._sent([(1, 1, own, *regions)], 1, hot, 50) if what == "regions"]
+    assert sum(map(len, sent)) < 1.1 * regions[0].size
+    both = [suffixes._Regions.of([x[1]], 50) for what, x in suffixes._sent([(1, 1, shared, *suffixes.regions(shared, 50))], 1, hot, 50) if what == "regions"]
+    assert sum(map(len, both)) == len(shared) - 49
+
+
+def test_long_texts_and_hot_regions_go_in_pieces(monkeypatch):
+    monkeypatch.setattr(suffixes, "BATCH", 20)
+    for word, full in ((0, False), (~np.uint64(0), True)):  # no hash is hot, or all are
+        hashes, at, sizes = suffixes.regions(" ".join(f"{k * k}" for k in range(200)).encode(), 50)
+        pieces = list(suffixes._pieces(hashes, at, sizes, Members(np.full(16, word, np.uint64))))
+        assert all(load <= 10 or h.size == 1 for load, h, _, _ in pieces)
+        assert sum(load for load, *_ in pieces) == (sizes.sum() if full else sizes.size)
+        for k, whole in enumerate((hashes, at, sizes), 1):
+            assert np.array_equal(np.concatenate([p[k] for p in pieces]), whole)
+
+
 @pytest.mark.parametrize("alphabet", [b"a", b"ab", bytes(range(256))])
 def test_deep_shallow_order(alphabet):
     rng = np.random.default_rng(5)
